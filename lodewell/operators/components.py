@@ -9,9 +9,12 @@ from lodewell.sources.tables import materialize
 
 
 def _toward_minimum(pairs: DataFrame) -> DataFrame:
-    """Every endpoint of `pairs` (node, other) linked to the least node in its neighbourhood."""
-    least = pairs.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("low"))
-    return pairs.join(least, "node")
+    """`pairs` (node, other) with `low`, the least node among a node and its neighbours.
+
+    The minima are written first: with a plain exchange on either side of the join, AQE can split a hub.
+    """
+    least = pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low"))
+    return pairs.join(materialize(least, "least"), "node")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *, max_rounds: int = 60) -> DataFrame:
