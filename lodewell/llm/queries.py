@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm import langid
+from lodewell.llm import langid, simhash
 from lodewell.sources.tables import table
 
 
@@ -16,6 +16,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", held)
 
 
-QUERIES = {"op1_language_id": op1_language_id}
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_simhash_dedup": op2_simhash_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {}
