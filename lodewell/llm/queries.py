@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm import langid, simhash, substring
+from lodewell.llm import langid, mixing, simhash, substring
 from lodewell.sources.tables import table
 
 
@@ -20,6 +20,12 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    mixed = mixing.interleave(docs, mixing.tempered_weights(docs))
+    return mixed.select("doc_id", "source", "mix.*")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = substring.strip_repeats(table(spark, sf_dir, "documents"))
     return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -28,6 +34,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
 }
 
