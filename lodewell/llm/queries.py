@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm import langid, mixing, simhash, substring
+from lodewell.llm import langid, mixing, simhash, substring, toxicity
 from lodewell.sources.tables import table
 
 
@@ -31,11 +31,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = langid.held_out("doc_id", 4, 2)
+    labelled = docs.where(~held).join(labels.select("doc_id", "toxic"), "doc_id")
+    model = toxicity.fit(docs, labelled)
+    return toxicity.classify(docs, model).withColumn("held_out", held)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
