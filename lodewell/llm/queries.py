@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm import langid, mixing, simhash, substring, toxicity
+from lodewell.llm import langid, license, mixing, simhash, substring, toxicity
 from lodewell.sources.tables import table
 
 
@@ -39,12 +39,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, model).withColumn("held_out", held)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_license_scan": op6_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
