@@ -99,8 +99,12 @@ class Passages:
         width = self.window - self.phrase + 1
         marked = np.where(self.valid, self.least, np.uint64(0))
         padded = np.concatenate([np.zeros(width - 1, np.uint64), marked, np.zeros(width - 1, np.uint64)])
-        places = np.concatenate([[0], np.cumsum(_extreme(padded, width, np.maximum)[: len(self.phrases)] == self.phrases)])
-        often = places[np.minimum(at[last] + width, len(self.phrases))] - places[begin]
+        places = np.flatnonzero(_extreme(padded, width, np.maximum)[: len(self.phrases)] == self.phrases)
+        # How many of them are in a run and are its phrase: places in order of (phrase, place) are counted by bounds.
+        known, rank = np.unique(self.phrases[places], return_inverse=True)
+        key, span = np.sort(rank * (len(self.phrases) + 1) + places), len(self.phrases) + 1
+        of = np.searchsorted(known, value[first]) * span
+        often = np.searchsorted(key, of + np.minimum(at[last] + width, span - 1)) - np.searchsorted(key, of + begin)
         return doc[first], value[first], segment, np.maximum(often, 1)
 
 
