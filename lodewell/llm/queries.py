@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodewell.llm import langid, license, mixing, sentencepiece_trie, simhash, substring, toxicity
 from lodewell.sources.tables import table
 
@@ -56,6 +57,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}

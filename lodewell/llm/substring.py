@@ -15,10 +15,12 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StructField, StructType
 
 from lodewell.sources.tables import materialize
 
@@ -191,9 +193,7 @@ def _shard(key: str, text: str, shards: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(shards)).cast("int")
 
 
-def strip_repeats(
-    docs: DataFrame, *, text: str = "text", key: str = "doc_id", window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = 4 << 20, min_shards: int = 32
-) -> DataFrame:
+def strip_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
     """One row per row of `docs`: key, n_words, n_removed, kept (the words that stay, joined by one space).
 
     A word goes if any window of `window` words that covers it occurs more than once in the corpus, in the same
@@ -201,15 +201,48 @@ def strip_repeats(
     compared byte by byte. A null or blank text has no words and keeps an empty text; a text shorter than
     the window is never changed. Rows with one key, or none, are separate documents. Documents are spread by a
     hash over shards of about `shard_bytes` of text, each one group; a passage reaches a shard once, however often
-    it stands there, so nothing grows with its number of copies. Windows are compared by 128-bit hashes.
+    it stands there, so nothing grows with its number of copies. Windows are compared by 128-bit hashes. Settings
+    are those of `_stripped`.
+    """
+    return _stripped(docs, text, key, [key], **settings).select(F.col("c0").alias(key), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+
+
+def rewrite(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: str = "n_chars", **settings) -> DataFrame:
+    """`docs` without the recurring passages, all columns kept; `length`, if there is such a column, follows the text.
+
+    A text without a recurring passage is left as it is, null included; rows of which no word is left go. Repeated
+    rows are each cut on their own.
+    """
+    out = _stripped(docs, text, key, docs.columns, **settings)
+    out = out.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept").cast("string")))
+    columns = []
+    for i, name in enumerate(docs.columns):
+        column = F.col(f"c{i}")
+        if name == text:
+            column = F.coalesce("kept", column)
+        elif name == length:
+            column = F.when(F.col("kept").isNull(), column).otherwise(F.length("kept").cast(docs.schema[name].dataType))
+        columns.append(column.alias(name))
+    return out.where("kept IS NULL OR kept <> ''").select(*columns)
+
+
+def _stripped(
+    docs: DataFrame, text: str, key: str, carried: list[str], *, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = 4 << 20, min_shards: int = 32
+) -> DataFrame:
+    """n_words, n_removed and kept of each row, and the carried columns as c0, c1, ...
+
+    The text goes through one exchange, which the two passes over the shards share.
     """
-    kind = docs.schema[key].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(min_shards, -(-total // shard_bytes))
     plain = docs.select(
-        F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"), _shard(key, text, shards).alias("_shard")
+        F.struct(*carried).alias("_row"), *([] if text in carried else [F.col(text).alias("_text")]), _shard(key, text, shards).alias("_shard")
     )
 
+    def texts_of(docs: pa.Table) -> list[bytes | None]:
+        column = docs.column("_text") if "_text" in docs.column_names else pc.struct_field(docs.column("_row"), text)
+        return column.cast(pa.binary()).to_pylist()
+
     def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts, owners in _portions(batch):
@@ -220,7 +253,7 @@ def strip_repeats(
                 )
 
     runs = (
-        plain.select("_text", "_shard")
+        docs.select(F.col(text).cast("binary").alias("_text"), _shard(key, text, shards).alias("_shard"))
         .mapInArrow(count_runs, "value long, segment long, _shard int, often long")
         .groupBy("value", "segment", "_shard")
         .agg(F.count("*").alias("runs"), F.sum("often").alias("often"))
@@ -239,7 +272,7 @@ def strip_repeats(
     def count_windows(docs: pa.Table, mixed: pa.Table) -> pa.Table:
         rows = {"_shard": [], "value": [], "first": [], "second": [], "times": []}
         if docs.num_rows and mixed.num_rows:
-            there = Passages(docs.column("_text").to_pylist(), window, phrase)
+            there = Passages(texts_of(docs), window, phrase)
             values = np.unique(mixed.column("value").to_numpy().view(np.uint64))
             at = np.flatnonzero(there.valid & (_member(there.least, values) >= 0))
             one, two = there.windows(at)
@@ -264,7 +297,7 @@ def strip_repeats(
     sure = recurring.where("whole").select("_shard", "value", "whole", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second"))
 
     def locate(docs: pa.Table, found: pa.Table) -> pa.Table:
-        texts = docs.column("_text").to_pylist()
+        texts = texts_of(docs)
         there = Passages(texts, window, phrase) if found.num_rows and texts else None
         if there:
             unsigned = lambda name: found.column(name).to_numpy().view(np.uint64)
@@ -280,15 +313,13 @@ def strip_repeats(
             n_words.append(len(words))
             n_removed.append(removed)
             kept.append(b" ".join(w for w, g in zip(words, mask.tolist(), strict=True) if not g) if removed else b" ".join(words))
-        columns = [docs.column("_key").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
-        return pa.table([*columns, pa.array(kept, pa.binary())], names=["_key", "n_words", "n_removed", "kept"])
+        columns = [pc.struct_field(docs.column("_row"), [i]) for i in range(len(carried))]
+        columns += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())]
+        return pa.table(columns, names=[f.name for f in schema])
 
-    out = (
-        plain.groupBy("_shard")
-        .cogroup(sure.union(confirmed).groupBy("_shard"))
-        .applyInArrow(locate, f"_key {kind}, n_words long, n_removed long, kept binary")
-    )
-    return out.select(F.col("_key").alias(key), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    schema = StructType([StructField(f"c{i}", docs.schema[name].dataType) for i, name in enumerate(carried)])
+    schema = schema.add("n_words", "long").add("n_removed", "long").add("kept", "binary")
+    return plain.groupBy("_shard").cogroup(sure.union(confirmed).groupBy("_shard")).applyInArrow(locate, schema)
 
 
 _WINDOWS = pa.schema(
