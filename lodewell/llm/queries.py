@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodewell.llm import langid, license, mixing, sentencepiece_trie, simhash, substring, toxicity
+from lodewell.llm import langid, license, mixing, range_join, sentencepiece_trie, simhash, substring, toxicity
 from lodewell.sources.tables import table
 
 
@@ -49,6 +49,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -57,7 +61,29 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op9_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS x,
+           sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda c: c * c))) AS norm
+    FROM embeddings
+), link AS (
+    SELECT a.vec_id AS src, b.vec_id AS dst
+    FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93
+), reach(vec_id, root) AS (
+    SELECT vec_id, vec_id FROM v
+    UNION
+    SELECT l.dst, r.root FROM reach r JOIN link l ON l.src = r.vec_id
+)
+SELECT v.vec_id, coalesce(any_value(c.n), 0) AS n_links, min(r.root) AS component_id, v.vec_id = min(r.root) AS kept
+FROM v JOIN reach r USING (vec_id)
+LEFT JOIN (SELECT src AS vec_id, count(*) AS n FROM link GROUP BY src) c USING (vec_id)
+GROUP BY v.vec_id
+"""
+
