@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodewell.llm import langid, license, mixing, range_join, sentencepiece_trie, simhash, substring, toxicity
+from lodewell.llm import additive, langid, license, mixing, range_join, sentencepiece_trie, simhash, substring, toxicity
 from lodewell.sources.tables import table
 
 
@@ -53,6 +53,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(table(spark, sf_dir, "embeddings"), F.col("k") % 20 == 0)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_nearest": op10_nearest,
     "pipeline": corpus_pipeline.run,
 }
 
