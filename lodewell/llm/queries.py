@@ -35,8 +35,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = langid.held_out("doc_id", 4, 2)
-    labelled = docs.where(~held).join(labels.select("doc_id", "toxic"), "doc_id")
-    model = toxicity.fit(docs, labelled)
+    model = toxicity.fit(docs, labels.where(~held))
     return toxicity.classify(docs, model).withColumn("held_out", held)
 
 

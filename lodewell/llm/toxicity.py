@@ -246,19 +246,22 @@ def character_counts(docs: DataFrame, *, text: str = "text") -> np.ndarray:
 
 def fit(
     docs: DataFrame,
-    labelled: DataFrame,
+    labels: DataFrame,
     *,
     text: str = "text",
+    key: str = "doc_id",
     label: str = "toxic",
+    max_labelled: int = 30_000,
     max_marks: int = 50_000,
     max_rows: int = 20_000,
     least_documents: int = 4,
     least_weight: float = 0.7,
 ) -> ToxicityModel:
-    """A model from the texts of `docs` (characters) and the rows of `labelled` (text, label 0 or 1).
+    """A model from the texts of `docs` (characters) and those of them that `labels` (key, label 0 or 1) marks.
 
-    Rows with null text or label are not used. Near copies, which mostly share their least phrase, count once. Words
-    and word beginnings are counted in all labelled rows, a document's distinct words once each; the `max_marks`
+    The labelled rows are a sample of at most `max_labelled`, by a hash of the key; only the keys of that sample are
+    broadcast, so that texts are not moved to their labels. Rows with null text, key or label are not used. Near copies, which mostly share their least phrase, count once. Words
+    and word beginnings are counted in all sampled rows, a document's distinct words once each; the `max_marks`
     most frequent of the toxic rows are candidates, which bounds what reaches the driver. The logistic score
     is fitted on at most `max_rows` rows, each summarized with the marks of the other half of the rows. Without
     labelled rows of both kinds every text scores the share of toxic rows.
@@ -273,7 +276,9 @@ def fit(
                 [pa.array(clean, pa.string()), batch.column(1), pa.array(map(_least_phrase, clean), pa.int64())], names=["t", "y", "least"]
             )
 
-    usable = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
+    marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    sample = F.broadcast(marked.orderBy(F.xxhash64("k"), "k").limit(max_labelled))
+    usable = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(sample, "k").select("t", "y")
     restored = usable.mapInArrow(restore, "t string, y int, least long").dropDuplicates(["least", "y"])
     kept = materialize(restored.withColumn("half", F.pmod("least", F.lit(2)).cast("int")), "labelled")
 
