@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodewell.llm import additive, langid, license, mixing, range_join, sentencepiece_trie, simhash, substring, toxicity
+from lodewell.llm import additive, langid, license, mixing, range_join, sentencepiece_trie, simhash, substring, toxicity, warc_zip
 from lodewell.sources.tables import table
 
 
@@ -56,6 +56,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive.nearest(table(spark, sf_dir, "embeddings"), F.col("k") % 20 == 0)
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_warc_zip": op8_warc_zip,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_nearest": op10_nearest,
     "pipeline": corpus_pipeline.run,
@@ -71,6 +76,38 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {}
 
+ORACLE_SQL["op8_warc_zip"] = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), f AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL["op4_substring_dedup"] = """
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d
+), h AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM s
+), again AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM h) WHERE n > 1
+), gone AS (
+    SELECT doc_id, list_distinct(flatten(list(generate_series(i, i + 34)))) AS cut FROM again GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(cut), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN cut IS NULL THEN array_to_string(w, ' ')
+                   ELSE coalesce(array_to_string([w[k] FOR k IN generate_series(1, len(w)) IF NOT list_contains(cut, k)], ' '), '') END)
+           AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
 ORACLE_SQL["op9_embedding_dedup"] = """
 WITH RECURSIVE v AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS x,
