@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SKIPPED = {"script", "style", "nav", "header", "footer", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -70,7 +71,7 @@ def main_text(html: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for pages in batches:
         yield pages.map(main_text)

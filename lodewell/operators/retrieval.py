@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lodewell.functions.text import shorten, terms
 from lodewell.functions.vectors import cosine, literal
@@ -123,7 +124,7 @@ def best_matches(new: DataFrame, stored: DataFrame, *, threshold: float = 0.85,
     return best.select(F.col("k").alias(key), F.col("m.match").alias("match"), "similarity")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def embed_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The offline embedding: hashed words of at most 32,000 characters, signed, of length 1."""
     import zlib
