@@ -46,5 +46,5 @@ def repaired(c: Column | str) -> Column:
 
 
 def parsed(c: Column, schema: str) -> Column:
-    """from_json of the text, or of its repair where it can't be parsed."""
-    return F.coalesce(F.from_json(c, schema), F.from_json(repaired(c), schema))
+    """from_json of the text, or of its repair where the text is no JSON."""
+    return F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, schema)).otherwise(F.from_json(repaired(c), schema))

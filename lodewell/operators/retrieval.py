@@ -37,13 +37,17 @@ def postings(df: DataFrame, *, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def _equals(term: str):
+    return lambda w: w == term
+
+
 def text_match(df: DataFrame, query: list[str], k: int, *, key: str, text: str) -> DataFrame:
     """The k best of the documents that hold every query term, with `text_score`: the sum of 1 + ln(tf).
 
     Evaluated in the scan: no posting is shuffled for a query of a few terms.
     """
     words = terms(F.col(text))
-    counts = [F.size(F.filter(words, lambda w, t=t: w == t)) for t in query]
+    counts = [F.size(F.filter(words, _equals(t))) for t in query]
     every = F.lit(True)
     for c in counts:
         every = every & (c > 0)

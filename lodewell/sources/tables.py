@@ -40,3 +40,8 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on hand at most `rows` rows to Python at once: with long texts, memory follows the batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
