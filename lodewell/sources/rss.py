@@ -9,6 +9,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from email.utils import parsedate_to_datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -57,16 +58,15 @@ def parse_entries(df: DataFrame) -> DataFrame:
 
 def read_landed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries, errors) of feed files below `path`; a malformed feed is an error row and stops no other."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("source", F.input_file_name())
+    names = [field.split()[0] for field in ENTRY.split(", ")]
+    files = spark.read.text(path, wholetext=True).withColumn("source", F.input_file_name())
 
     @F.pandas_udf(f"struct<rows:array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>,error:string>")
-    def parse(xml, source):
-        import pandas as pd
-
+    def parse(xml: pd.Series, source: pd.Series) -> pd.DataFrame:
         out = []
         for x, s in zip(xml, source, strict=True):
             try:
-                out.append({"rows": list(entries(x, s)), "error": None})
+                out.append({"rows": [dict(zip(names, row, strict=True)) for row in entries(x, s)], "error": None})
             except ValueError as e:
                 out.append({"rows": [], "error": str(e)})
         return pd.DataFrame(out)
