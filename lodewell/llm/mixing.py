@@ -37,7 +37,7 @@ def whole_shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str
         if sum(shares.values()) < period:
             shares[s] += 1
     while sum(shares.values()) > period:
-        largest = max(shares, key=lambda s: (shares[s] - exact[s], shares[s], s))
+        largest = max((s for s in shares if shares[s] > 1), key=lambda s: (shares[s] - exact[s], s))
         shares[largest] -= 1
     return shares
 
