@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -14,26 +12,18 @@ from lodewell.functions.html import extract_content
 from lodewell.functions.json_repair import parsed
 from lodewell.functions.vectors import cosine
 from lodewell.operators import conversation, graph, ingest, listing, merge, retrieval
+from lodewell.plans import lookups
 from lodewell.plans.fixtures import ARTICLES, MENTIONS, articles, edges, edges_sql, mentions
+from lodewell.plans.registry import ORACLE_SQL, QUERIES, query
 from lodewell.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "lookups"]
+
 FLAGSHIP = "v06_hybrid_search"
 
 TERMS = ["en", "ea"]  # of the text queries
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 def _vector(spark: SparkSession, d: str, key: int = 0) -> list[float]:
     """The query vector: the row with this key."""
     row = table(spark, d, "embeddings").where(F.col("vec_id") == key).select("embedding").first()
