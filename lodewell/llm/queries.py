@@ -7,44 +7,50 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodewell.llm import additive, langid, license, mixing, range_join, sentencepiece_trie, simhash, substring, toxicity, warc_zip
-from lodewell.sources.tables import table
+from lodewell.sources.tables import bounded_batches, table
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents; its texts go to Python in small batches, as some are very long."""
+    bounded_batches(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     held = langid.held_out("doc_id", 5, 0)
     model = langid.fit(docs.where(~held))
     return langid.identify(docs, model).withColumn("held_out", held)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.groups(table(spark, sf_dir, "documents"))
+    return simhash.groups(_documents(spark, sf_dir))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = _documents(spark, sf_dir).select("doc_id", "source")
     mixed = mixing.interleave(docs, mixing.tempered_weights(docs))
     return mixed.select("doc_id", "source", "mix.*")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stripped = substring.strip_repeats(table(spark, sf_dir, "documents"))
+    stripped = substring.strip_repeats(_documents(spark, sf_dir))
     return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
     held = langid.held_out("doc_id", 4, 2)
     model = toxicity.fit(docs, labels.where(~held))
     return toxicity.classify(docs, model).withColumn("held_out", held)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+    return license.scan_licenses(_documents(spark, sf_dir)).drop("matches")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_trie.tokenize(table(spark, sf_dir, "documents"))
+    coded = sentencepiece_trie.tokenize(_documents(spark, sf_dir))
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

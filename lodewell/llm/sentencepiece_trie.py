@@ -10,23 +10,30 @@ survives, namely the model's own encoding of it, and its last piece is all the f
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from lodewell.functions.names import fresh
 
 MARK = "▁"
 TOKENIZERS = "/opt/tokenizers"
 MODEL_FILE = "piece_bpe_32k.model"
 
-# Marks and the word after them; pieces never reach from a word across the next mark.
-_WORD = regex.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
+# Words with the marks before them. Letters and digits end where other characters begin, if no piece joins the two.
+_LETTERS = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_WORD = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
+_PART = re.compile(rf"{MARK}*[{_LETTERS}]+|{MARK}*[^{MARK}{_LETTERS}]+|{MARK}+")
 
 
 class PieceModel:
@@ -50,9 +57,14 @@ class PieceModel:
             raise ValueError("pieces of this model reach across words")
         if any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("a character of a piece is no piece of this model")
+        joins = re.compile(rf"[{_LETTERS}][^{MARK}{_LETTERS}]|[^{MARK}{_LETTERS}][{_LETTERS}]")
+        self.words = (_WORD if any(map(joins.search, self.ids)) else _PART).findall
         self.longest = max(map(len, self.ids), default=1)
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self._fits: dict[tuple[str, str], bool] = {}
+        self.spelled = [p.replace(MARK, " ").encode() for p in self.pieces]
+        self.spelled[self.unknown] = " \u2047 ".encode()
+        for b, i in self.bytes.items():
+            self.spelled[i] = bytes([b])
+        self._fits: dict[int, bool] = {}
         # Finds the pieces within a word, at each end the longest first; pieces that no merging makes are left out.
         self.finder = ahocorasick.Automaton()
         for p in self.ids:
@@ -75,11 +87,12 @@ class PieceModel:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether two pieces stay as they are next to one another."""
-        known = self._fits.get((left, right))
+        pair = self.ids[left] << 32 | self.ids[right]
+        known = self._fits.get(pair)
         if known is None:
-            if len(self._fits) >= 2_000_000:
+            if len(self._fits) >= 300_000:
                 self._fits.clear()
-            known = self._fits[left, right] = self.merge(left + right) == [left, right]
+            known = self._fits[pair] = self.merge(left + right) == [left, right]
         return known
 
     def fallback(self, char: str) -> list[int]:
@@ -90,7 +103,7 @@ class PieceModel:
 class Encoder:
     """Encodes texts block by block; keeps the ids of a bounded number of words."""
 
-    def __init__(self, model: PieceModel, remember: int = 500_000):
+    def __init__(self, model: PieceModel, remember: int = 150_000):
         self.model, self.remember = model, remember
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -116,7 +129,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int] | None]:
         """Ids of each text, as the model gives them without special tokens; None for None."""
-        split = [None if t is None else _WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [None if t is None else self.model.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         distinct = set().union(*filter(None, split))
         if len(self.known) + len(distinct) > self.remember:
             self.known.clear()
@@ -136,15 +149,7 @@ def decode(model: PieceModel, ids: list[int] | None) -> str | None:
     """The text of ids: bytes are joined to characters, marks are spaces, the first of them is dropped."""
     if ids is None:
         return None
-    out = bytearray()
-    for i in ids:
-        b = model.byte_of.get(i)
-        if b is None:
-            out += b" \xe2\x81\x87 " if i == model.unknown else model.pieces[i].replace(MARK, " ").encode()
-        else:
-            out.append(b)
-    text = out.decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    return b"".join(map(model.spelled.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
 def load_model(folder: str = TOKENIZERS, name: str = MODEL_FILE) -> bytes:
@@ -153,7 +158,7 @@ def load_model(folder: str = TOKENIZERS, name: str = MODEL_FILE) -> bytes:
         return file.read()
 
 
-_BLOCK_CHARS = 1 << 21
+_BLOCK_CHARS = 1 << 20
 
 
 def _blocks(texts: list) -> Iterator[list]:
@@ -167,16 +172,40 @@ def _blocks(texts: list) -> Iterator[list]:
         yield texts[begin:]
 
 
-def encode_column(text: Column | str, data: bytes) -> Column:
-    """array<int> of piece ids. Null gives null, an empty text no ids; a text of any length is encoded whole."""
+def coded(docs: DataFrame, *, text: str = "text", data: bytes | None = None, with_text: bool = True) -> DataFrame:
+    """`docs`, all columns, with `ids` (array<int>) and, `with_text`, `decoded` (underscores in front if taken).
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(data)
-        for texts in batches:
-            yield pd.Series([ids for block in _blocks(texts.tolist()) for ids in encoder.encode(block)], dtype=object)
+    Null gives null, an empty text no ids; a text of any length is encoded whole. Texts are coded in blocks of
+    about a million characters, and each block is handed on by itself, so that memory does not follow a batch.
+    """
+    data = data or load_model()
+    names = [fresh(docs, "ids")] + [fresh(docs, "decoded")] * with_text
+    position = docs.columns.index(text)
 
-    return encode.asNondeterministic()(text)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(data)
+        for batch in batches:
+            at = 0
+            for block in _blocks(batch.column(position).to_pylist()):
+                ids = list(encoder.encode(block))
+                columns = [*batch.slice(at, len(block)).columns, _lists(ids)]
+                if with_text:
+                    columns.append(pa.array([decode(encoder.model, x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+                at += len(block)
+
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]).add("ids", ArrayType(IntegerType()))
+    schema = schema.add("decoded", "string") if with_text else schema
+    return docs.mapInArrow(encode, schema).toDF(*docs.columns, *names)
+
+
+def _lists(values: list[list[int] | None]) -> pa.Array:
+    """An Arrow list column, by offsets rather than from objects."""
+    lengths = np.array([0 if v is None else len(v) for v in values], np.int64)
+    flat = np.fromiter(chain.from_iterable(v for v in values if v), np.int32, count=int(lengths.sum()))
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    missing = pa.array([v is None for v in values])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=missing)
 
 
 def decode_column(ids: Column | str, data: bytes) -> Column:
@@ -196,7 +225,5 @@ def tokenize(docs: DataFrame, *, text: str = "text", key: str = "doc_id", data:
 
     n_tokens is null for a null text, 0 for an empty one.
     """
-    data = data or load_model()
-    coded = docs.select(F.col(key), encode_column(F.col(text), data).alias("ids"))
-    coded = coded.withColumn("decoded", decode_column("ids", data))
-    return coded.select(key, F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), "ids", "decoded")
+    out = coded(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), data=data)
+    return out.select(F.col("key").alias(key), F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), "ids", "decoded")
