@@ -48,14 +48,14 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("p_partkey") % 2 == 1, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"),
         F.col("p_brand").alias("type"),
         F.col("l_orderkey").alias("article_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("ordinal"),
     )
 
 
 MENTIONS = """
 mentions AS (
     SELECT CASE WHEN p_partkey % 2 = 1 THEN upper(p_name) ELSE p_name END AS name, p_brand AS type,
-           l_orderkey AS article_id, l_orderkey * 10 + l_linenumber AS ordinal
+           l_orderkey AS article_id, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS ordinal
     FROM lineitem JOIN part ON l_partkey = p_partkey
 )
 """
