@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lodewell.functions.names import fresh
+from lodewell.sources.tables import materialize
 
 
 def recent(df: DataFrame, anchor: Column, hours: int, *, when: str = "published_at") -> DataFrame:
@@ -26,19 +26,21 @@ def first_seen(df: DataFrame, *, order: str, content: str, url: str, stored: Dat
 
     Set-based: rows of a stored URL first, by anti join. A row that is first by content and by URL is certainly kept,
     and certainly blocks the others of its content and URL; rounds repeat this on what is undecided until nothing is,
-    which takes as many rounds as the longest chain of rows that alternately share a content and a URL.
+    which takes as many rounds as the longest chain of rows that alternately share a content and a URL. Firsts are
+    minima, which combine map-side, so that a content of very many rows is never in one task. A null content or URL
+    equals no other. `order` is unique and not null.
     """
-    from lodewell.sources.tables import materialize
-
     if stored is not None:
         df = df.join(stored.select(F.col(url)).distinct(), url, "left_anti")
     left, kept = materialize(df.select(order, content, url), "undecided"), None
     while True:
-        firsts = left.withColumns({f"_first_{c}": F.min(order).over(Window.partitionBy(c)) for c in (content, url)})
-        sure = firsts.where((F.col(order) == F.col(f"_first_{content}")) & (F.col(order) == F.col(f"_first_{url}"))).select(order, content, url)
+        sure = left
+        for c in (content, url):
+            firsts = left.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(order).alias(order)).select(order)
+            sure = sure.join(firsts.union(left.where(F.col(c).isNull()).select(order)), order, "left_semi")
         sure = materialize(sure, "kept")
         kept = sure if kept is None else kept.unionByName(sure)
-        left = left.join(sure.select(content), content, "left_anti").join(sure.select(url), url, "left_anti")
+        left = left.join(sure.select(order), order, "left_anti").join(sure.select(content), content, "left_anti").join(sure.select(url), url, "left_anti")
         left = materialize(left, "undecided")
         if left.isEmpty():
             return df.join(kept.select(order), order, "left_semi")

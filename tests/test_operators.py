@@ -32,12 +32,12 @@ def test_components_of_random_graphs(spark):
 def test_greedy_dedup_is_the_sequential_scan(spark):
     rng = random.Random(9)
     for _ in range(3):
-        rows = [(i, f"h{rng.randrange(25)}", f"u{rng.randrange(25)}") for i in range(60)]
+        rows = [(i, f"h{rng.randrange(25)}", f"u{rng.randrange(25)}") for i in range(60)] + [(60, None, None), (61, None, "u99"), (62, None, None)]
         hashes, urls, kept = set(), {"u3"}, []
         for i, h, u in rows:
             if h not in hashes and u not in urls:
-                hashes.add(h)
-                urls.add(u)
+                hashes |= {h} - {None}
+                urls |= {u} - {None}
                 kept.append(i)
         df = spark.createDataFrame(rows, "i int, h string, u string")
         stored = spark.createDataFrame([("u3",)], "u string")
