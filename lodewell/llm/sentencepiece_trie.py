@@ -64,12 +64,12 @@ class PieceModel:
         self.spelled[self.unknown] = " \u2047 ".encode()
         for b, i in self.bytes.items():
             self.spelled[i] = bytes([b])
-        self._fits: dict[int, bool] = {}
+        self.known_fits: dict[int, bool] = {}
         # Finds the pieces within a word, at each end the longest first; pieces that no merging makes are left out.
         self.finder = ahocorasick.Automaton()
         for p in self.ids:
             if self.merge(p) == [p]:
-                self.finder.add_word(p, p)
+                self.finder.add_word(p, (len(p), self.ids[p]))
         self.finder.make_automaton()
 
     def merge(self, text: str) -> list[str]:
@@ -85,15 +85,13 @@ class PieceModel:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, left: str, right: str) -> bool:
+    def fits(self, left: int, right: int) -> bool:
         """Whether two pieces stay as they are next to one another."""
-        pair = self.ids[left] << 32 | self.ids[right]
-        known = self._fits.get(pair)
-        if known is None:
-            if len(self._fits) >= 300_000:
-                self._fits.clear()
-            known = self._fits[pair] = self.merge(left + right) == [left, right]
-        return known
+        if len(self.known_fits) >= 300_000:
+            self.known_fits.clear()
+        a, b = self.pieces[left], self.pieces[right]
+        found = self.known_fits[left << 32 | right] = self.merge(a + b) == [a, b]
+        return found
 
     def fallback(self, char: str) -> list[int]:
         codes = [self.bytes.get(b) for b in char.encode("utf-8", "replace")]
@@ -103,29 +101,39 @@ class PieceModel:
 class Encoder:
     """Encodes texts block by block; keeps the ids of a bounded number of words."""
 
-    def __init__(self, model: PieceModel, remember: int = 150_000):
+    def __init__(self, model: PieceModel, remember: int = 500_000):
         self.model, self.remember = model, remember
         self.known: dict[str, tuple[int, ...]] = {}
 
     def learn(self, words: set[str]) -> None:
         """The ids of words not known yet, from one depth-first pass over them in order."""
-        model, ids, longest = self.model, self.model.ids, self.model.longest
-        before, last = "", [""]  # last[i]: the final piece of the encoding of word[:i]; a lone character if unknown
+        model, pieces, longest, fits = self.model, self.model.pieces, self.model.longest, self.model.known_fits
+        before, last = "", [-1]  # last[i]: the final piece of the encoding of word[:i], -1 before the first and if unknown
         for word in sorted(words):
             shared = len(os.path.commonprefix((before, word)))
-            last[shared + 1 :] = word[shared:]
+            last[shared + 1 :] = [-1] * (len(word) - shared)
             settled = shared
-            for at, piece in model.finder.iter(word, max(0, shared + 1 - longest)):
+            for at, (length, piece) in model.finder.iter(word, max(0, shared + 1 - longest)):
                 if at >= settled:
-                    left = last[at + 1 - len(piece)]
-                    if not left or left not in ids or model.fits(left, piece):
-                        last[at + 1], settled = piece, at + 1
+                    left = last[at + 1 - length]
+                    if left >= 0:
+                        stays = fits.get(left << 32 | piece)
+                        if stays is None:
+                            stays = model.fits(left, piece)
+                        if not stays:
+                            continue
+                    last[at + 1], settled = piece, at + 1
             before, found, end = word, [], len(word)
             while end:
-                found.append(last[end])
-                end -= len(last[end])
-            parts = [[ids[p]] if p in ids else model.fallback(p) for p in reversed(found)]
-            self.known[word] = tuple(chain.from_iterable(parts))
+                piece = last[end]
+                if piece >= 0:
+                    found.append(piece)
+                    end -= len(pieces[piece])
+                else:
+                    end -= 1
+                    found.extend(reversed(model.fallback(word[end])))
+            found.reverse()
+            self.known[word] = tuple(found)
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int] | None]:
         """Ids of each text, as the model gives them without special tokens; None for None."""

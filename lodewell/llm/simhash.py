@@ -194,15 +194,9 @@ def near_links(
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy().view(np.uint64)
-            for at, leaf, home in tree.route(points):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(at), leaf, np.int32)),
-                        pa.array(np.full(len(at), home)),
-                        pa.array(points[at].view(np.int64)),
-                    ],
-                    names=["leaf", "home", "fp"],
-                )
+            parts = [(at, np.full(len(at), leaf, np.int32), np.full(len(at), home)) for at, leaf, home in tree.route(points)]
+            at, leaf, home = map(np.concatenate, zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(home), pa.array(points[at].view(np.int64))], names=["leaf", "home", "fp"])
 
     def link(group: pa.Table) -> pa.Table:
         points = group.column("fp").to_numpy().view(np.uint64)

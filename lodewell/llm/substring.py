@@ -227,7 +227,7 @@ def rewrite(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
 
 
 def _stripped(
-    docs: DataFrame, text: str, key: str, carried: list[str], *, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = 4 << 20, min_shards: int = 32
+    docs: DataFrame, text: str, key: str, carried: list[str], *, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = 2 << 20, min_shards: int = 32
 ) -> DataFrame:
     """n_words, n_removed and kept of each row, and the carried columns as c0, c1, ...
 
