@@ -6,12 +6,14 @@ weights sum to one, every deadline is met, and after any number of slots each so
 its exact share.
 
 With weights that are whole numbers of a common period the schedule repeats, so one period is computed once on
-the driver and every block finds its slot by arithmetic: nothing is scheduled row by row.
+the driver and every block finds its slot by arithmetic: nothing is scheduled row by row. A source that has run out
+leaves its slots empty, and the others go on in the proportion of their weights.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -22,6 +24,7 @@ from lodewell.functions.names import fresh
 from lodewell.sources.tables import materialize
 
 PERIOD = 1000
+MAX_PERIOD = 65_536
 
 
 def whole_shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -42,6 +45,16 @@ def whole_shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str
     return shares
 
 
+def period_of(weights: Mapping[str, float], least: int = PERIOD, most: int = MAX_PERIOD) -> int:
+    """`least` slots, or more, so that the smallest positive weight has a slot without being rounded up.
+
+    At most `most`, or one slot a source: a source of a smaller weight comes earlier than its weight says.
+    """
+    positive = [float(w) for w in weights.values() if w is not None and w > 0]
+    wanted = min(sum(positive) / min(positive), most) if positive else 0
+    return max(least, math.ceil(wanted), len(positive))
+
+
 def schedule(shares: Mapping[str, int]) -> list[tuple[int, str, int, int, int]]:
     """(slot, source, block of the period, release, deadline) of one period, earliest deadline first.
 
@@ -64,18 +77,18 @@ def schedule(shares: Mapping[str, int]) -> list[tuple[int, str, int, int, int]]:
     return plan
 
 
-def tempered_weights(docs: DataFrame, *, source: str = "source", power: float = 0.7) -> dict[str, float]:
+def tempered_weights(docs: DataFrame, *, source: str = "source", power: float = 0.7) -> dict[str | None, float]:
     """Each source's row count to `power`: above 0 and below 1, small sources count for more than their size.
 
-    One count per source reaches the driver; null sources have no weight.
+    One count per source reaches the driver; null is a source of its own, with key None.
     """
-    counts = docs.where(F.col(source).isNotNull()).groupBy(source).count().collect()
+    counts = docs.groupBy(source).count().collect()
     return {r[0]: float(r[1]) ** power for r in counts}
 
 
 def interleave(
     docs: DataFrame,
-    weights: Mapping[str, float],
+    weights: Mapping[str | None, float],
     *,
     source: str = "source",
     key: str = "doc_id",
@@ -86,20 +99,26 @@ def interleave(
     """Every row of `docs`, with struct column `mix` (underscores in front if taken): block, slot, position, release, deadline, in_mix.
 
     Rows of a source are taken in the order of a hash of the key (ties by key) and cut into blocks of
-    `block_rows`; `slot` orders the blocks of all sources and `position` the rows. The mix ends where a source
-    with a positive weight has no full block left for its slot: rows from there on, and those of sources with
-    no weight or a null source (these have null `mix` fields), are returned with in_mix false. Nothing is repeated.
-    Rows of equal key in one source are ranked in arbitrary order. No weights, or an empty table, mix nothing.
+    `block_rows`; `slot` orders the blocks of all sources and `position` the rows, the last block of a source, which
+    may not be full, included. Where a source has run out its slots are empty, so that `slot` and `position` skip
+    numbers, and the other sources go on in the proportion of their weights: every row of a source with a positive
+    weight has its place. in_mix says how far all weights hold: it is true up to the first slot that a source with a
+    positive weight has no full block for. The key None of `weights` stands for a null source. Rows of sources with no
+    weight have null `mix` fields and in_mix false. Nothing is repeated. Rows of equal key in one source are ranked in
+    arbitrary order. No weights, or an empty table, mix nothing.
 
     A source is numbered through hash buckets of about `bucket_rows` rows, so that no source is ever sorted in one
-    task; only one period of the schedule, at most `period` rows, is broadcast.
+    task; only one period of the schedule is broadcast, `period` rows or as many as `period_of` gives.
     """
-    shares = whole_shares(weights, period)
+    # A null source has the name "", the others start with "=".
+    weights = {"" if s is None else f"={s}": w for s, w in weights.items()}
+    shares = whole_shares(weights, period_of(weights, period))
     length, plan = sum(shares.values()), schedule(shares) if shares else []
     buckets = max(1, -(-docs.count() // bucket_rows))
     hashed = F.xxhash64(F.col(key))
+    named = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     # The row travels as one struct, so that none of its columns can clash with those made here.
-    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(key).alias("key"), hashed.alias("hash")).withColumn(
+    rows = docs.select(F.struct("*").alias("row"), named.alias("source"), F.col(key).alias("key"), hashed.alias("hash")).withColumn(
         "bucket", F.floor(F.shiftrightunsigned("hash", 1) / F.lit(2.0**63) * buckets).cast("int")
     )
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
@@ -107,7 +126,7 @@ def interleave(
     counts = materialize(counts.withColumn("before", running), "buckets")
     totals = {r[0]: r[1] for r in counts.groupBy("source").agg(F.sum("n")).collect()}
     slots = {(s, k): slot for slot, s, k, _, _ in plan}
-    # The first slot that each source can't fill with a whole block; the mix ends at the earliest.
+    # The first slot that each source can't fill with a whole block; all weights hold up to the earliest.
     full = {s: totals.get(s, 0) // block_rows for s in shares}
     end = min((full[s] // a * length + slots[s, full[s] % a] for s, a in shares.items()), default=0)
 
