@@ -42,13 +42,13 @@ TEMPLATES = {
         "bsd <<2>> license",
     ],
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "mpl-2.0": ["mozilla public license [[v. version]] 2.0"],
+    "mpl-2.0": ["mozilla public license [[v]] [[version]] 2.0"],
     "gpl-notice": [
         "licensed under the gnu general public license [[version <<1>>]]",
-        "under the terms of the gnu [[lesser affero]] general public license as published by the free software foundation",
+        "under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation",
     ],
     "cc-by-nc": ["licensed under cc by nc <<2>>", "creative commons attribution noncommercial <<3>>"],
-    "cc-by-notice": ["creative commons attribution [[4.0 3.0]] international"],
+    "cc-by-notice": ["creative commons attribution [[4.0]] [[3.0]] international"],
     "copyright": ["copyright [[c]] <<6>> all rights reserved"],
 }
 
