@@ -36,26 +36,31 @@ _FOLD = bytes(
     c - 97 if 97 <= c <= 122 else c - 65 if 65 <= c <= 90 else OTHER if c >= 128 else EDGE for c in range(256)
 )
 
-_ALIKE = re.escape("".join(k for k in LOOK_ALIKES if not k.isalnum()))
+_SEPARATORS = " .-_*"
+_ALIKE = "0-9" + re.escape("".join(k for k in LOOK_ALIKES if not k.isalnum()))
+_ONE = rf"(?:[^\W_]|[{_ALIKE}])"
+_FIRST = rf"(?<![^\W_])(?<![{_ALIKE}])"  # where a run of letters, digits and look-alikes begins
 _DISGUISED = re.compile(
-    rf"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){{2,}}(?![^\W_])"  # letters set apart
-    rf"|(?:[{_ALIKE}]|(?<![^\W_])[0-9]+)?[^\W\d_]+(?:[0-9{_ALIKE}]+[^\W\d_]+)+[0-9{_ALIKE}]*"  # look-alikes within a word
-    rf"|(?<![^\W_])[0-9{_ALIKE}]+[^\W\d_]{{2,}}"  # or before it
+    rf"{_FIRST}{_ONE}(?:[ .\-_*]{_ONE}){{2,}}(?![^\W_])"  # letters and look-alikes set apart
+    rf"|{_FIRST}(?:[^\W\d_]++[{_ALIKE}]|[{_ALIKE}]++[^\W\d_])(?:[^\W\d_]|[{_ALIKE}])*+"  # a run with a letter and a look-alike
     rf"|(?<![^\W_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*",  # a letter three times or more
     re.IGNORECASE,
 )
-# Classes of characters for a quick look: a letter, a look-alike or digit, a separator, or anything else. UTF-8
-# continuation bytes are left out, so that one character is one byte.
+# Classes of characters for a quick look: a letter, a look-alike or digit, a separator, both of these, or anything
+# else. UTF-8 continuation bytes are left out, so that one character is one byte; the euro sign is looked up as $.
 _CLASSES = bytes(
-    ord("A") if chr(c) in LOOK_ALIKES
+    ord("M") if chr(c) == "*"
+    else ord("A") if chr(c) in LOOK_ALIKES
     else ord("L") if c >= 128 or chr(c).isalpha()
-    else ord("S") if chr(c) in " .-_"
+    else ord("S") if chr(c) in _SEPARATORS
     else ord("O")
     for c in range(256)
 )
+_QUICK = re.compile(rb"[AM]L|L[AM]|[LAM][SM][LAM][SM][LAM]")
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _LETTERS = re.compile(r"[^\W\d_]+")
-_LONGEST = 64  # characters of one lattice; longer spans are decoded in pieces
+_SETTLED = 4096  # steps of a lattice after which the beginning that all readings share is written out
+_REMEMBERED = 64  # characters of the longest span whose reading is remembered
 
 
 def symbol(c: str) -> int:
@@ -77,13 +82,13 @@ def count_trigrams(texts: list[bytes]) -> np.ndarray:
 def may_be_disguised(text: str) -> bool:
     """False only if no disguised span is in the text (repeated letters of over two bytes aside)."""
     data = text.encode("utf-8", "replace")
-    classes = data.translate(_CLASSES, _CONTINUATION)
-    if b"AL" in classes or b"LSLSL" in classes or b"SAS" in classes or classes.startswith(b"AS"):
+    classes = data.replace(b"\xe2\x82\xac", b"$").translate(_CLASSES, _CONTINUATION)
+    if _QUICK.search(classes):
         return True
     x = np.frombuffer(data.lower(), np.uint8)
     if len(x) > 2 and ((x[:-2] == x[1:-1]) & (x[1:-1] == x[2:]) & (x[2:] >= 97) & (x[2:] <= 122)).any():
         return True
-    if len(classes) == len(data) or len(x) < 6:
+    if data.isascii() or len(x) < 6:
         return False
     again = x[:-2] == x[2:]
     return bool((again[:-3] & again[1:-2] & again[2:-1] & again[3:] & (x[:-5] >= 0xC0)).any())
@@ -107,7 +112,7 @@ class CharacterModel:
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
     """For each character, or run of one letter, what it may stand for and at which log-probability."""
-    apart = len(span) > 4 and all(not c.isalnum() for c in span[1::2])
+    apart = len(span) > 4 and all(c in _SEPARATORS for c in span[1::2])
     steps: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(span):
@@ -115,24 +120,46 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
         while i + run < len(span) and span[i + run].lower() == c.lower():
             run += 1
         if apart and i % 2 and run == 1:
-            steps.append([("", DROPPED), (" ", LITERAL)])
+            alike = LOOK_ALIKES.get(c, "")
+            steps.append([("", DROPPED), (" ", LITERAL), *((x, REPLACED - np.log(len(alike))) for x in alike)])
         elif c.isalpha() and run > 2:
             steps.append([(c, SINGLED), (c * 2, SINGLED + np.log(0.5))])
         else:
             alike = LOOK_ALIKES.get(c, "")
-            one = [(c, LITERAL), *((x, REPLACED - np.log(len(alike))) for x in alike)]
-            steps += [one] * run
+            meant = [(x, REPLACED - np.log(len(alike))) for x in alike]
+            steps += [[(each, LITERAL), *meant] for each in span[i : i + run]]
         i += run
     return steps
 
 
+def _settle(best: dict[tuple[int, int], tuple[float, list]], parts: list[str]) -> None:
+    """Moves to `parts` what all readings begin with, so that memory does not grow with the span."""
+    paths = []
+    for _, node in best.values():
+        path = []
+        while node is not None:
+            path.append(node)
+            node = node[0]
+        paths.append(path[::-1])
+    shared = 0
+    for nodes in zip(*paths, strict=False):
+        if any(n is not nodes[0] for n in nodes):
+            break
+        shared += 1
+    # The last node stays, for the states refer to it.
+    shared = min(shared, min(map(len, paths)) - 1)
+    parts.extend(n[1] for n in paths[0][:shared])
+    for path in paths:
+        path[shared][0] = None
+
+
 def decode(span: str, model: CharacterModel) -> str:
-    """The likeliest reading of a span: Viterbi over the last two symbols."""
-    logs = model.logs
-    best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-    for options in lattice(span):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+    """The likeliest reading of a span of any length: one Viterbi pass over the last two symbols."""
+    logs, parts = model.logs, []
+    best: dict[tuple[int, int], tuple[float, list | None]] = {(EDGE, EDGE): (0.0, None)}
+    for n, options in enumerate(lattice(span), 1):
+        after: dict[tuple[int, int], tuple[float, list]] = {}
+        for (a, b), (score, node) in best.items():
             for meant, channel in options:
                 x, y, total = a, b, score + channel
                 for ch in meant:
@@ -143,9 +170,16 @@ def decode(span: str, model: CharacterModel) -> str:
                     x, y = y, z
                 known = after.get((x, y))
                 if known is None or total > known[0]:
-                    after[x, y] = (total, text + meant)
+                    after[x, y] = (total, [node, meant])
         best = after
-    return max((score + logs[a, b, EDGE] if b != EDGE else score, text) for (a, b), (score, text) in best.items())[1]
+        if n % _SETTLED == 0:
+            _settle(best, parts)
+    _, node = max(((score + logs[a, b, EDGE] if b != EDGE else score, node) for (a, b), (score, node) in best.items()), key=lambda r: r[0])
+    rest = []
+    while node is not None:
+        rest.append(node[1])
+        node = node[0]
+    return "".join(parts + rest[::-1])
 
 
 class Restorer:
@@ -156,9 +190,13 @@ class Restorer:
 
     def _span(self, match: re.Match) -> str:
         span = match.group(0)
+        if any(c in LOOK_ALIKES and not c.isalnum() for c in span) and not any(map(str.isalpha, span)):
+            return span  # a sum, a rule or the like
         found = self.known.get(span)
         if found is None:
-            found = "".join(decode(span[i : i + _LONGEST], self.model) for i in range(0, len(span), _LONGEST))
+            found = decode(span, self.model)
+            if len(span) > _REMEMBERED:
+                return found
             if len(self.known) >= self.remember:
                 self.known.clear()
             self.known[span] = found
