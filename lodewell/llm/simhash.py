@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewell.functions.names import fresh
@@ -214,6 +215,12 @@ def groups(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
     linked like any other. Rows with a null key keep their fingerprint and take part in nothing else: they get
     the group of their fingerprint, null if no key has it. Repeated rows are returned as often as given.
     """
+    prints, answer = _answered(docs, text, key)
+    return prints.join(answer, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _answered(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, fp) of every row, and (fp, root, component_id) of every fingerprint; `root` names the group."""
     prints = materialize(fingerprints(docs, text=text, key=key), "fingerprints")
     # One row per distinct fingerprint: exact copies, however many, take no further part.
     distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("low")), "distinct")
@@ -221,16 +228,40 @@ def groups(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
     rooted = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     # Written, so that both sides of the last join are plain exchanges and a hot fingerprint can be split.
-    answer = materialize(rooted.join(lowest, "root").select("fp", "component_id"), "answer")
-    return prints.join(answer, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints, materialize(rooted.join(lowest, "root").select("fp", "root", "component_id"), "answer")
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of `docs` that are first (smallest key) in their group, all columns kept; rows with a null key stay.
 
-    Of rows repeated under the one key that stays, one arbitrary row is returned.
+    A row is judged by its key and its own fingerprint, so that texts of different groups may share a key: each
+    group keeps one row. Of rows of one group repeated under the key that stays, that with the smallest text (null
+    first) is returned, an arbitrary one if the texts are equal too.
     """
-    gone, row = fresh(docs, "_gone"), fresh(docs, "_row")
-    found = groups(docs, text=text, key=key).where((F.col(key) != F.col("component_id"))).select(F.col(key).alias(gone)).distinct()
-    kept = docs.join(found, F.col(key) == F.col(gone), "left_anti")
-    return kept.withColumn(row, F.when(F.col(key).isNull(), F.monotonically_increasing_id())).dropDuplicates([key, row]).drop(row)
+    gone, fp, root, row = (fresh(docs, name) for name in ("_gone", "_fp", "_root", "_row"))
+    prints, answer = _answered(docs, text, key)
+    placed = prints.where(F.col(key).isNotNull()).join(answer, "fp")
+    keys = placed.groupBy(F.col(key).alias(gone)).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("component_id").alias("first"))
+    # Most keys have texts of one group and are judged as a whole; only rows of the others need their fingerprint.
+    several = materialize(keys.where("low <> high").select(gone), "several")
+    found = keys.where((F.col("low") == F.col("high")) & (F.col(gone) != F.col("first"))).select(gone)
+    kept = docs.join(found, F.col(key) == F.col(gone), "left_anti").withColumn(root, F.lit(0).cast("long"))
+    if not several.isEmpty():
+        clashing = docs.join(several, F.col(key) == F.col(gone), "left_semi")
+        own = answer.select(F.col("fp").alias(gone), F.col("root").alias(root), F.col("component_id").alias(row))
+        # Written, so that a hot fingerprint can be split in the join.
+        marked = materialize(clashing.withColumn(fp, _fingerprint_of(F.col(text))), "clashing")
+        chosen = marked.join(own, F.col(fp) == F.col(gone)).where(F.col(key) == F.col(row)).select(*docs.columns, root)
+        kept = kept.join(several, F.col(key) == F.col(gone), "left_anti").unionByName(chosen)
+    kept = kept.withColumn(row, F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    least = F.struct(F.col(text).isNotNull(), F.coalesce(text, F.lit("")))
+    one = kept.groupBy(F.col(key).alias(gone), root, row).agg(F.min_by(F.struct(*docs.columns), least).alias(fp))
+    return one.select(f"{fp}.*")
+
+
+def _fingerprint_of(text: Column) -> Column:
+    @F.pandas_udf("long")
+    def compute(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+
+    return compute(text.cast("binary"))
