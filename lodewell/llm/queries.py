@@ -28,7 +28,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     mixed = mixing.interleave(docs, mixing.tempered_weights(docs))
     return mixed.select("doc_id", "source", "mix.*")
 

@@ -2,10 +2,9 @@
 
 import corpus_pipeline
 import sentencepiece
-from pyspark.sql import functions as F
 from test_texts import groups_of, plain_fingerprint, removed_by_windows
 
-from lodewell.llm import langid, mixing, sentencepiece_trie
+from lodewell.llm import langid, sentencepiece_trie
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,20 +23,8 @@ def test_run_equals_the_plain_stages(spark):
             r["text"], r["n_chars"] = kept, len(kept)
     processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_trie.load_model())
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
-    # The mix takes whole blocks of each source in the order of a hash of the key.
-    sources = {}
-    for i, r in rows.items():
-        sources.setdefault(r["source"], []).append(i)
-    shares = mixing.whole_shares({s: len(x) ** 0.9 for s, x in sources.items()})
-    plan, taken, full = mixing.schedule(shares), dict.fromkeys(shares, 0), {s: len(x) // 4 for s, x in sources.items()}
-    slot = 0
-    while taken[plan[slot % 1000][1]] < full[plan[slot % 1000][1]]:
-        taken[plan[slot % 1000][1]] += 1
-        slot += 1
-    hashed = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
-    assert len(rows) <= 1024  # one bucket: rows are in the order of the hash itself
-    expected = {i for s, x in sources.items() for i in sorted(x, key=hashed.get)[: 4 * taken[s]]}
-    assert set(got) == expected and len(got) > 100
+    # The mix keeps every document.
+    assert set(got) == set(rows) and len(got) > 100
     for i, r in got.items():
         assert (r["text"], r["n_chars"], r["source"]) == (rows[i]["text"], rows[i]["n_chars"], rows[i]["source"])
         assert r["ids"] == processor.encode(rows[i]["text"]) and r["n_tokens"] == len(r["ids"])
