@@ -106,35 +106,30 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     key: str = "doc_id",
-    docs_per_language: int = 128,
-    chars_per_doc: int = 1000,
+    docs_per_language: int = 64,
     **settings,
 ) -> LanguageModel:
-    """Dictionaries from at most `docs_per_language` rows of each language, `chars_per_doc` characters of each.
+    """Dictionaries from the whole texts of at most `docs_per_language` rows of each language, short ones included.
 
-    These two parameters bound the sample, and so what reaches the driver. Rows are picked by a hash of the
-    key: of each language and hash bucket the least, an aggregation that combines map-side, so that no language
-    is ever in one task. Rows with null text, language or key are not used; no usable rows give a model that
-    answers `und` only.
+    That parameter bounds the sample, and so what reaches the driver: a dictionary per language. Of each language and
+    hash bucket the row whose key has the least hash is taken, an aggregation that combines map-side, so that no
+    language is ever in one task; of rows that share that key the one with the smallest text. Rows with null text,
+    language or key are not used; no usable rows, as of an empty table, give a model that answers `und` only. Other
+    columns may have any name.
     """
-    usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
+    spark = labelled.sparkSession
     hashed = F.xxhash64(F.col(key).cast("string"))
-    chosen = (
-        usable.where(F.length(text) >= 40)
-        .groupBy(F.col(lang).alias("l"), F.pmod(hashed, F.lit(docs_per_language)).alias("b"))
-        .agg(F.min_by(F.col(key), hashed).alias("k"), F.count("*").alias("n"))
-        .collect()
+    usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(lang).cast("string").alias("l"), F.pmod(hashed, F.lit(docs_per_language)).alias("b"), hashed.alias("h"), F.col(text).alias("t")
     )
-    keys, sizes = [r["k"] for r in chosen], Counter()
+    chosen = usable.groupBy("l", "b").agg(F.min("h").alias("h"), F.count("*").alias("n")).collect()
+    sizes = Counter()
     for r in chosen:
         sizes[r["l"]] += r["n"]
-    rows = (
-        usable.where(F.col(key).isin(keys)).select(F.col(lang).alias("l"), F.substring(text, 1, chars_per_doc).alias("t")).collect()
-        if keys
-        else []
-    )
+    wanted = F.broadcast(spark.createDataFrame([(r["l"], r["h"]) for r in chosen], "l string, h long"))  # a row a bucket
+    rows = usable.join(wanted, ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
     parts: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["l"], r["t"])):
+    for r in sorted(rows, key=lambda r: (r["l"], r["h"])):
         parts.setdefault(r["l"], []).append(normalize(r["t"]))
     names = sorted(parts, key=lambda name: (-sizes[name], name))
     return LanguageModel(tuple((name, b" ".join(parts[name])) for name in names), **settings)
@@ -164,6 +159,10 @@ def held_out(key: Column | str, folds: int, fold: int) -> Column:
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of `docs`, repeated rows included: key, lang_pred, score, margin, rejected."""
-    out = docs.select(F.col(key), language(model, F.col(text)).alias("_decision"))
-    return out.select(key, F.col("_decision.lang").alias("lang_pred"), "_decision.score", "_decision.margin", "_decision.rejected")
+    """One row per row of `docs`, repeated rows included: key, lang_pred, score, margin, rejected.
+
+    Null, empty and letterless texts are `und`; texts of any length are read whole. Rows with a null key are judged
+    like others, an empty table gives no rows, and other columns, whatever their names, are left out.
+    """
+    out = docs.select(F.col(key).alias("k"), language(model, F.col(text)).alias("d"))
+    return out.select(F.col("k").alias(key), F.col("d.lang").alias("lang_pred"), "d.score", "d.margin", "d.rejected")
