@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewell.functions.names import fresh
+from lodewell.llm.dealing import unit_pairs
 from lodewell.operators.components import connected_components
 from lodewell.sources.tables import materialize
 
@@ -50,16 +52,15 @@ def fingerprint(data: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp) for every row of `docs`; a null or blank text has fingerprint 0."""
+    """(k, fp), key and fingerprint, for every row of `docs`; a null or blank text has fingerprint 0."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(values, pa.int64())], names=["_key", "fp"])
+            values = [fingerprint(t) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(values, pa.int64())], names=["k", "fp"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    plain = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
-    return plain.mapInArrow(compute, f"_key {kind}, fp long").withColumnRenamed("_key", key)
+    plain = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
+    return plain.mapInArrow(compute, f"k {docs.schema[key].dataType.simpleString()}, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -162,15 +163,18 @@ class Forest:
                 self.label = up
 
 
-def leaf_links(points: np.ndarray, home: np.ndarray, reach: int = MAX_BITS, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked points: a spanning forest of the pairs within `reach` that have a partner at home."""
+def leaf_links(points: np.ndarray, home: np.ndarray, reach: int = MAX_BITS, *, within: bool = True, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked points: a spanning forest of the pairs within `reach` that have a partner at home.
+
+    Without `within`, points at home are compared with the others only.
+    """
     forest, own = Forest(len(points)), np.flatnonzero(home)
-    order = np.concatenate([own, np.flatnonzero(~home)])
+    order = np.concatenate([own, np.flatnonzero(~home)]) if within else np.flatnonzero(~home)
     target = points[own]
     for at in range(0, len(order), block):
         rows = order[at : at + block]
         # Points at home are compared with those before them only.
-        columns = min(at + len(rows), len(own))
+        columns = min(at + len(rows), len(own)) if within else len(own)
         i, j = np.nonzero(distance(points[rows][:, None], target[None, :columns]) <= reach)
         a, b = rows[i], own[j]
         forest.merge(a[a != b], b[a != b])
@@ -179,51 +183,82 @@ def leaf_links(points: np.ndarray, home: np.ndarray, reach: int = MAX_BITS, bloc
 
 
 def near_links(
-    prints: DataFrame, *, fp: str = "fp", leaf_rows: int = 2000, min_leaves: int = 32, max_leaves: int = 65536, sample_rows: int = 8192
+    prints: DataFrame, *, fp: str = "fp", leaf_rows: int = 2000, min_leaves: int = 32, sample_rows: int = 8192, sample_per_leaf: int = 16, unit_rows: int = 16384
 ) -> DataFrame:
     """(src, dst) links of distinct fingerprints, enough to connect all that are linked at `MAX_BITS` or fewer bits.
 
-    `prints` holds each fingerprint once. The tree is fitted on at most `sample_rows` of them (by hash), has about
-    n / `leaf_rows` leaves, `max_leaves` at most, and is the only thing that reaches the driver. Every leaf is
-    a group of its own; it returns a spanning forest, so thousands of near copies give thousands of links.
+    `prints` holds each fingerprint once; an empty table has no links. The tree has about n / `leaf_rows` leaves at every
+    size, `min_leaves` at least. It is fitted on a sample by hash of about `sample_per_leaf` fingerprints a leaf (one in
+    125 at these settings) or `sample_rows`, if that is more: the sample and the tree, some tens of bytes a leaf, are
+    all that reaches the driver. A leaf of more than `unit_rows` members or visitors is dealt out in units, and every two
+    units are compared in a group of their own; the other leaves are a group each. A group returns a spanning forest,
+    so thousands of near copies give thousands of links.
     """
     n = prints.count()
-    leaves = min(max_leaves, max(min_leaves, -(-n // leaf_rows)))
-    sample = prints.orderBy(F.xxhash64(fp)).limit(sample_rows).select(fp).toPandas()[fp].to_numpy(np.int64)
-    tree = build_tree(sample.view(np.uint64), leaves)
+    leaves = max(min_leaves, -(-n // leaf_rows))
+    share = min(1.0, max(sample_rows, sample_per_leaf * leaves) / max(1, n))
+    chosen = F.pmod(F.xxhash64(fp), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = prints.where(chosen).select(fp).toPandas()[fp].to_numpy(np.int64)
+    tree = build_tree(np.sort(sample).view(np.uint64), leaves)
+    units: dict[tuple[int, bool], int] = {}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for at, leaf, home in tree.route(batch.column(0).to_numpy().view(np.uint64)):
+                found[leaf, home] += len(at)
+        rows = [(leaf, home, n) for (leaf, home), n in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["leaf", "home", "n"])
+
+    plain = prints.select(F.col(fp).alias("fp"))
+    large = plain.mapInArrow(count, "leaf long, home boolean, n long").groupBy("leaf", "home").agg(F.sum("n").alias("n")).where(F.col("n") > unit_rows)
+    for r in large.collect():  # a row for each `unit_rows` routed fingerprints at most
+        units[r["leaf"], r["home"]] = -(-r["n"] // unit_rows)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy().view(np.uint64)
-            parts = [(at, np.full(len(at), leaf, np.int32), np.full(len(at), home)) for at, leaf, home in tree.route(points)]
-            at, leaf, home = map(np.concatenate, zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(home), pa.array(points[at].view(np.int64))], names=["leaf", "home", "fp"])
+            parts = []
+            for at, leaf, home in tree.route(points):
+                homes, visits = units.get((leaf, True)), units.get((leaf, False))
+                if homes is None and visits is None:
+                    parts.append((at, leaf, 0, 0, home))
+                    continue
+                homes, visits = homes or 1, visits or 1
+                unit = (points[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(homes if home else visits)
+                parts += [(at[mine], leaf, a, b, not right) for mine, a, b, right in unit_pairs(unit.astype(np.int64), home, homes, visits)]
+            column = lambda i, kind: np.repeat(np.array([p[i] for p in parts], kind), [len(p[0]) for p in parts])
+            at = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+            columns = [column(1, np.int64), column(2, np.int64), column(3, np.int64), column(4, bool), points[at].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["leaf", "a", "b", "home", "fp"])
 
     def link(group: pa.Table) -> pa.Table:
         points = group.column("fp").to_numpy().view(np.uint64)
-        a, b = leaf_links(points, group.column("home").to_numpy())
+        within = group.column("a")[0] == group.column("b")[0]
+        a, b = leaf_links(points, group.column("home").to_numpy(zero_copy_only=False), within=within)
         return pa.table({"src": points[a].view(np.int64), "dst": points[b].view(np.int64)})
 
-    routed = prints.select(F.col(fp).alias("fp")).mapInArrow(spread, "leaf int, home boolean, fp long")
-    return routed.groupBy("leaf").applyInArrow(link, "src long, dst long")
+    routed = plain.mapInArrow(spread, "leaf long, a long, b long, home boolean, fp long")
+    return routed.groupBy("leaf", "a", "b").applyInArrow(link, "src long, dst long")
 
 
 def groups(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of `docs`: key, fingerprint (16 hex digits), component_id (smallest key reachable).
 
     Rows whose fingerprints differ in 3 or fewer bits are linked. A null or blank text has fingerprint 0 and is
-    linked like any other. Rows with a null key keep their fingerprint and take part in nothing else: they get
-    the group of their fingerprint, null if no key has it. Repeated rows are returned as often as given.
+    linked like any other; a text of any length is read whole. Rows with a null key keep their fingerprint and take
+    part in nothing else: they get the group of their fingerprint, null if no key has it. Repeated rows are returned as
+    often as given, an empty table gives no rows, and other columns, whatever their names, are left out.
     """
     prints, answer = _answered(docs, text, key)
-    return prints.join(answer, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(answer, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _answered(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(key, fp) of every row, and (fp, root, component_id) of every fingerprint; `root` names the group."""
+    """(k, fp) of every row, and (fp, root, component_id) of every fingerprint; `root` names the group."""
     prints = materialize(fingerprints(docs, text=text, key=key), "fingerprints")
     # One row per distinct fingerprint: exact copies, however many, take no further part.
-    distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("low")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("k").alias("low")), "distinct")
     parts = connected_components(near_links(distinct.select("fp")))
     rooted = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -236,27 +271,24 @@ def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
 
     A row is judged by its key and its own fingerprint, so that texts of different groups may share a key: each
     group keeps one row. Of rows of one group repeated under the key that stays, that with the smallest text (null
-    first) is returned, an arbitrary one if the texts are equal too.
+    first) is returned, an arbitrary one if the texts are equal too. Null and blank texts are one group, texts of any
+    length are read whole, and an empty table stays empty. Columns may have any names.
     """
-    gone, fp, root, row = (fresh(docs, name) for name in ("_gone", "_fp", "_root", "_row"))
     prints, answer = _answered(docs, text, key)
-    placed = prints.where(F.col(key).isNotNull()).join(answer, "fp")
-    keys = placed.groupBy(F.col(key).alias(gone)).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("component_id").alias("first"))
-    # Most keys have texts of one group and are judged as a whole; only rows of the others need their fingerprint.
-    several = materialize(keys.where("low <> high").select(gone), "several")
-    found = keys.where((F.col("low") == F.col("high")) & (F.col(gone) != F.col("first"))).select(gone)
-    kept = docs.join(found, F.col(key) == F.col(gone), "left_anti").withColumn(root, F.lit(0).cast("long"))
-    if not several.isEmpty():
-        clashing = docs.join(several, F.col(key) == F.col(gone), "left_semi")
-        own = answer.select(F.col("fp").alias(gone), F.col("root").alias(root), F.col("component_id").alias(row))
-        # Written, so that a hot fingerprint can be split in the join.
-        marked = materialize(clashing.withColumn(fp, _fingerprint_of(F.col(text))), "clashing")
-        chosen = marked.join(own, F.col(fp) == F.col(gone)).where(F.col(key) == F.col(row)).select(*docs.columns, root)
-        kept = kept.join(several, F.col(key) == F.col(gone), "left_anti").unionByName(chosen)
-    kept = kept.withColumn(row, F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
-    least = F.struct(F.col(text).isNotNull(), F.coalesce(text, F.lit("")))
-    one = kept.groupBy(F.col(key).alias(gone), root, row).agg(F.min_by(F.struct(*docs.columns), least).alias(fp))
-    return one.select(f"{fp}.*")
+    placed = prints.where("k IS NOT NULL").join(answer, "fp")
+    keys = placed.groupBy("k").agg((F.count("*") > 1).alias("several"), F.min("component_id").alias("first"))
+    # Rows under a key of their own are judged by the key; only those that share one need their fingerprint.
+    keys = materialize(keys.where((F.col("k") != F.col("first")) | F.col("several")), "keys")
+    kept = docs.join(keys.select("k").withColumnRenamed("k", gone := fresh(docs, "_gone")), F.col(key) == F.col(gone), "left_anti")
+    several = keys.where("several").select(F.col("k").alias(gone))
+    if several.isEmpty():
+        return kept
+    shared = docs.join(several, F.col(key) == F.col(gone), "left_semi")
+    shared = shared.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(text).alias("t"), _fingerprint_of(F.col(text)).alias("fp"))
+    # Written, so that a hot fingerprint can be split in the join.
+    chosen = materialize(shared, "shared").join(answer, "fp").where("k = component_id")
+    least = F.struct(F.col("t").isNotNull(), F.coalesce("t", F.lit("")))
+    return kept.unionByName(chosen.groupBy("k", "root").agg(F.min_by("row", least).alias("row")).select("row.*"))
 
 
 def _fingerprint_of(text: Column) -> Column:
