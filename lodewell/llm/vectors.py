@@ -24,4 +24,6 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, by way of their largest component, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0.0) if len(x) else x
     return x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -100,7 +100,7 @@ def vectors(spark):
     return spark.createDataFrame(rows + BAD, "vec_id long, embedding array<float>, label int"), rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"cell_rows": 10, "unit_rows": 7}, {"cell_rows": 25, "unit_rows": 1000}])
+@pytest.mark.parametrize("sizes", [{}, {"part_rows": 10, "unit_rows": 7}, {"part_rows": 25, "unit_rows": 1000}])
 def test_range_join_against_brute_force(spark, vectors, sizes):
     df, rows = vectors
     x = np.array([r[1] for r in rows], np.float32).astype(np.float64)
@@ -121,6 +121,28 @@ def test_range_join_against_brute_force(spark, vectors, sizes):
     assert [g for g in got if g[0] is None] == [(None, 0, None, False)]
 
 
+@pytest.mark.parametrize("dimension,n", [(2, 40), (3, 300), (8, 1500)])
+def test_pivots_lose_no_link(dimension, n):
+    """Cells, visitors and planes against the plain product, at every number of vectors; some cells are left out."""
+    rng = np.random.default_rng(n)
+    x = range_join.units(np.repeat(rng.normal(size=(n // 5, dimension)), 5, axis=0) + rng.normal(size=(n // 5 * 5, dimension)) * 0.1)
+    near = x @ x.T >= 0.93
+    met = [(int(a), int(b)) for i, j in range_join.links_within(x, None, 0.93) for a, b in zip(i, j, strict=True)]
+    assert len(met) == len(set(map(frozenset, met))) and set(map(frozenset, met)) == {frozenset(map(int, p)) for p in zip(*np.nonzero(np.triu(near, 1)), strict=True)}
+    left, right = x[::2], x[1::2]
+    met = [(int(a), int(b)) for i, j in range_join.links_within(left, right, 0.93) for a, b in zip(i, j, strict=True)]
+    assert sorted(met) == sorted((int(a), int(b)) for a, b in zip(*np.nonzero(left @ right.T >= 0.93), strict=True))
+    pivots = range_join.Pivots(x[:: max(1, n // 10)], range_join.reach_of(0.93))
+    assert sum(len(at) for at, _, _ in pivots.route(x)) < len(x) * len(pivots.x)
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(1, [1e200, 1.0], 1), (2, [1e200, 2.0], 1), (3, [1e-200, 1e-200], 1), (4, [3e-200, 3e-200], 1), (5, [1e-200, -1e-200], 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, rep string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in range_join.near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
 def test_range_join_of_nothing(spark, vectors):
     assert range_join.near_vectors(vectors[0].limit(0)).count() == 0
 
