@@ -58,7 +58,7 @@ class Codebooks:
         return np.matmul(self.words, queries.T.astype(np.float32))
 
 
-def train(sample: np.ndarray, *, books: int = 12, words: int = 256, rounds: int = 6, seed: int = 11, beam: int = 4) -> Codebooks:
+def train(sample: np.ndarray, *, books: int = 32, words: int = 256, rounds: int = 4, seed: int = 11, beam: int = 4) -> Codebooks:
     """Residual k-means: each codebook is fitted to what the ones before leave over."""
     rng = np.random.default_rng(seed)
     rest = sample.astype(np.float32)
@@ -90,12 +90,11 @@ def fit(vectors: DataFrame, *, vector: str = "embedding", sample_rows: int = 819
     return train(np.unique(np.stack(picked["x"][lengths == dimension].to_numpy()).astype(np.float64), axis=0), **settings)
 
 
-def index(vectors: DataFrame, books: Codebooks, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, vector, codes, scale) of every usable vector of the codebooks' dimension, copies included.
+def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
+    """(rep, codes, scale) of every row of `vectors` (rep, x).
 
     scale is the stored norm over that of the decoded vector, and corrects its inner products.
     """
-    fields = vectors.select(F.col(key).alias("k"), F.col(vector).alias("x")).where(usable("x") & (F.size("x") == books.dimension) & F.col("k").isNotNull())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,98 +104,93 @@ def index(vectors: DataFrame, books: Codebooks, *, key: str = "vec_id", vector:
                 codes = books.encode(x)
                 decoded = np.linalg.norm(books.decode(codes), axis=1)
                 scale = np.linalg.norm(x, axis=1) / np.where(decoded > 0, decoded, 1.0)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float32))],
-                    names=["k", "x", "codes", "scale"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], names=["rep", "codes", "scale"])
 
-    key_type, kind = vectors.schema[key].dataType.simpleString(), vectors.schema[vector].dataType.simpleString()
-    return fields.mapInArrow(encode, f"k {key_type}, x {kind}, codes binary, scale float")
+    return vectors.select("rep", "x").mapInArrow(encode, "rep long, codes binary, scale double")
 
 
-def search(
-    indexed: DataFrame, books: Codebooks, is_query: Column, *, k: int = 20, pool: int = 512, candidate_rows: int = 16384, query_rows: int = 4096
+def candidates(
+    indexed: DataFrame, queries: DataFrame, books: Codebooks, *, pool: int = 128, candidate_rows: int = 65536, query_rows: int = 16384
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest inner products found for each indexed row that is a query.
+    """(query, rep): for each of `queries` (query, x) the `pool` best of the index by lookup-table scores.
 
-    All other rows are candidates; ties go to the smaller key. Queries and candidates are dealt by a hash into
-    units, and each pair of units is a group: its lookup-table scores pick `pool` candidates for each query,
-    which are scored in double precision. A group first leaves out copies of one vector beyond the k + 1 smallest
-    keys, which no answer can hold, so that no copy displaces another vector. A query with fewer candidates gets all.
+    Queries and index are dealt by a hash into units, and each pair of units is a group of its own. Only codes, scales
+    and the queries' vectors travel; a unit's best meet those of the others in a ranking that is cut off map-side.
     """
-    n = indexed.count()
-    asked = indexed.where(is_query).count()
-    candidate_units, query_units = max(1, -(-n // candidate_rows)), max(1, -(-asked // query_rows))
-    unit = F.xxhash64("k")
-    candidates = indexed.select(F.lit(False).alias("asks"), "k", "x", "codes", "scale", F.pmod(unit, F.lit(candidate_units)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_units - 1).cast("long"))).alias("q"))
-    queries = indexed.where(is_query).select(
-        F.lit(True).alias("asks"), "k", "x", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("scale"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(candidate_units - 1).cast("long"))).alias("c"), F.pmod(unit, F.lit(query_units)).alias("q"),
-    )
-
-    def answer(group: pa.Table) -> pa.Table:
-        asks, keys = group.column("asks").to_numpy(zero_copy_only=False), group.column("k").to_numpy()
-        x = matrix(group.column("x"))
-        queries, there = np.flatnonzero(asks), np.flatnonzero(~asks)
-        there = there[np.argsort(keys[there], kind="stable")]
-        there = there[_copy_rank(x[there]) <= k]
-        out = []
-        if len(queries) and len(there):
-            codes = np.frombuffer(b"".join(group.column("codes").take(pa.array(there)).to_pylist()), np.uint8).reshape(len(there), -1)
-            scale = group.column("scale").take(pa.array(there)).to_numpy()
-            for at in range(0, len(queries), 128):
-                out += _best(books, queries[at : at + 128], there, x, keys, codes, scale, k, pool)
-        columns = [np.concatenate(c) if out else [] for c in (zip(*out, strict=True) if out else ((), (), ()))]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = candidates.union(queries).groupBy("c", "q").applyInArrow(answer, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _copy_rank(x: np.ndarray) -> np.ndarray:
-    """How many rows before a row hold the same vector."""
-    if not len(x):
-        return np.zeros(0, np.int64)
-    _, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
-    order = np.argsort(group, kind="stable")
-    first = np.concatenate([[0], np.cumsum(np.bincount(group))])[group[order]]
-    rank = np.empty(len(x), np.int64)
-    rank[order] = np.arange(len(x)) - first
-    return rank
-
-
-def _best(books, queries, there, x, keys, codes, scale, k, pool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query keys, candidate keys, scores) of each query's best among `there`, which is in order of key."""
-    table = books.table(x[queries])
-    rough = np.zeros((len(there), len(queries)), np.float32)
-    for at in range(0, len(there), 2048):  # small enough to stay in cache
+    there, asked = (max(1, -(-df.count() // rows)) for df, rows in ((indexed, candidate_rows), (queries, query_rows)))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    unit = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    none = lambda kind: F.lit(None).cast(kind)
+    left = indexed.select("rep", "codes", "scale", none("array<double>").alias("x"), unit("rep", there).alias("c"), numbers(asked).alias("q"))
+    right = queries.select(F.col("query").alias("rep"), none("binary").alias("codes"), none("double").alias("scale"), F.col("x").cast("array<double>").alias("x"), numbers(there).alias("c"), unit("query", asked).alias("q"))
+
+    def score(group: pa.Table) -> pa.Table:
+        asks = group.column("codes").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        names = group.column("rep").to_numpy()
+        these, those = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(these) and len(those):
+            x = matrix(group.column("x").take(pa.array(these)))
+            codes = np.frombuffer(b"".join(group.column("codes").take(pa.array(those)).to_pylist()), np.uint8).reshape(len(those), -1)
+            scale = group.column("scale").to_numpy()[those]
+            for at in range(0, len(these), 64):
+                near, rough = _roughly(books, x[at : at + 64], codes, scale, pool)
+                found.append((np.repeat(names[these[at : at + 64]], near.shape[1]), names[those[near]].ravel(), rough.ravel()))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "rep", "rough"])
+
+    found = left.unionByName(right).groupBy("c", "q").applyInArrow(score, "query long, rep long, rough double")
+    return _first(found, pool, "query", F.desc("rough"), "rep").select("query", "rep")
+
+
+def _roughly(books: Codebooks, queries: np.ndarray, codes: np.ndarray, scale: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query the `pool` rows of the best scores, and those scores, from tables of inner products."""
+    table = books.table(queries)
+    rough = np.zeros((len(codes), len(queries)), np.float32)
+    for at in range(0, len(codes), 2048):  # small enough to stay in cache
         part = rough[at : at + 2048]
         for m in range(len(table)):
             part += table[m][codes[at : at + 2048, m]]
-    rough *= scale[:, None]
-    rough[keys[there][:, None] == keys[queries][None, :]] = -np.inf  # its own row is no candidate
-    rough = np.ascontiguousarray(rough.T)
-    size = min(pool, len(there))
-    picked = np.argpartition(-rough, size - 1, axis=1)[:, :size] if size < len(there) else np.tile(np.arange(len(there)), (len(queries), 1))
-    found = []
-    for q, near in zip(queries, picked, strict=True):
-        near = there[near[keys[there[near]] != keys[q]]]
-        # Component by component in order, so that equal vectors get equal scores.
-        scores = np.add.accumulate(x[near] * x[q], axis=1)[:, -1] if len(near) else np.zeros(0)
-        best = np.lexsort((keys[near], -scores))[:k]
-        found.append((np.full(len(best), keys[q]), keys[near[best]], scores[best]))
-    return found
-
-
-def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, **settings) -> DataFrame:
-    """Fit, index and search in one: the k nearest of each row for which `is_query`, an expression of column `k`, holds.
+    rough = np.ascontiguousarray((rough * scale[:, None].astype(np.float32)).T)
+    size = min(pool, len(codes))
+    near = np.argpartition(-rough, size - 1, axis=1)[:, :size]
+    return near, np.take_along_axis(rough, near, axis=1)
 
+
+def _first(rows: DataFrame, n: int, by: str, *order: Column | str) -> DataFrame:
+    """The first n rows of each `by`, with their `rank`."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, pool: int = 128, books: Codebooks | None = None, **settings) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of each row for which `is_query`, an expression of column `k`, holds.
+
+    Nearness is the inner product in double precision, ties go to the smaller key, and a row is no neighbour of its own.
     Rows whose vector is null, empty, zero, or holds a null or non-finite component, and rows of another dimension or
-    with a null key, take no part; no usable vector gives no rows. Keys are integers.
+    with a null key, take no part; no usable vector, as in an empty table, gives no rows. Keys are integers; repeated
+    rows are a candidate each and one query, rows of one key and unlike vectors a query each. Other columns, whatever their names, are left out.
+
+    The index holds each distinct vector once, named by its smallest key, so that no number of copies displaces another
+    vector; copies are put back behind the exact scores, the k + 1 smallest keys of each. Pooled survivors are
+    joined with the original vectors and scored exactly. With fewer candidates than `pool` the answer is exact.
     """
-    books = fit(vectors, vector=vector)
+    spark = vectors.sparkSession
+    books = books or fit(vectors, vector=vector)
     if books is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    indexed = materialize(index(vectors, books, key=key, vector=vector), "index")
-    return search(indexed, books, is_query, k=k, **settings)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("x")).where(usable("x") & (F.size("x") == books.dimension) & F.col("k").isNotNull())
+    distinct = materialize(rows.groupBy("x").agg(F.min("k").alias("rep")), "distinct")
+    # Both sides are plain exchanges, so that a hot vector can be split.
+    asked = materialize(rows.where(is_query).select("k", "x").join(distinct, "x").select(F.col("k").alias("query_id"), F.col("rep").alias("query")).distinct(), "asked")
+    queries = distinct.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("query"), "x")
+    found = candidates(materialize(index(distinct, books), "index"), queries, books, pool=max(pool, k) + 1, **settings)  # one may be the query itself
+    # Component by component in order, so that equal vectors get equal scores.
+    product = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    scored = found.join(queries.withColumnRenamed("x", "y"), "query").join(distinct, "rep").select("query", "rep", product.alias("score"))
+    best = _first(scored, k + 1, "query", F.desc("score"), "rep").drop("rank")
+    order = Window.partitionBy("x").orderBy("k")
+    copies = rows.select("x", "k", F.first("k").over(order).alias("rep"), F.row_number().over(order).alias("copy")).where(F.col("copy") <= k + 1)
+    best = _first(best.join(copies.select("rep", "k"), "rep"), k + 1, "query", F.desc("score"), "k").select("query", F.col("k").alias("vec_id"), "score")
+    answers = asked.join(materialize(best, "best"), "query").where("query_id <> vec_id")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
+    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -51,6 +51,9 @@ def test_archives_against_the_pages(spark):
     assert kinds == [(1, "response", None, 200), (2, "revisit", 1, 200), (3, "revisit", 1, 200), (3, "revisit", 1, 200), (4, "response", None, 5), (5, "response", None, 5), (6, "response", None, 0), (7, "response", None, 0), (8, "response", None, 300)]
     assert {r["payload"] for r in rows if r["page_id"] == 8} == {("é\r\n\r\n" * 50).encode()} and {r["url"] for r in rows if r["page_id"] == 7} == {"u v"}
     assert warc_zip.round_trip(pages.limit(0)).count() == 0
+    assert sorted(map(str, warc_zip.read_archives(archives, payloads=True, task_bytes=300).collect())) == sorted(map(str, rows))
+    more = pages.limit(3).selectExpr("page_id", "url", "repeat(html, 100000) AS html", "1 AS payload", "2 AS digest", "3 AS refers_to", "4 AS first", "5 AS page")
+    assert sorted((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in warc_zip.round_trip(more).collect()) == [(1, 20_000_000, None), (2, 20_000_000, 1), (3, 20_000_000, 1)]
 
 
 def reader(data):
@@ -74,6 +77,16 @@ def test_zip64_directories_are_read():
     assert [r["payload"] for r in warc_zip.read_archive(reader(wide), len(wide))] == [b"payload"]
 
 
+def test_neighbours_are_read_together():
+    payloads = [bytes([65 + i]) * (50 * i + 1) for i in range(20)]
+    data = warc_zip.archive([warc_zip.record(i, "u", p, warc_zip.hashlib.sha256(p).hexdigest(), None) for i, p in enumerate(payloads)])
+    for most in (1, 900, 1 << 20):
+        asked = []
+        got = list(warc_zip.read_archive(lambda at, n, asked=asked: (asked.append(n), data[at : at + n])[1], len(data), most))
+        assert [r["payload"] for r in got] == payloads and len(asked) == {1: 25, 1 << 20: 6}.get(most, len(asked))
+        assert max(asked[5:]) <= max(most, 1500)
+
+
 def test_damaged_archives_are_refused():
     data = warc_zip.archive([warc_zip.record(1, "u", b"payload", "0" * 64, None)])
     with pytest.raises(ValueError, match="digest"):
@@ -174,6 +187,16 @@ def test_nearest_edges(spark, vectors):
     assert additive.nearest(df.limit(0), F.col("k") % 50 == 0).count() == 0
     few = additive.nearest(df.where("vec_id < 4"), F.col("k") == 0)
     assert few.count() == 3
+    named = df.selectExpr("vec_id", "embedding", "1 AS k", "2 AS x", "3 AS rep", "4 AS score", "5 AS query")
+    assert sorted(map(tuple, additive.nearest(named, F.col("k") % 50 == 0, k=5).collect())) == sorted(tuple(r) for r in got.itertuples(index=False))
+    # Very many copies of one vector displace no other.
+    copies = spark.range(3000).selectExpr("id + 10000 AS vec_id", "array(1.0F, 0.0F, 0.0F, 0.0F, 0.0F, 0.0F) AS embedding")
+    far = spark.createDataFrame([(1, [2.0] + [0.0] * 5), (2, [1.5, 0.1] + [0.0] * 4)], "vec_id long, embedding array<float>")
+    best = {}
+    for r in additive.nearest(copies.union(far), F.col("k").isin(2, 10000, 10007), k=3, pool=2).collect():
+        best.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(best[2]) == [(1, 1, 3.0), (2, 10000, 1.5), (3, 10001, 1.5)]
+    assert sorted(best[10000]) == [(1, 1, 2.0), (2, 2, 1.5), (3, 10001, 1.0)] and sorted(best[10007]) == [(1, 1, 2.0), (2, 2, 1.5), (3, 10000, 1.0)]
 
 
 def test_queries_are_whole(spark):
