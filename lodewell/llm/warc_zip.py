@@ -159,20 +159,30 @@ def archive(records: list[bytes]) -> bytes:
     return out.getvalue()
 
 
-def read_archive(read: Read, size: int) -> Iterator[dict]:
-    """The records of an archive, each read by its own range."""
+def read_archive(read: Read, size: int, range_bytes: int = 4 << 20) -> Iterator[dict]:
+    """The records of an archive. Neighbours are read together, in ranges of at most `range_bytes` or of one record."""
     members = directory(read, size)
     index, records = members[INDEX], members[RECORDS]
     begin = records.start(read)
-    for line in read(index.start(read), index.size).decode().split("\n"):
-        if line:
-            place = json.loads(line)
-            yield parse(read(begin + place["offset"], place["length"]))
+    places = [json.loads(line) for line in read(index.start(read), index.size).decode().split("\n") if line]
+    places = [(p["offset"], p["length"]) for p in places]
+    at = 0
+    while at < len(places):
+        start, last = places[at][0], at + 1
+        while last < len(places) and places[last][0] == sum(places[last - 1]) and sum(places[last]) - start <= range_bytes:
+            last += 1
+        data = read(begin + start, sum(places[last - 1]) - start)
+        for offset, length in places[at:last]:
+            yield parse(data[offset - start : offset - start + length])
+        at = last
 
 
 def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = 16 << 20) -> DataFrame:
     """Write each row of `pages` as a record into archives below `folder`; (path, bytes, records) of each archive.
 
+    A payload of any length is one record, an empty table gives no archive, and other columns, whatever their names, are
+    left out.
+
     `folder` is a URI that driver and executors share. A null html is an empty payload. Of equal payloads of at
     least 100 bytes the rows with the smallest key are responses and the others revisit them; smaller payloads,
     and rows with a null key, are all responses. A task writes files of its own names and lists them only when
@@ -212,9 +222,10 @@ def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url:
     return materialize(written, "archives")
 
 
-def read_archives(archives: DataFrame, *, payloads: bool = False) -> DataFrame:
-    """Every record of the archives that `archives` (path) lists: page_id, url, payload_bytes, payload_digest,
-    record_type, refers_to, and with `payloads` the payload of responses. A damaged archive fails the job."""
+def read_archives(archives: DataFrame, *, payloads: bool = False, task_bytes: int = 64 << 20, range_bytes: int = 4 << 20) -> DataFrame:
+    """Every record of the archives that `archives` (path, bytes) lists: page_id, url, payload_bytes, payload_digest,
+    record_type, refers_to, and with `payloads` the payload of responses. A damaged archive fails the job; no archives
+    give no rows. Archives are packed into tasks of about `task_bytes`, or into as many as the cluster runs at once."""
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     fields += [("payload", pa.binary())] * payloads
     schema = pa.schema(fields)
@@ -225,7 +236,7 @@ def read_archives(archives: DataFrame, *, payloads: bool = False) -> DataFrame:
                 files, name = pa.fs.FileSystem.from_uri(path)
                 with files.open_input_file(name) as file:
                     rows = []
-                    for found in read_archive(lambda at, n, file=file: file.read_at(n, at), file.size()):
+                    for found in read_archive(lambda at, n, file=file: file.read_at(n, at), file.size(), range_bytes):
                         rows.append(found)
                         if len(rows) >= 1000:
                             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -233,10 +244,15 @@ def read_archives(archives: DataFrame, *, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    dealt = archives.select("path").repartition(max(1, archives.count()))
+    n, total = archives.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = min(n, max(archives.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes)))
+    dealt = archives.select("path").repartition(max(1, tasks))
     return dealt.mapInArrow(read, ddl)
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
-    """Write `pages` to archives in the shared folder and read all records back."""
+    """Write `pages` to archives in the shared folder and read all records back, one row per row of `pages`.
+
+    Nulls, ties, empty and repeated payloads, an empty table and other columns are treated as in `write_archives`.
+    """
     return read_archives(write_archives(pages, scratch_path(pages.sparkSession, "warc"), **columns))
