@@ -23,32 +23,88 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Public license notices, as templates.
+# Public licenses and notices, as templates. Where a notice names its holder any words may stand.
 TEMPLATES = {
     "apache-2.0": [
-        "licensed under the apache license version 2.0",
+        "licensed under the apache license version 2.0 [[the license [[you may not use this file except in compliance with the license]]]]",
         "apache license [[version]] 2.0",
-        "you may not use this file except in compliance with the license",
+        "you may not use this file except in compliance with the license"
+        " [[you may obtain a copy of the license at <<8>> unless required by applicable law or agreed to in writing software"
+        " distributed under the license is distributed on an as is basis without warranties or conditions of any kind"
+        " either express or implied see the license for the specific language governing permissions and limitations under the license]]",
     ],
     "mit": [
         "[[released]] under the mit license",
         "mit license [[mit]]",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
-        " documentation files the [[software]] <<4>> to deal in the software without restriction",
+        " documentation files the [[software]] <<4>> to deal in the software without restriction"
+        " [[including without limitation the rights to use copy modify merge publish distribute sublicense and or sell"
+        " copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        " [[the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all"
+        " copies or substantial portions of the software"
+        " [[the software is provided as is without warranty of any kind express or implied including but not limited to the"
+        " warranties of merchantability fitness for a particular purpose and noninfringement in no event shall"
+        " <<12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising"
+        " from out of or in connection with the software or the use or other dealings in the software]]]]]]",
     ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted"
-        " [[provided that the following conditions are met]]",
+        " [[provided that the following conditions are met"
+        " [[[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the"
+        " following disclaimer in the documentation and or other materials provided with the distribution"
+        " [[[[3]] neither the name of <<12>> nor the names of [[its]] [[the]] [[copyright holder nor the names of its]] contributors may be used to endorse or promote"
+        " products derived from this software without specific prior written permission]]"
+        " [[this software is provided by <<12>> as is and any express or implied warranties including but not limited to the"
+        " implied warranties of merchantability and fitness for a particular purpose are disclaimed]]]]]]",
         "bsd <<2>> license",
     ],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "mpl-2.0": ["mozilla public license [[v]] [[version]] 2.0"],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+        " [[provided that the above copyright notice and this permission notice appear in all copies"
+        " [[the software is provided as is and <<6>> disclaims all warranties with regard to this software including all"
+        " implied warranties of merchantability and fitness in no event shall <<6>> be liable for any special direct indirect"
+        " or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action"
+        " of contract negligence or other tortious action arising out of or in connection with the use or performance of this software]]]]",
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable"
+        " for any damages arising from the use of this software"
+        " [[permission is granted to anyone to use this software for any purpose including commercial applications and to alter"
+        " it and redistribute it freely subject to the following restrictions"
+        " [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software"
+        " [[if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required]]"
+        " [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software"
+        " [[3]] this notice may not be removed or altered from any source distribution]]",
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain"
+        " [[anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as"
+        " a compiled binary for any purpose commercial or non commercial and by any means]]",
+    ],
+    "bsl-1.0": [
+        "boost software license version 1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and"
+        " accompanying documentation covered by this license [[the software]] to use reproduce display distribute execute and"
+        " transmit the software [[and to prepare derivative works of the software and to permit third parties to whom the"
+        " software is furnished to do so all subject to the following]]",
+    ],
+    "mpl-2.0": [
+        "mozilla public license [[v]] [[version]] 2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2.0 [[if a copy of the mpl was not"
+        " distributed with this file you can obtain one at <<6>> mozilla org mpl 2.0]]",
+    ],
     "gpl-notice": [
-        "licensed under the gnu general public license [[version <<1>>]]",
-        "under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation",
+        "licensed under the gnu general public license [[version [[1]] [[2]] [[3]]]]",
+        "under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation"
+        " [[either version <<2>> of the license or at your option any later version]]",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied"
+        " warranty of merchantability or fitness for a particular purpose see the gnu [[lesser]] [[affero]] general public license for more details",
     ],
-    "cc-by-nc": ["licensed under cc by nc <<2>>", "creative commons attribution noncommercial <<3>>"],
-    "cc-by-notice": ["creative commons attribution [[4.0]] [[3.0]] international"],
+    "cc0": ["to the extent possible under law <<12>> has waived all copyright and related or neighboring rights to"],
+    "cc-by-nc": ["licensed under cc by nc [[nd]] [[sa]] [[2.0]] [[3.0]] [[4.0]]", "creative commons attribution noncommercial [[noderivatives]] [[sharealike]] [[3.0]] [[4.0]] [[international]]"],
+    "cc-by-sa": ["licensed under cc by sa [[2.0]] [[3.0]] [[4.0]]", "creative commons attribution sharealike [[3.0]] [[4.0]] [[international]] [[license]]"],
+    "cc-by-notice": ["creative commons attribution [[4.0]] [[3.0]] international [[license]]"],
     "copyright": ["copyright [[c]] <<6>> all rights reserved"],
 }
 
@@ -87,16 +143,16 @@ class Template:
         return firsts
 
     def match(self, words: list[bytes], at: int) -> int | None:
-        """The end of the shortest accepted text that begins at `at`."""
-        states, final = self.closure({0}), len(self.steps)
+        """The end of the longest accepted text that begins at `at`."""
+        states, final, end = self.closure({0}), len(self.steps), None
         for i in range(at, len(words)):
             states = {s + 1 for s in states if s < final and (self.steps[s] is None or self.steps[s] == words[i])}
             if not states:
-                return None
+                break
             states = self.closure(states)
             if final in states:
-                return i + 1
-        return None
+                end = i + 1
+        return end
 
 
 def compile_template(label: str, markup: str, base: bool = False) -> Template:
@@ -164,7 +220,8 @@ def licenses(text: Column | str, phrases: Mapping[str, str] = BASE_PHRASES, temp
     n_words; n_base, first_word and last_word: places of base phrases, the first and last of them (from 0, else
     null); base_labels and labels: distinct, sorted, comma-joined, empty if none; score: how much of a text of
     license wording it is, 0 without a match, 0.5 and up to 1 with the share of words matched; matches: each
-    place. Overlapping places all count. A null text is empty.
+    place. Of the texts that a template accepts from one place on the longest counts; overlapping places all count. A
+    null text is empty, as is one without words; a text of any length is read whole.
     """
     phrases, templates = dict(phrases), {k: list(v) for k, v in templates.items()}
 
@@ -201,5 +258,9 @@ def licenses(text: Column | str, phrases: Mapping[str, str] = BASE_PHRASES, temp
 
 
 def scan_licenses(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **given) -> DataFrame:
-    """One row per row of `docs`, repeated rows included: key and the fields of `licenses`."""
-    return docs.select(F.col(key), licenses(F.col(text), **given).alias("_found")).select(key, "_found.*")
+    """One row per row of `docs`, repeated rows included: key and the fields of `licenses`.
+
+    Rows with a null key are scanned like others, an empty table gives no rows, and other columns, whatever their
+    names, are left out.
+    """
+    return docs.select(F.col(key).alias("k"), licenses(F.col(text), **given).alias("found")).select(F.col("k").alias(key), "found.*")
