@@ -297,12 +297,14 @@ def fit(
 ) -> ToxicityModel:
     """A model from the texts of `docs` (characters) and those of them that `labels` (key, label 0 or 1) marks.
 
-    The labelled rows are a sample of at most `max_labelled`, by a hash of the key; only the keys of that sample are
-    broadcast, so that texts are not moved to their labels. Rows with null text, key or label are not used. Near copies, which mostly share their least phrase, count once. Words
-    and word beginnings are counted in all sampled rows, a document's distinct words once each; the `max_marks`
-    most frequent of the toxic rows are candidates, which bounds what reaches the driver. The logistic score
-    is fitted on at most `max_rows` rows, each summarized with the marks of the other half of the rows. Without
-    labelled rows of both kinds every text scores the share of toxic rows.
+    The labelled keys are a sample of at most `max_labelled`, by a hash of the key; only they are broadcast, so that
+    texts are not moved to their labels. Rows with null text, key or label are not used. A key with several labels is toxic
+    if one of them is 1, and of several texts under one key the smallest counts. Near copies, which mostly share their
+    least phrase, count once. Words and word beginnings are counted in all sampled rows, a document's distinct words once
+    each; the `max_marks` most frequent of the toxic rows are candidates, which bounds what reaches the driver. The
+    logistic score is fitted on at most `max_rows` rows, each summarized with the marks of the other half of the rows.
+    Without labelled rows of both kinds, as of an empty table, every text scores the share of toxic rows. The model does
+    not depend on how the input is partitioned. Other columns may have any names.
     """
     characters = CharacterModel.of(character_counts(docs, text=text))
 
@@ -310,14 +312,16 @@ def fit(
         restorer = Restorer(characters)
         for batch in batches:
             clean = [restorer(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(clean, pa.string()), batch.column(1), pa.array(map(_least_phrase, clean), pa.int64())], names=["t", "y", "least"]
-            )
+            columns = [pa.array(clean, pa.string()), batch.column(1), batch.column(2), pa.array(map(_least_phrase, clean), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["t", "y", "h", "least"])
 
-    marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     sample = F.broadcast(marked.orderBy(F.xxhash64("k"), "k").limit(max_labelled))
-    usable = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(sample, "k").select("t", "y")
-    restored = usable.mapInArrow(restore, "t string, y int, least long").dropDuplicates(["least", "y"])
+    usable = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(sample, "k")
+    single = usable.groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y", F.xxhash64("k").alias("h"))
+    restored = single.mapInArrow(restore, "t string, y int, h long, least long")
+    # Of near copies one text, whatever the partitions: the least by the hash of its key.
+    restored = restored.groupBy("least", "y").agg(F.min_by("t", F.struct("h", "t")).alias("t"))
     kept = materialize(restored.withColumn("half", F.pmod("least", F.lit(2)).cast("int")), "labelled")
 
     def counted(rows: DataFrame, wanted: set[str] | None) -> dict[str, list[int]]:
@@ -367,7 +371,7 @@ def fit(
             x = [marks[half].summary(words_of(t)) for t, half in pairs]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    sample = kept.select("least", "y").orderBy(F.xxhash64("least"), "y").limit(max_rows)
+    sample = F.broadcast(kept.select("least", "y").orderBy(F.xxhash64("least"), "y").limit(max_rows))  # numbers alone
     rows = kept.join(sample, ["least", "y"], "left_semi").select("t", "y", "half").mapInArrow(summarize, "x array<double>, y int").toPandas()
     return ToxicityModel(characters, weights(sum), _logistic(np.array(rows["x"].tolist()), rows["y"].to_numpy(float)))
 
@@ -410,6 +414,10 @@ def restored(model: ToxicityModel, text: Column | str) -> Column:
 
 
 def classify(docs: DataFrame, model: ToxicityModel, *, text: str = "text", key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
-    """One row per row of `docs`, repeated rows included: key, score, predicted (1 from `threshold` on)."""
-    scored = docs.select(F.col(key), toxicity(model, F.col(text)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """One row per row of `docs`, repeated rows included: key, score, predicted (1 from `threshold` on).
+
+    Null and empty texts score as a text without marks, long ones are read whole. Rows with a null key are scored like
+    others, an empty table gives no rows, and other columns, whatever their names, are left out.
+    """
+    scored = docs.select(F.col(key).alias("k"), toxicity(model, F.col(text)).alias("score"))
+    return scored.select(F.col("k").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
