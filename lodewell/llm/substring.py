@@ -3,21 +3,22 @@
 A window of `window` consecutive words that occurs twice has the same least phrase (of `phrase` words) both
 times. Counting the runs of windows that share a least phrase therefore finds every phrase that can lie in a
 recurring passage, with about one row per fifteen words; windows themselves are only counted under phrases
-whose surroundings differ between occurrences. The confirmed phrases of a shard of documents are compiled into
-one automaton, all documents of the shard are streamed through it, and every window around a hit that is
-confirmed is removed.
+whose surroundings differ between occurrences. A table names each confirmed phrase to every shard of documents that
+holds it, with one document to take its words from. The words of a shard's phrases are compiled into an automaton, all
+documents of the shard are streamed through it, and every confirmed window around a hit is removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import StructField, StructType
@@ -27,6 +28,8 @@ from lodewell.sources.tables import materialize
 WINDOW = 35
 PHRASE = 8
 
+ENTRY_PHRASE, ENTRY_WHOLE, ENTRY_WINDOW = 0, 1, 2
+
 _WORDS_AT_ONCE = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 5  # odd, 5 modulo 8: powers of it differ in all but a few low bits
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -58,9 +61,11 @@ class Passages:
         split = [t.split() if t else [] for t in texts]
         self.lengths = np.array([len(w) for w in split], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.words = [w for words in split for w in words]
+        self.words = list(chain.from_iterable(split))
         n = len(self.words)
-        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, self.words), dtype=np.uint64, count=n)
+        numbers = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
+        self.ids = np.fromiter(map(numbers.__getitem__, self.words), dtype=np.int64, count=n)
+        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, numbers), dtype=np.uint64, count=len(numbers))[self.ids]
         self.document = np.repeat(np.arange(len(texts)), self.lengths)
         count = max(0, n - window + 1)
         # A window is valid if it ends in the document it starts in.
@@ -110,17 +115,16 @@ class Passages:
         return doc[first], value[first], segment, np.maximum(often, 1)
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray]]:
-    """(texts, shards) of parts of a batch, each of a bounded size or a single document."""
-    texts, shards = batch.column("_text").to_pylist(), batch.column("_shard").to_numpy()
+def _portions(texts: list) -> Iterator[tuple[int, int]]:
+    """Bounds of parts, each of a bounded size or a single document."""
     begin = size = 0
     for i, t in enumerate(texts):
         size += len(t) if t else 0
         if size >= 6 * _WORDS_AT_ONCE:
-            yield texts[begin : i + 1], shards[begin : i + 1]
+            yield begin, i + 1
             begin, size = i + 1, 0
     if begin < len(texts):
-        yield texts[begin:], shards[begin:]
+        yield begin, len(texts)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -135,85 +139,100 @@ def _member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return np.where(ordered[at] == x, at, -1)
 
 
-def _automaton(ids: np.ndarray, places: np.ndarray, phrase: int) -> ahocorasick.Automaton:
-    """The phrases that stand at `places`; each hit gives the phrase's number in that order."""
+def _automaton(phrases: np.ndarray) -> ahocorasick.Automaton:
+    """An automaton over word numbers; each hit gives the phrase's number in that order."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for number, p in enumerate(places.tolist()):
-        automaton.add_word(tuple(ids[p : p + phrase].tolist()), number)
+    for number, words in enumerate(map(tuple, phrases.tolist())):
+        automaton.add_word(words, number)
     automaton.make_automaton()
     return automaton
 
 
-def covered_words(docs: Passages, value: np.ndarray, whole: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Which words a confirmed window covers.
-
-    Each row confirms windows with the least phrase `value`: all of them where `whole`, else the one with the
-    hashes (first, second).
-    """
-    covered = np.zeros(len(docs.words) + 1, np.int64)
-    values = np.unique(value)
-    place = _member(docs.phrases, values)
-    there, firsts = np.unique(place, return_index=True)
-    firsts, there = firsts[there >= 0], there[there >= 0]
-    if not len(firsts):
-        return covered[:-1] > 0
-    _, ids = np.unique(docs.hash, return_inverse=True)
-    automaton = _automaton(ids, firsts, docs.phrase)
+def _occurrences(docs: Passages, automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray]:
+    """(place, number) of every phrase in documents long enough for a window."""
     ends, numbers = [], []
     for a, b in zip(docs.starts[:-1].tolist(), docs.starts[1:].tolist(), strict=True):
         if b - a >= docs.window:
-            for end, number in automaton.iter(tuple(ids[a:b].tolist())):
+            for end, number in automaton.iter(tuple(docs.ids[a:b].tolist())):
                 ends.append(a + end)
                 numbers.append(number)
-    hits = np.array(ends, np.int64) - docs.phrase + 1
-    hit_value = values[there[np.array(numbers, np.int64)]] if len(hits) else values[:0]
+    return np.array(ends, np.int64) - docs.phrase + 1, np.array(numbers, np.int64)
+
+
+def covered_words(docs: Passages, rows: np.ndarray, kind: np.ndarray, value: np.ndarray, row: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which words a confirmed window covers, of documents with the ascending numbers `rows`.
+
+    An entry of kind ENTRY_PHRASE or ENTRY_WHOLE names a phrase by its hash `value` and a document `row` to take its words from;
+    under the latter all windows with that least phrase are confirmed. ENTRY_WINDOW confirms the window with
+    the hashes (first, second) under its phrase.
+    """
+    covered = np.zeros(len(docs.words) + 1, np.int64)
+    named = kind != ENTRY_WINDOW
+    values = np.unique(value[(kind == ENTRY_WHOLE) | ~named])
+    # The words of each phrase, at its place in one of the documents that are named.
+    holders = np.zeros(len(rows), bool)
+    holders[_member(row[named], rows)] = True
+    at = np.flatnonzero(holders[docs.document[: len(docs.phrases)]])
+    at = at[docs.document[at] == docs.document[at + docs.phrase - 1]]
+    which = _member(docs.phrases[at], values)
+    at, which = at[which >= 0], which[which >= 0]
+    places = np.full(len(values), -1)
+    places[which[::-1]] = at[::-1]
+    values, places = values[places >= 0], places[places >= 0]
+    if not len(places):
+        return covered[:-1] > 0
+    hits, numbers = _occurrences(docs, _automaton(docs.ids[places[:, None] + np.arange(docs.phrase)]))
     width = docs.window - docs.phrase + 1
     at = (hits[:, None] - np.arange(width)[None, :]).ravel()
-    of = np.repeat(hit_value, width)
+    of = np.repeat(values[numbers], width)
     inside = (at >= 0) & (at < len(docs.least))
     at, of = at[inside], of[inside]
     good = docs.valid[at] & (docs.least[at] == of)
-    at = np.unique(at[good])
-    sure = _member(docs.least[at], np.unique(value[whole])) >= 0
+    found = np.zeros(len(docs.least), bool)
+    found[at[good]] = True
+    at = np.flatnonzero(found)
+    sure = _member(docs.least[at], np.unique(value[kind == ENTRY_WHOLE])) >= 0
     one, two = docs.windows(at)
-    pairs = np.unique(np.stack([first[~whole], second[~whole]], axis=1), axis=0)
-    # Windows are confirmed by both hashes; the first alone locates the candidates.
-    slot = np.searchsorted(pairs[:, 0], one) if len(pairs) else np.zeros(len(one), np.int64)
-    for _ in range(4 if len(pairs) else 0):  # equal first hashes stand side by side
-        inside = slot < len(pairs)
-        safe = np.where(inside, slot, 0)
-        sure |= inside & (pairs[safe, 0] == one) & (pairs[safe, 1] == two)
-        slot = slot + 1
+    windows = np.flatnonzero(~named)
+    windows = windows[np.argsort(first[windows], kind="stable")]
+    first, second = first[windows], second[windows]
+    # Windows are confirmed by both hashes; the first alone locates the candidates, which stand side by side.
+    slot, left = np.searchsorted(first, one), np.flatnonzero(~sure)
+    while len(left := left[slot[left] < len(first)]) and len(left := left[first[slot[left]] == one[left]]):
+        equal = second[slot[left]] == two[left]
+        sure[left[equal]] = True
+        left = left[~equal]
+        slot[left] += 1
     np.add.at(covered, at[sure], 1)
     np.add.at(covered, at[sure] + docs.window, -1)
     return np.cumsum(covered[:-1]) > 0
 
 
-def _shard(key: str, text: str, shards: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(shards)).cast("int")
-
-
 def strip_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
     """One row per row of `docs`: key, n_words, n_removed, kept (the words that stay, joined by one space).
 
     A word goes if any window of `window` words that covers it occurs more than once in the corpus, in the same
     document or overlapping itself included; all occurrences go. Words are runs of other than ASCII white space,
     compared byte by byte. A null or blank text has no words and keeps an empty text; a text shorter than
-    the window is never changed. Rows with one key, or none, are separate documents. Documents are spread by a
-    hash over shards of about `shard_bytes` of text, each one group; a passage reaches a shard once, however often
-    it stands there, so nothing grows with its number of copies. Windows are compared by 128-bit hashes. Settings
-    are those of `_stripped`.
+    the window is never changed, one of any length is read whole. Rows with one key, or none, are separate documents,
+    repeated rows included; an empty table gives no rows, and other columns, whatever their names, are left out.
+
+    Documents are numbered and spread over shards of about `shard_bytes` of text by a hash of that number, so that copies
+    spread; each shard is one group. A passage reaches a shard once, however often it stands there, so nothing grows with
+    its number of copies. Phrases are located by their words, windows compared by 128-bit hashes of theirs. Settings are
+    those of `_stripped`.
     """
-    return _stripped(docs, text, key, [key], **settings).select(F.col("c0").alias(key), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    return _stripped(docs, text, [key], **settings).select(F.col("c0").alias(key), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
-def rewrite(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: str = "n_chars", **settings) -> DataFrame:
+def rewrite(docs: DataFrame, *, text: str = "text", length: str = "n_chars", **settings) -> DataFrame:
     """`docs` without the recurring passages, all columns kept; `length`, if there is such a column, follows the text.
 
     A text without a recurring passage is left as it is, null included; rows of which no word is left go. Repeated
-    rows are each cut on their own.
+    rows are each cut on their own, and null keys are keys like others. An empty table stays empty, and columns may have
+    any names.
     """
-    out = _stripped(docs, text, key, docs.columns, **settings)
+    out = _stripped(docs, text, docs.columns, **settings)
     out = out.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept").cast("string")))
     columns = []
     for i, name in enumerate(docs.columns):
@@ -227,17 +246,20 @@ def rewrite(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
 
 
 def _stripped(
-    docs: DataFrame, text: str, key: str, carried: list[str], *, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = 2 << 20, min_shards: int = 32
+    docs: DataFrame, text: str, carried: list[str], *, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = 2 << 20, min_shards: int = 32
 ) -> DataFrame:
     """n_words, n_removed and kept of each row, and the carried columns as c0, c1, ...
 
-    The text goes through one exchange, which the two passes over the shards share.
+    Rows are written once with a number, which makes them distinct and names them in all passes. The text goes through
+    one exchange, which the two passes over the shards share.
     """
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    own = [] if text in carried else [F.col(text).alias("_text")]
+    docs_ = materialize(docs.select(F.struct(*carried).alias("_row"), *own, F.monotonically_increasing_id().alias("_n")), "numbered")
+    words = F.col("_text") if own else F.col("_row")[text]
+    total = docs_.agg(F.sum(F.octet_length(words))).first()[0] or 0
     shards = max(min_shards, -(-total // shard_bytes))
-    plain = docs.select(
-        F.struct(*carried).alias("_row"), *([] if text in carried else [F.col(text).alias("_text")]), _shard(key, text, shards).alias("_shard")
-    )
+    shard = F.pmod(F.xxhash64("_n"), F.lit(shards)).cast("int").alias("_shard")
+    plain = docs_.select("*", shard)
 
     def texts_of(docs: pa.Table) -> list[bytes | None]:
         column = docs.column("_text") if "_text" in docs.column_names else pc.struct_field(docs.column("_row"), text)
@@ -245,29 +267,25 @@ def _stripped(
 
     def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts, owners in _portions(batch):
-                doc, value, segment, often = Passages(texts, window, phrase).runs()
+            texts, owners, numbers = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for a, b in _portions(texts):
+                doc, value, segment, often = Passages(texts[a:b], window, phrase).runs()
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(value), _signed(segment), pa.array(owners[doc].astype(np.int32)), pa.array(often)],
-                    names=["value", "segment", "_shard", "often"],
+                    [_signed(value), _signed(segment), pa.array(owners[a:b][doc]), pa.array(numbers[a:b][doc]), pa.array(often)],
+                    names=["value", "segment", "_shard", "row", "often"],
                 )
 
     runs = (
-        docs.select(F.col(text).cast("binary").alias("_text"), _shard(key, text, shards).alias("_shard"))
-        .mapInArrow(count_runs, "value long, segment long, _shard int, often long")
+        docs_.select(words.cast("binary").alias("t"), shard, "_n")
+        .mapInArrow(count_runs, "value long, segment long, _shard int, row long, often long")
         .groupBy("value", "segment", "_shard")
-        .agg(F.count("*").alias("runs"), F.sum("often").alias("often"))
+        .agg(F.count("*").alias("runs"), F.sum("often").alias("often"), F.min("row").alias("row"))
     )
-    by_value, by_segment = Window.partitionBy("value"), Window.partitionBy("value", "segment")
-    recurring = (
-        runs.withColumn("same", F.sum("runs").over(by_segment))
-        .withColumn("times", F.sum("often").over(by_value))
-        .where("times > 1")
-        .withColumn("whole", F.min("same").over(by_value) > 1)
-        .select("_shard", "value", "whole")
-        .distinct()
-    )
-    recurring = materialize(recurring, "phrases")
+    runs = materialize(runs, "runs")
+    # A phrase of very many surroundings is reduced in two steps and joined back, never gathered.
+    segments = runs.groupBy("value", "segment").agg(F.sum("runs").alias("same"), F.sum("often").alias("often"))
+    values = segments.groupBy("value").agg(F.sum("often").alias("times"), (F.min("same") > 1).alias("whole")).where("times > 1").drop("times")
+    recurring = materialize(runs.groupBy("value", "_shard").agg(F.min("row").alias("row")).join(values, "value"), "phrases")
 
     def count_windows(docs: pa.Table, mixed: pa.Table) -> pa.Table:
         rows = {"_shard": [], "value": [], "first": [], "second": [], "times": []}
@@ -276,33 +294,35 @@ def _stripped(
             values = np.unique(mixed.column("value").to_numpy().view(np.uint64))
             at = np.flatnonzero(there.valid & (_member(there.least, values) >= 0))
             one, two = there.windows(at)
-            pairs, first, times = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True, return_counts=True)
+            order = np.lexsort((two, one))
+            one, two, at = one[order], two[order], at[order]
+            first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(at) else at
             shard = docs.column("_shard")[0].as_py()
             rows = {
-                "_shard": pa.array(np.full(len(pairs), shard, np.int32)),
+                "_shard": pa.array(np.full(len(first), shard, np.int32)),
                 "value": _signed(there.least[at[first]]),
-                "first": _signed(pairs[:, 0]),
-                "second": _signed(pairs[:, 1]),
-                "times": pa.array(times.astype(np.int64)),
+                "first": _signed(one[first]),
+                "second": _signed(two[first]),
+                "times": pa.array(np.diff(np.append(first, len(at)))),
             }
         return pa.table(rows, schema=_WINDOWS)
 
     mixed = recurring.where(~F.col("whole")).select("_shard", "value")
     counted = plain.groupBy("_shard").cogroup(mixed.groupBy("_shard")).applyInArrow(count_windows, _WINDOWS_DDL)
-    confirmed = (
-        counted.withColumn("all", F.sum("times").over(Window.partitionBy("first", "second")))
-        .where("all > 1")
-        .select("_shard", "value", F.lit(False).alias("whole"), "first", "second")
-    )
-    sure = recurring.where("whole").select("_shard", "value", "whole", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second"))
+    confirmed = counted.withColumn("all", F.sum("times").over(Window.partitionBy("first", "second"))).where("all > 1")
+    none = F.lit(0).cast("long")
+    kind = F.when(F.col("whole"), ENTRY_WHOLE).otherwise(ENTRY_PHRASE)
+    found = recurring.select("_shard", kind.alias("kind"), "value", "row", none.alias("first"), none.alias("second"))
+    found = found.union(confirmed.select("_shard", F.lit(ENTRY_WINDOW).alias("kind"), "value", none.alias("row"), "first", "second"))
 
     def locate(docs: pa.Table, found: pa.Table) -> pa.Table:
+        docs = docs.sort_by("_n")
         texts = texts_of(docs)
         there = Passages(texts, window, phrase) if found.num_rows and texts else None
         if there:
-            unsigned = lambda name: found.column(name).to_numpy().view(np.uint64)
+            column = lambda name, kind: found.column(name).to_numpy().view(kind)
             gone = covered_words(
-                there, unsigned("value"), found.column("whole").to_numpy(zero_copy_only=False), unsigned("first"), unsigned("second")
+                there, docs.column("_n").to_numpy(), column("kind", np.int32), column("value", np.uint64), column("row", np.int64), column("first", np.uint64), column("second", np.uint64)
             )
         n_words, n_removed, kept = [], [], []
         for i, t in enumerate(texts):
@@ -319,7 +339,7 @@ def _stripped(
 
     schema = StructType([StructField(f"c{i}", docs.schema[name].dataType) for i, name in enumerate(carried)])
     schema = schema.add("n_words", "long").add("n_removed", "long").add("kept", "binary")
-    return plain.groupBy("_shard").cogroup(sure.union(confirmed).groupBy("_shard")).applyInArrow(locate, schema)
+    return plain.groupBy("_shard").cogroup(found.groupBy("_shard")).applyInArrow(locate, schema)
 
 
 _WINDOWS = pa.schema(

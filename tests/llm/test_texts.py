@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import ahocorasick
 import numpy as np
 import pytest
 import sentencepiece
@@ -128,6 +129,13 @@ def test_tree_meets_every_pair_once(values, leaves, rng):
 # Substring dedup
 
 
+def ahocorasick_of_nothing():
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    automaton.add_word((2**31,), 0)
+    automaton.make_automaton()
+    return automaton
+
+
 @given(st.lists(st.lists(st.sampled_from("abcdef"), max_size=50), min_size=1, max_size=6))
 @settings(max_examples=150, deadline=None)
 def test_passages_cover_what_recurs(documents):
@@ -139,9 +147,22 @@ def test_passages_cover_what_recurs(documents):
     counts = Counter(zip(one.tolist(), two.tolist(), strict=True))
     again = np.array([counts[p] > 1 for p in zip(one.tolist(), two.tolist(), strict=True)], bool)
     value, first, second = docs.least[at[again]], one[again], two[again]
-    gone = substring.covered_words(docs, value, np.zeros(len(value), bool), first, second)
+    # Every phrase is named with some document that holds it, by its number.
+    rows, places = np.arange(len(texts)) * 10, {}
+    for p in np.flatnonzero(docs.document[: len(docs.phrases)] == docs.document[1 : len(docs.phrases) + 1]) if len(docs.phrases) else []:
+        places[int(docs.phrases[p])] = int(docs.document[p])
+    named = np.unique(value)
+    row = np.array([rows[places[int(v)]] for v in named] + [0] * len(value), np.int64)
+    kind = np.array([substring.ENTRY_PHRASE] * len(named) + [substring.ENTRY_WINDOW] * len(value))
+    none = np.zeros(len(named), np.uint64)
+    entries = (kind, np.concatenate([named, value]), row, np.concatenate([none, first]), np.concatenate([none, second]))
+    gone = substring.covered_words(docs, rows, *entries)
     expected = removed_by_windows([t.decode() for t in texts], 5)
     assert [int(gone[a:b].sum()) for a, b in zip(docs.starts[:-1], docs.starts[1:], strict=True)] == [e[1] for e in expected]
+    # The automaton alone locates: an empty one finds nothing, and hits that are left out are not removed.
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substring, "_automaton", lambda phrases: ahocorasick_of_nothing())
+        assert not substring.covered_words(docs, rows, *entries).any()
     # Every recurring window lies under a phrase whose runs say so.
     doc, values, segments, often = docs.runs()
     total = Counter()
@@ -164,6 +185,19 @@ def test_substring_against_brute_force(spark, small_docs):
             assert rewritten[i]["text"] == (kept if gone else t) and rewritten[i]["n_chars"] == len(rewritten[i]["text"])
 
 
+def test_passages_of_one_phrase_and_any_surroundings(spark):
+    """A phrase that very many different surroundings share, and one document many times over."""
+    shared = " ".join(f"boilerplate{i}" for i in range(40))
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) + " " + shared + " " + " ".join(f"v{i}y{j}" for j in range(30)) for i in range(60)]
+    texts += ["the same document " + " ".join(f"d{j}" for j in range(50))] * 40 + [shared]
+    docs = spark.createDataFrame([(1, t, "x", 0, 0) for t in texts], "doc_id long, text string, value string, _n int, row int")
+    expected = removed_by_windows(texts, 35)
+    got = substring.strip_repeats(docs, shard_bytes=500, min_shards=1).collect()
+    assert sorted((r["n_words"], r["n_removed"], r["kept"]) for r in got) == sorted(expected)
+    out = substring.rewrite(docs, shard_bytes=500)
+    assert out.columns == docs.columns and sorted(r["text"] for r in out.collect()) == sorted(k for n, g, k in expected if g < n)
+
+
 def test_substring_edges(spark, edge_docs, no_docs):
     rows = substring.strip_repeats(edge_docs).collect()
     assert len(rows) == edge_docs.count()
