@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodewell.sources.tables import materialize
+from lodewell.sources.tables import discard, materialize
 
 
-def _toward_minimum(pairs: DataFrame) -> DataFrame:
-    """`pairs` (node, other) with `low`, the least node among a node and its neighbours.
+def _toward_minimum(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`pairs` (node, other) with `low`, the least node among a node and its neighbours; and the table of these minima.
 
     The minima are written first: with a plain exchange on either side of the join, AQE can split a hub.
     """
-    least = pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low"))
-    return pairs.join(materialize(least, "least"), "node")
+    least = materialize(pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low")), "least")
+    return pairs.join(least, "node"), least
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node that `edges` names; component is the smallest node reachable.
 
     Large-star and small-star rounds: each replaces a node's links by links to the least node of its
-    neighbourhood. Neighbourhoods are only ever reduced with `min`, which combines map-side, and joined
-    back on the node, which AQE splits when one node is a hub; none is gathered into a row. Each round is
-    written to the shared folder. Null endpoints and self links are ignored; no edges gives no rows.
+    neighbourhood, until nothing changes. Neighbourhoods are only ever reduced with `min`, which combines map-side, and
+    joined back on the node, which AQE splits when one node is a hub; none is gathered into a row. Each round is
+    written to the shared folder, and what the round before wrote is deleted. Null endpoints and self links are ignored;
+    no edges gives no rows.
     """
     links = (
         edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
@@ -32,15 +33,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
         .distinct()
     )
     links = materialize(links, "links")
-    for _ in range(max_rounds):
+    before = _signature(links)
+    while True:
         both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(
             links.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
         # Large star: neighbours above a node move to the least node around it.
-        large = _toward_minimum(both).where("other > node").select(F.col("other").alias("a"), F.col("low").alias("b"))
+        large, large_minima = _toward_minimum(both)
+        large = large.where("other > node").select(F.col("other").alias("a"), F.col("low").alias("b"))
         # Small star: a node and its smaller neighbours move to the least of them.
         down = large.distinct().select(F.col("a").alias("node"), F.col("b").alias("other"))
-        near = _toward_minimum(down)
+        near, near_minima = _toward_minimum(down)
         small = (
             near.select(F.col("other").alias("a"), F.col("low").alias("b"))
             .union(near.select(F.col("node").alias("a"), F.col("low").alias("b")))
@@ -48,12 +51,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
             .distinct()
         )
         after = materialize(small, "links")
-        if _signature(after) == _signature(links):
-            return after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+        discard(links, large_minima, near_minima)
+        links, settled = after, before
+        before = _signature(links)
+        if before == settled:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+                links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
-        links = after
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")
 
 
 def _signature(links: DataFrame) -> tuple:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`, any file system that Spark reads."""
@@ -16,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    `spark.checkpoint.dir` names it on a cluster. Only where that is unset, as in local tests,
+    `spark.checkpoint.dir` names it on a cluster. Only on a local master, where that is unset as in tests,
     a temporary folder is created and set on the session's context.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodewell-")
         context.setCheckpointDir(root)
     elif not context.getCheckpointDir():
@@ -39,9 +44,16 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on hand at most `rows` rows to Python at once: with long texts, memory follows the batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `materialize` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        path = _written.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
