@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import StructField, StructType
 
-from lodewell.sources.tables import materialize
+from lodewell.sources.tables import discard, materialize
 
 WINDOW = 35
 PHRASE = 8
@@ -286,6 +286,7 @@ def _stripped(
     segments = runs.groupBy("value", "segment").agg(F.sum("runs").alias("same"), F.sum("often").alias("often"))
     values = segments.groupBy("value").agg(F.sum("often").alias("times"), (F.min("same") > 1).alias("whole")).where("times > 1").drop("times")
     recurring = materialize(runs.groupBy("value", "_shard").agg(F.min("row").alias("row")).join(values, "value"), "phrases")
+    discard(runs)
 
     def count_windows(docs: pa.Table, mixed: pa.Table) -> pa.Table:
         rows = {"_shard": [], "value": [], "first": [], "second": [], "times": []}
