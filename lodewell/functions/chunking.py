@@ -65,6 +65,17 @@ def summary_first(found: list[dict], summary: str | None, size: int = 2000, most
     return [own, *({**c, "chunk_number": c["chunk_number"] + 1} for c in found)]
 
 
+def chunk_array_summary_first(text: Column | str, summary: Column | str, size: int = 2000, overlap: int = 400, most: int = 500) -> Column:
+    """As `chunk_array`, led by the first `most` characters of a summary; an empty or null summary changes nothing."""
+
+    @F.pandas_udf(CHUNK)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, summaries in batches:
+            yield pd.Series([summary_first(chunks(t, size, overlap), s, size, most) for t, s in zip(texts, summaries, strict=True)], dtype=object)
+
+    return cut(text, summary)
+
+
 def chunk_array(text: Column | str, size: int = 2000, overlap: int = 400) -> Column:
     """array<struct<chunk_number, chunk_text, chunk_start, chunk_end>>; `inline` makes rows of it."""
 

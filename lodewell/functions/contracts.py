@@ -10,6 +10,8 @@ from lodewell.functions.text import json_in_text, strip
 
 DECISION = "thought string, action string, action_input map<string,string>"
 REFLECTION = "passed boolean, issues array<string>, feedback string"
+ENTITIES = "entities array<struct<name:string,type:string,description:string>>"
+RELATIONS = "relationships array<struct<source:string,target:string,relation_type:string,description:string,weight:double>>"
 TRANSLATION = "chinese_title string, chinese_summary string, entities_preserved array<string>"
 
 
@@ -26,6 +28,28 @@ def decision(answer: Column, actions: list[str]) -> Column:
     return F.struct(r["thought"].alias("thought"), r["action"].alias("action"), F.coalesce(r["action_input"], F.create_map().cast("map<string,string>")).alias("action_input"), error.alias("error"))
 
 
+def entities(answer: Column) -> Column:
+    """The entities in an answer, repaired where it broke off: those with a name, of type CONCEPT where none is given;
+    none where the answer can't be read."""
+    found = F.coalesce(parsed(json_in_text(answer), ENTITIES)["entities"], F.array().cast(ENTITIES.split(" ", 1)[1]))
+    named = F.filter(found, lambda e: F.coalesce(strip(e["name"]), F.lit("")) != "")
+    return F.transform(named, lambda e: F.struct(strip(e["name"]).alias("name"), F.coalesce(F.nullif(e["type"], F.lit("")), F.lit("CONCEPT")).alias("type"), F.coalesce(e["description"], F.lit("")).alias("description")))
+
+
+def relations(answer: Column) -> Column:
+    """The relationships in an answer: those with both ends, of weight 1 where none is given; none if unreadable."""
+    found = F.coalesce(parsed(json_in_text(answer), RELATIONS)["relationships"], F.array().cast(RELATIONS.split(" ", 1)[1]))
+    whole = F.filter(found, lambda r: (F.coalesce(strip(r["source"]), F.lit("")) != "") & (F.coalesce(strip(r["target"]), F.lit("")) != ""))
+    return F.transform(whole, lambda r: F.struct(strip(r["source"]).alias("source"), strip(r["target"]).alias("target"), F.coalesce(r["relation_type"], F.lit("RELATED_TO")).alias("relation_type"), F.coalesce(r["weight"], F.lit(1.0)).alias("weight")))
+
+
+def string_list(answer: Column, most: int) -> Column:
+    """The first `most` strings of the JSON array in an answer, or of its lines, without list marks, where there is none."""
+    listed = F.from_json(F.nullif(F.regexp_extract(answer, r"(?s)(\[.*\])", 1), F.lit("")), "array<string>")
+    lines = F.transform(F.split(F.coalesce(answer, F.lit("")), "\n"), lambda t: strip(F.regexp_replace(t, r"^\s*(?:[-*]|\d+[.)])\s*", "")))
+    return F.slice(F.filter(F.coalesce(listed, lines), lambda t: t.isNotNull() & (t != "")), 1, most)
+
+
 def translation(answer: Column) -> Column:
     """Title, summary and entities of an answer, and how they were read: as JSON, by labelled fields, or as plain
     text whose first line is the title."""

@@ -47,4 +47,6 @@ def repaired(c: Column | str) -> Column:
 
 def parsed(c: Column, schema: str) -> Column:
     """from_json of the text, or of its repair where the text is no JSON."""
-    return F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, schema)).otherwise(F.from_json(repaired(c), schema))
+    valid = F.try_parse_json(c).isNotNull()
+    # Python sees broken texts only: an expression of a UDF is evaluated for every row, whatever branch it is in.
+    return F.from_json(F.when(valid, c).otherwise(repaired(F.when(~valid, c))), schema)

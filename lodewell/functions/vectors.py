@@ -17,6 +17,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
+def usable(x: Column) -> Column:
+    """Whether a vector is neither null, empty nor zero and holds neither null nor non-finite components."""
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.coalesce(x.isNotNull() & (F.size(x) > 0) & ~bad & F.exists(x, lambda v: v != 0), F.lit(False))
+
+
 def literal(vector) -> Column:
     """A vector of the driver's as a column of doubles."""
     return F.array(*(F.lit(float(x)) for x in vector))

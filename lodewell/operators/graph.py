@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from lodewell.functions.text import strip
 from lodewell.functions.vectors import cosine, literal
 from lodewell.operators.components import connected_components
+from lodewell.operators.retrieval import best_matches
 from lodewell.sources.tables import materialize
 
 
@@ -26,6 +27,24 @@ def group_entities(mentions: DataFrame, *, name: str = "name", article: str = "a
     return base.withColumn("aliases", F.array_remove("names", F.col("name"))).drop("names")
 
 
+def count_entities(mentions: DataFrame, *, name: str = "name", article: str = "article_id", ordinal: str = "ordinal") -> DataFrame:
+    """As `group_entities`, with the numbers of articles and aliases only: nothing is gathered, however hot a name."""
+    keyed = mentions.withColumn("key", F.lower(strip(F.col(name)))).where(F.col("key") != "")
+    base = keyed.groupBy("key").agg(F.min_by(name, ordinal).alias("name"), F.min_by("type", ordinal).alias("type"), F.count("*").alias("mention_count"))
+    for column, to, less in ((article, "articles", 0), (name, "aliases", 1)):
+        single = keyed.select("key", F.col(column).alias("one")).distinct()
+        base = base.join(single.groupBy("key").agg((F.count("one") - less).alias(to)), "key")
+    return base
+
+
+def resolve_entities(found: DataFrame, stored: DataFrame, *, threshold: float = 0.85) -> DataFrame:
+    """`found` (id, name, embedding) with canonical_name: that of the nearest of `stored` (id, canonical_name, embedding)
+    with a cosine of at least `threshold`, else its own name. Found entities are not compared with one another."""
+    known = best_matches(found.select("id", "embedding"), stored.select("id", "embedding"), threshold=threshold)
+    known = known.join(stored.select(F.col("id").alias("match"), "canonical_name"), "match").select("id", "canonical_name")
+    return found.join(known, "id", "left").withColumn("canonical_name", F.coalesce("canonical_name", "name"))
+
+
 def resolve_names(edges: DataFrame, entities: DataFrame, *, names: tuple[str, str] = ("source_name", "target_name")) -> DataFrame:
     """Edges with both names replaced by entity ids, exactly or else regardless of case (the smallest id of equals);
     edges with a name that is not found are dropped."""

@@ -31,6 +31,11 @@ def latest(df: DataFrame, n: int, group: str, order: str) -> DataFrame:
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+def touching(pairs: DataFrame, wanted: DataFrame, member: str, keys: list[str]) -> DataFrame:
+    """The distinct `keys` of those pairs (keys, member) whose member is in `wanted`; no key's members are gathered."""
+    return pairs.join(wanted.select(F.col(wanted.columns[0]).alias(member)), member, "left_semi").select(*keys).distinct()
+
+
 def overlapping(df: DataFrame, ids: str, wanted: DataFrame, key: str) -> DataFrame:
     """Rows whose array `ids` shares an element with `wanted`."""
     return df.join(_hits(df, ids, wanted, key), key, "left_semi")

@@ -16,6 +16,17 @@ def remove(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(gone.select(*keys), keys, "left_anti")
 
 
+def removed(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """One row, `deleted`: whether any stored row has a key in `gone`."""
+    hit = stored.join(gone.select(*keys), keys, "left_semi").limit(1)
+    return hit.agg((F.count("*") > 0).alias("deleted"))
+
+
+def append(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """All stored rows and all of the batch's, whatever repeats: runs are kept side by side."""
+    return stored.unionByName(batch, allowMissingColumns=True)
+
+
 def _last_text(column: str, ordinal: str = "ordinal"):
     """Of the non-empty values the last by ordinal."""
     some = F.nullif(F.col(column), F.lit(""))

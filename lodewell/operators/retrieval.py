@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql.types import ArrayType, DoubleType
 
 from lodewell.functions.text import shorten, terms
-from lodewell.functions.vectors import cosine, literal
+from lodewell.functions.vectors import cosine, literal, usable
 
 RANK_OFFSET = 60  # of reciprocal-rank fusion
 NO_RANK = 1000  # the rank of what an arm did not return
@@ -32,6 +32,14 @@ def similar(df: DataFrame, query, k: int, *, threshold: float | None = None, exc
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
+def similar_chunks(chunks: DataFrame, titles: DataFrame, query, k: int = 10, *, threshold: float | None = None, key: str = "chunk_id", article: str = "article_id", vector: str = "embedding") -> DataFrame:
+    """The k chunks nearest to a query vector with a similarity of at least `threshold`, 0.5 if that is 0 or not given,
+    with the `title` of their article (null without one). Titles are joined to the k rows only.
+    """
+    best = similar(chunks, query, k, threshold=threshold or 0.5, key=key, vector=vector)
+    return best.join(titles.select(F.col(article).alias("_article"), "title"), F.col(article) == F.col("_article"), "left").drop("_article")
+
+
 def postings(df: DataFrame, *, key: str, text: str) -> DataFrame:
     """(key, term, tf): how often each term stands in each document."""
     return df.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -100,29 +108,30 @@ def shown(found: DataFrame, *, text: Column, score: Column, most: int = 500) ->
 def best_matches(new: DataFrame, stored: DataFrame, *, threshold: float = 0.85, key: str = "id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """(key, match, similarity): for each new vector the nearest stored one with a cosine of at least `threshold`.
 
-    Both sides are dealt into blocks by hash, and each pair of blocks is one matrix product in a group of its own; of
-    a block the best match comes back, and `max_by` picks among blocks. Nothing is broadcast or collected. Ties
-    go to the smaller key.
+    Vectors of one length are compared; null, empty and zero ones and those with a null or non-finite component match
+    nothing. Both sides are dealt into blocks by hash, and each pair of blocks is one matrix product in a group of its
+    own; of a block the best match comes back, and `max_by` picks among blocks. Nothing is broadcast or collected.
+    Ties go to the smaller key.
     """
     blocks = [max(1, -(-df.count() // block_rows)) for df in (new, stored)]
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda n: F.pmod(F.hash(key), F.lit(n))
-    usable = lambda df: df.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
-    left = usable(new).select(F.lit(True).alias("new"), F.col(key).alias("k"), F.col(vector).alias("x"), block(blocks[0]).alias("a"), numbers(blocks[1]).alias("b"))
-    right = usable(stored).select(F.lit(False).alias("new"), F.col(key).alias("k"), F.col(vector).alias("x"), numbers(blocks[0]).alias("a"), block(blocks[1]).alias("b"))
+    some = lambda df: df.where(usable(F.col(vector))).withColumn("d", F.size(vector))
+    left = some(new).select("d", F.lit(True).alias("new"), F.col(key).alias("k"), F.col(vector).alias("x"), block(blocks[0]).alias("a"), numbers(blocks[1]).alias("b"))
+    right = some(stored).select("d", F.lit(False).alias("new"), F.col(key).alias("k"), F.col(vector).alias("x"), numbers(blocks[0]).alias("a"), block(blocks[1]).alias("b"))
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
         fresh, old = group[group["new"]], group[~group["new"]].sort_values("k")
         if not len(fresh) or not len(old):
             return pd.DataFrame({"k": [], "match": [], "similarity": []})
         x, y = (np.stack(g["x"].to_numpy()).astype(np.float64) for g in (fresh, old))
-        norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
-        cos = np.divide(x @ y.T, norms, out=np.zeros((len(x), len(y))), where=norms > 0)
+        x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))  # squares neither overflow nor vanish
+        cos = x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
         best = cos.argmax(axis=1)
         return pd.DataFrame({"k": fresh["k"].to_numpy(), "match": old["k"].to_numpy()[best], "similarity": cos[np.arange(len(x)), best]})
 
     kind = new.schema[key].dataType.simpleString()
-    found = left.unionByName(right).groupBy("a", "b").applyInPandas(match, f"k {kind}, match {kind}, similarity double")
+    found = left.unionByName(right).groupBy("d", "a", "b").applyInPandas(match, f"k {kind}, match {kind}, similarity double")
     found = found.where(F.col("similarity") >= threshold)
     best = found.groupBy("k").agg(F.max("similarity").alias("similarity"), F.max_by(F.struct("match"), F.struct("similarity", -F.col("match"))).alias("m"))
     return best.select(F.col("k").alias(key), F.col("m.match").alias("match"), "similarity")

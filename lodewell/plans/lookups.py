@@ -156,12 +156,12 @@ def c12(spark, d):
 
 
 @query("c14_citations_from_results", """
-SELECT event_id, 'http://' || event_type || '/' || n AS url FROM events, (SELECT unnest([1, 2, 3]) AS n) WHERE event_id % 10 = 0
+SELECT event_id, 'http://' || event_type || '/' || n AS url FROM events, (SELECT unnest([1, 2, 3]) AS n)
 """)
 def c14(spark, d):
     results = [F.concat(F.lit('{"url": "http://'), F.col("event_type"), F.lit(f'/{n}"}}')) for n in (1, 2, 3, 4)]
     body = F.concat(F.lit("["), F.concat_ws(",", *results), F.lit("]"))
-    rows = table(spark, d, "events").where("event_id % 10 = 0")
+    rows = table(spark, d, "events")
     found = F.slice(F.filter(F.from_json(body, "array<struct<url:string>>"), lambda x: x["url"].isNotNull()), 1, 3)
     return rows.select("event_id", F.inline(found))
 
@@ -182,7 +182,7 @@ def c18(spark, d):
 @query("l02_offline_scores")
 def l02(spark, d):
     """Articles scored by the offline provider, as a live one would: answers parsed, failures kept apart."""
-    rows = table(spark, d, "documents").select("doc_id", contracts.prompt("Score this: {text}", text=F.substring("text", 1, 2000)).alias("prompt"))
+    rows = table(spark, d, "documents").select("doc_id", contracts.prompt("Score this: {text}", text=F.col("text")).alias("prompt"))
     answered = complete(rows, "prompt", Offline)
     score = F.from_json(T.json_in_text(F.col("answer")), "industry_impact_score double, milestone_score double, attention_score double")
     total = T.weighted_score(score["industry_impact_score"], score["milestone_score"], score["attention_score"])
@@ -207,15 +207,18 @@ def l17(spark, d):
     return table(spark, d, "events").select("event_id", r["action"].alias("action"), r["error"].alias("error"))
 
 
-@query("g01_entity_resolution", f"""
-WITH {MENTIONS}, g AS (SELECT lower(name) AS key, arg_min(name, ordinal) AS name FROM mentions GROUP BY 1)
-SELECT key, CASE WHEN key < 'm' THEN 'stored ' || key ELSE name END AS canonical_name FROM g
+@query("g01_entity_resolution", """
+WITH p AS (SELECT a.vec_id AS id, b.vec_id AS match, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+           FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0),
+     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, match) AS n FROM p WHERE s >= 0.85)
+SELECT vec_id AS id, CASE WHEN r.id IS NULL THEN 'entity ' || vec_id ELSE 'stored ' || match END AS canonical_name
+FROM embeddings LEFT JOIN r ON r.id = vec_id AND n = 1 WHERE vec_id % 2 = 1
 """)
 def g01(spark, d):
-    """Entities named as a stored one take its canonical name, others keep their own."""
-    grouped = graph.group_entities(mentions(spark, d)).select("key", "name")
-    stored = grouped.where("key < 'm'").select("key", F.concat(F.lit("stored "), "key").alias("canonical"))
-    return grouped.join(stored, "key", "left").select("key", F.coalesce("canonical", "name").alias("canonical_name"))
+    """New (odd) entities take the canonical name of the nearest stored (even) one from 0.85 on, others keep their own."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    named = lambda odd, kind, name: rows.where(F.col("id") % 2 == odd).withColumn(name, F.concat(F.lit(kind), F.col("id").cast("string")))
+    return graph.resolve_entities(named(1, "entity ", "name"), named(0, "stored ", "canonical_name")).select("id", "canonical_name")
 
 
 @query("g08_detection_scope", f"""

@@ -12,12 +12,12 @@ from lodewell.functions.html import extract_content
 from lodewell.functions.json_repair import parsed
 from lodewell.functions.vectors import cosine
 from lodewell.operators import conversation, graph, ingest, listing, merge, retrieval
-from lodewell.plans import lookups
+from lodewell.plans import answers, lookups
 from lodewell.plans.fixtures import ARTICLES, MENTIONS, articles, edges, edges_sql, mentions
 from lodewell.plans.registry import ORACLE_SQL, QUERIES, query
 from lodewell.sources.tables import table
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "lookups"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "answers", "lookups"]
 
 FLAGSHIP = "v06_hybrid_search"
 
@@ -96,9 +96,9 @@ def f12(spark, d):
 SELECT l_suppkey AS entity FROM lineitem WHERE l_orderkey <= 200 GROUP BY 1
 """)
 def f14(spark, d):
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(F.collect_set("l_orderkey").alias("article_ids"))
+    pairs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), "l_orderkey")
     wanted = table(spark, d, "orders").where("o_orderkey <= 200").select("o_orderkey")
-    return listing.overlapping(rows, "article_ids", wanted, "entity").select("entity")
+    return listing.touching(pairs, wanted, "l_orderkey", ["entity"])
 
 
 @query("f15_edge_incidence", f"""
@@ -246,8 +246,7 @@ g AS (
 
 @query("a04_entity_grouping", f"WITH {MENTIONS}, {_GROUPED} SELECT * FROM g")
 def a04(spark, d):
-    rows = graph.group_entities(mentions(spark, d))
-    return rows.select("key", "name", "type", "mention_count", F.size("article_ids").cast("long").alias("articles"), F.size("aliases").cast("long").alias("aliases"))
+    return graph.count_entities(mentions(spark, d))
 
 
 @query("a05_entity_upsert", f"""
@@ -366,7 +365,8 @@ SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY sha256(tex
 """)
 def w05(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))).where("n = 1").select("doc_id", "source")
+    first = rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"))  # combines map-side
+    return first.select("doc_id", "source")
 
 
 @query("t08_latest_messages", """
@@ -397,7 +397,7 @@ def t10(spark, d):
 
 @query("d01_greedy_dedup", """
 WITH RECURSIVE r AS (
-    SELECT doc_id, sha256(text) AS h, 'u' || doc_id % 300 AS u FROM documents WHERE doc_id < 400
+    SELECT doc_id, sha256(text) AS h, 'u' || doc_id % 300 AS u FROM documents
 ), k(i, hs, us, keep) AS (
     SELECT -1, []::VARCHAR[], []::VARCHAR[], NULL::BIGINT
     UNION ALL
@@ -407,19 +407,18 @@ WITH RECURSIVE r AS (
 SELECT keep AS doc_id FROM k WHERE keep IS NOT NULL
 """)
 def d01(spark, d):
-    """Of documents below 400, the feed of one run: its URLs collide every 300."""
-    rows = table(spark, d, "documents").where("doc_id < 400")
+    """The documents as the feed of one run: its URLs collide every 300."""
+    rows = table(spark, d, "documents")
     rows = rows.select("doc_id", F.sha2("text", 256).alias("h"), F.concat(F.lit("u"), (F.col("doc_id") % 300).cast("string")).alias("u"))
     return ingest.first_seen(rows, order="doc_id", content="h", url="u").select("doc_id")
 
 
 @query("d02_content_hash", """
 SELECT doc_id, sha256(lower(regexp_replace(source || text, '^\\s+|\\s+$', '', 'g'))) AS content_hash, sha256(source || ' ' || text) AS summary_hash
-FROM documents WHERE regexp_full_match(text, '[ -~\\s]*')
+FROM documents
 """)
 def d02(spark, d):
-    """Of ASCII texts: engines lower-case some other letters differently."""
-    rows = table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\s]*$"))
+    rows = table(spark, d, "documents")
     return rows.select("doc_id", T.content_hash(F.col("source"), F.col("text")).alias("content_hash"), T.summary_hash(F.col("source"), F.col("text")).alias("summary_hash"))
 
 
@@ -487,11 +486,11 @@ def v07(spark, d):
 
 
 @query("v09_postings", f"""
-WITH {_TERMS}, t AS (SELECT doc_id, unnest(w) AS term FROM tokens WHERE doc_id < 50)
+WITH {_TERMS}, t AS (SELECT doc_id, unnest(w) AS term FROM tokens)
 SELECT doc_id, term, count(*) AS tf FROM t WHERE term NOT IN ({", ".join(repr(w) for w in T.STOP_WORDS)}) GROUP BY 1, 2
 """)
 def v09(spark, d):
-    return retrieval.postings(table(spark, d, "documents").where("doc_id < 50"), key="doc_id", text="text")
+    return retrieval.postings(table(spark, d, "documents"), key="doc_id", text="text")
 
 
 _HYBRID = f"""
@@ -576,11 +575,11 @@ def c10(spark, d):
 
 
 @query("c13_citations", """
-SELECT doc_id, source AS cited FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id % 4 = 0
+SELECT doc_id, source AS cited FROM documents UNION ALL SELECT doc_id, lang FROM documents
 """)
 def c13(spark, d):
     marks = F.concat(F.lit("see [文章："), F.col("source"), F.lit("] and [文章："), F.col("lang"), F.lit("], not [网络：x]"))
-    rows = table(spark, d, "documents").where("doc_id % 4 = 0")
+    rows = table(spark, d, "documents")
     return rows.select("doc_id", F.explode(T.citations(marks, "文章")).alias("cited"))
 
 
@@ -610,10 +609,9 @@ def l07(spark, d):
 SELECT DISTINCT l_suppkey AS source, l_partkey + 1000000 AS target FROM lineitem WHERE l_orderkey BETWEEN 10 AND 60
 """)
 def g03(spark, d):
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1_000_000).alias("target"))
-    rows = rows.agg(F.collect_set("l_orderkey").alias("article_ids")).withColumn("edge", F.concat_ws("-", "source", "target"))
+    pairs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1_000_000).alias("target"), "l_orderkey")
     wanted = table(spark, d, "orders").where("o_orderkey BETWEEN 10 AND 60").select("o_orderkey")
-    return listing.overlapping(rows, "article_ids", wanted, "edge").select("source", "target")
+    return listing.touching(pairs, wanted, "l_orderkey", ["source", "target"])
 
 
 @query("g04_neighbours", f"""
@@ -658,18 +656,15 @@ def g05(spark, d):
 
 @query("g06_communities")
 def g06(spark, d):
-    rows = edges(spark, d, sparse=True)
+    rows = edges(spark, d)
     ids = rows.select(F.col("source").alias("id")).union(rows.select("target")).distinct()
     return graph.communities(rows, ids)
 
 
-@query("g07_components", f"""
-WITH RECURSIVE {edges_sql(True)}, b AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
-r(id, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.id)
-SELECT id, min(root) AS community FROM r GROUP BY 1
-""")
+# SQL that reaches every pair of a giant component is too slow; tests hold it against brute force.
+@query("g07_components")
 def g07(spark, d):
-    rows = edges(spark, d, sparse=True)
+    rows = edges(spark, d)
     ids = rows.select(F.col("source").alias("id")).union(rows.select("target")).distinct()
     return graph.components(rows, ids)
 
