@@ -11,11 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Tags whose text does not show, tags without an end, and the containers of the main text, the most
+# telling first, as (tag, class or None).
 SKIPPED = {"script", "style", "nav", "header", "footer", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Containers of the main text, the most telling first: (tag, class or None).
 CONTAINERS = [("article", None), ("main", None), ("div", "content"), ("div", "article"), ("body", None)]
 
+# Where a line of text ends: at any line break, or at a gap of two spaces or more.
+_BREAK = re.compile("[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]| {2,}")
+
 
 class _Texts(HTMLParser):
     """Text lines, and for each kind of container those inside its first occurrence."""
@@ -67,8 +71,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     pieces = next((parser.found[i] for i in range(len(CONTAINERS)) if i in parser.found), parser.all)
-    lines = (part.strip() for line in "\n".join(pieces).splitlines() for part in re.split(" {2,}", line.strip()))
-    return "\n".join(line for line in lines if line)
+    return "\n".join(filter(None, map(str.strip, _BREAK.split("\n".join(pieces)))))
 
 
 @F.pandas_udf(StringType())
