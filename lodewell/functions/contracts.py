@@ -12,6 +12,9 @@ DECISION = "thought string, action string, action_input map<string,string>"
 REFLECTION = "passed boolean, issues array<string>, feedback string"
 ENTITIES = "entities array<struct<name:string,type:string,description:string>>"
 RELATIONS = "relationships array<struct<source:string,target:string,relation_type:string,description:string,weight:double>>"
+SUPERVISION = "route string, reasoning string, info_completeness double"
+THOUGHT = "thought string, action string, action_input map<string,string>"
+FACT_CHECK = "passed boolean, reason string, issues array<string>"
 TRANSLATION = "chinese_title string, chinese_summary string, entities_preserved array<string>"
 
 
@@ -50,6 +53,76 @@ def string_list(answer: Column, most: int) -> Column:
     return F.slice(F.filter(F.coalesce(listed, lines), lambda t: t.isNotNull() & (t != "")), 1, most)
 
 
+# What in an answer that is no JSON stands for which route or action, tried in this order.
+ROUTES = ["researcher", "explainer", "fact_checker", "end"]
+ROUTE_WORDS = {"end": (["end", "完成"], 1.0), "explainer": (["explainer", "解释"], 0.8), "fact_checker": (["fact", "核查"], 0.9)}
+ACTION_WORDS = {
+    "web_search": ["web_search", "网络搜索"],
+    "vector_search": ["vector_search", "向量搜索", "related_articles"],
+    "citation_lookup": ["citation_lookup", "实体查询", "知识图谱"],
+    "conversation_history": ["conversation_history", "对话历史"],
+}
+PASSED_WORDS = ["核查通过", "验证通过"]
+
+
+def _mentions(answer: Column, words: list[str]) -> Column:
+    said = F.lower(F.coalesce(answer, F.lit("")))
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(said, w))
+
+
+def _object(answer: Column, schema: str) -> tuple[Column, Column]:
+    """Whether there is a JSON object in an answer, and its fields."""
+    text = json_in_text(answer)
+    return F.coalesce(F.startswith(F.ltrim(text), F.lit("{")) & F.try_parse_json(text).isNotNull(), F.lit(False)), F.from_json(text, schema)
+
+
+def supervision(answer: Column) -> Column:
+    """Where a chat goes on: route, reasoning and completeness; an unknown route is the researcher's, and an answer that
+    is no JSON goes by its words."""
+    whole, r = _object(answer, SUPERVISION)
+    route, sure = F.lit("researcher"), F.lit(0.3)
+    for name, (words, value) in reversed(ROUTE_WORDS.items()):
+        route, sure = F.when(_mentions(answer, words), name).otherwise(route), F.when(_mentions(answer, words), value).otherwise(sure)
+    return F.struct(
+        F.when(~whole, route).when(r["route"].isin(ROUTES), r["route"]).otherwise("researcher").alias("route"),
+        F.when(whole, F.coalesce(r["reasoning"], F.lit(""))).otherwise(F.concat(F.lit("by words: "), route)).alias("reasoning"),
+        F.when(whole, F.coalesce(r["info_completeness"], F.lit(0.5))).otherwise(sure).alias("completeness"),
+    )
+
+
+def research_thought(answer: Column) -> Column:
+    """The next step of a search: thought, action and its input; without JSON the action that the answer names, and
+    without one or the other the search concludes."""
+    whole, r = _object(answer, THOUGHT)
+    action = F.lit("conclude")
+    for name, words in reversed(ACTION_WORDS.items()):
+        action = F.when(_mentions(answer, words), name).otherwise(action)
+    return F.struct(
+        F.when(whole, F.coalesce(r["thought"], F.lit(""))).otherwise(F.concat(F.lit("by words: "), action)).alias("thought"),
+        F.when(whole, F.coalesce(r["action"], F.lit("conclude"))).otherwise(action).alias("action"),
+        F.when(whole, r["action_input"]).alias("action_input"),
+    )
+
+
+def fact_check(answer: Column) -> Column:
+    """Whether facts hold, why, and what is wrong. Whatever can't be read has failed, but for a plain phrase of passing."""
+    inner = F.nullif(F.regexp_extract(answer, r'(?s)(\{[^{}]*"passed"[^{}]*\})', 1), F.lit(""))
+    outer, r = _object(answer, FACT_CHECK)
+    within, s = _object(inner, FACT_CHECK)
+    passed = F.when(outer, F.coalesce(r["passed"], F.lit(False))).when(within, F.coalesce(s["passed"], F.lit(False))).otherwise(_mentions(answer, PASSED_WORDS))
+    none = F.array().cast("array<string>")
+    issues = F.when(outer, F.coalesce(r["issues"], none)).when(within, F.coalesce(s["issues"], none)).when(passed, none).otherwise(F.array(F.lit("unreadable answer")))
+    reason = F.when(outer, r["reason"]).when(within, s["reason"]).when(passed, "by words: passed").otherwise(F.concat(F.lit("unreadable: "), F.substring(F.coalesce(answer, F.lit("")), 1, 100)))
+    return F.struct(passed.alias("passed"), F.coalesce(reason, F.lit("")).alias("reason"), issues.alias("issues"))
+
+
+def content_text(answer: Column) -> Column:
+    """The text of an answer that is plain or a JSON list of parts: strings and parts of type text, put together."""
+    parts = F.from_json(F.when(F.startswith(answer, F.lit("[")), answer), "array<string>")  # parts that are objects stay JSON
+    part = lambda p: F.when(F.startswith(p, F.lit("{")) & F.try_parse_json(p).isNotNull(), F.when(F.get_json_object(p, "$.type") == "text", F.coalesce(F.get_json_object(p, "$.text"), F.lit(""))).otherwise("")).otherwise(p)
+    return F.coalesce(F.array_join(F.transform(parts, part), ""), answer)
+
+
 def translation(answer: Column) -> Column:
     """Title, summary and entities of an answer, and how they were read: as JSON, by labelled fields, or as plain
     text whose first line is the title."""

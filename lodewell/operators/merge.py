@@ -27,6 +27,22 @@ def append(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return stored.unionByName(batch, allowMissingColumns=True)
 
 
+def update(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows with the batch's values where these are not null; keys that nothing is stored under change nothing.
+
+    The batch holds a key once.
+    """
+    given = [c for c in batch.columns if c not in keys]
+    new = batch.select(*keys, F.struct(*given).alias("_new")) if given else batch.select(*keys, F.lit(None).alias("_new"))
+    joined = stored.join(new, keys, "left")
+    return joined.select(*(F.coalesce(F.col("_new")[c], F.col(c)).alias(c) if c in given else F.col(c) for c in stored.columns))
+
+
+def seed(stored: DataFrame, defaults: DataFrame) -> DataFrame:
+    """`defaults` if nothing is stored, else what is stored."""
+    return defaults.select(*stored.columns) if stored.isEmpty() else stored
+
+
 def _last_text(column: str, ordinal: str = "ordinal"):
     """Of the non-empty values the last by ordinal."""
     some = F.nullif(F.col(column), F.lit(""))

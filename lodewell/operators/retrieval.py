@@ -105,6 +105,12 @@ def shown(found: DataFrame, *, text: Column, score: Column, most: int = 500) ->
     return found.withColumn("content", shorten(text, most)).withColumn("relevance", F.round(score, 3))
 
 
+def related(found: DataFrame, articles: DataFrame, *, key: str, most: int = 200) -> DataFrame:
+    """title, summary (its first `most` characters), source, url and score of the articles among the rows of `found`."""
+    cut = F.substring(F.coalesce("summary", F.lit("")), 1, most)
+    return found.join(articles, key).select(F.coalesce("title", F.lit("")).alias("title"), cut.alias("summary"), "source", "url", F.round("similarity", 3).alias("score"))
+
+
 def best_matches(new: DataFrame, stored: DataFrame, *, threshold: float = 0.85, key: str = "id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """(key, match, similarity): for each new vector the nearest stored one with a cosine of at least `threshold`.
 

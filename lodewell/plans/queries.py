@@ -12,12 +12,12 @@ from lodewell.functions.html import extract_content
 from lodewell.functions.json_repair import parsed
 from lodewell.functions.vectors import cosine
 from lodewell.operators import conversation, graph, ingest, listing, merge, retrieval
-from lodewell.plans import answers, lookups
+from lodewell.plans import answers, knowledge, lookups
 from lodewell.plans.fixtures import ARTICLES, MENTIONS, articles, edges, edges_sql, mentions
 from lodewell.plans.registry import ORACLE_SQL, QUERIES, query
 from lodewell.sources.tables import table
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "answers", "lookups"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "answers", "knowledge", "lookups"]
 
 FLAGSHIP = "v06_hybrid_search"
 
