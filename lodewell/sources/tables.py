@@ -49,6 +49,28 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def small_batches(df: DataFrame, *, records: int = 1000, size: str = "8m") -> DataFrame:
+    """The same rows, in a session whose Arrow batches hold at most so many records and about so many bytes.
+
+    What Python makes of the result is bounded so wherever it runs, and the settings of `df`'s own session stay as they
+    are. The other settings are that session's of now.
+    """
+    spark = df.sparkSession
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    # Sessions of one application share global views, and nothing else.
+    view = f"rows_{uuid.uuid4().hex}"
+    df.toDF(*(f"c{i}" for i in range(len(df.columns)))).createGlobalTempView(view)
+    try:
+        return session.table(f"global_temp.{view}").toDF(*df.columns)
+    finally:
+        spark.catalog.dropGlobalTempView(view)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what `materialize` wrote for these tables; nothing may read them any more."""
     for df in tables:

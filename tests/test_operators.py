@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,17 @@ def test_stream_keeps_the_first_of_a_key(spark, tmp_path):
     rows = stream.first_seen_stream(stream.landed(spark, str(tmp_path / "in"), "url string, at timestamp"), when="at", keys=["url"])
     stream.run_once(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_small_batches_leave_the_session_alone(spark):
+    from lodewell.sources.tables import small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    df = spark.range(25, numPartitions=1).selectExpr("id", "id AS `a b`", "cast(id AS string) AS C")
+    out = small_batches(df, records=10)
+    sizes = out.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert sorted(r[0] for r in sizes.collect()) == [5, 10, 10]
+    assert out.columns == df.columns and sorted(out.collect()) == sorted(df.collect())
+    assert spark.conf.get(name) == before and spark.catalog.listTables("global_temp") == []
+    assert small_batches(df.where("false")).count() == 0
