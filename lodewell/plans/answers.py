@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import contracts
 from lodewell.functions.chunking import chunk_array_summary_first
-from lodewell.operators import merge, report, retrieval
+from lodewell.operators import feeds, merge, report, retrieval
 from lodewell.plans.fixtures import edges, edges_sql
 from lodewell.plans.registry import query
 from lodewell.sources.tables import table
@@ -109,3 +109,21 @@ def s17(spark, d):
     rows = table(spark, d, "embeddings")
     run = lambda df, n: df.groupBy(F.col("label").alias("community")).agg(F.count("*").alias("members")).withColumn("run", F.lit(n))
     return merge.append(run(rows, 1), run(rows.where("vec_id % 2 = 0"), 2))
+
+
+@query("s25_feed_changes", """
+SELECT 'https://' || source || '/rss' AS url, source AS name, true AS is_active, false AS refused FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)
+WHERE source NOT IN ('src1', 'src2')
+UNION ALL SELECT 'https://src2/rss', 'src2', false, false WHERE EXISTS (FROM documents WHERE source = 'src2')
+UNION ALL SELECT 'https://new/rss', 'new', true, false
+UNION ALL SELECT 'https://src3/rss', 'again', true, true WHERE EXISTS (FROM documents WHERE source = 'src3')
+""")
+def s25_changes(spark, d):
+    """Feeds created, a known url refused, one deleted and one switched off."""
+    names = table(spark, d, "documents").where("source IS NOT NULL").select(F.col("source").alias("name")).distinct()
+    stored = names.select(F.concat(F.lit("https://"), "name", F.lit("/rss")).alias("url"), "name", F.lit(True).alias("is_active"))
+    asked = spark.createDataFrame([("https://new/rss", "new", True), ("https://new/rss", "newer", True), ("https://src3/rss", "again", True)], "url string, name string, is_active boolean")
+    url = lambda name: spark.createDataFrame([(f"https://{name}/rss",)], "url string")
+    now = feeds.toggled(merge.remove(feeds.created(stored, asked), url("src1"), ["url"]), url("src2"))
+    shown = feeds.listed(now, active_only=False).withColumn("refused", F.lit(False))
+    return shown.unionByName(feeds.rejected(stored, asked).withColumn("refused", F.lit(True)))
