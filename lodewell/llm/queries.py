@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodewell.llm import additive, langid, license, mixing, range_join, sentencepiece_trie, simhash, substring, toxicity, warc_zip
+from lodewell.llm import additive, kdtree_codes, langid, license, mixing, range_join, sentencepiece_trie, simhash, substring, token_counts, toxicity, warc_zip, whitening
 from lodewell.sources.tables import table
 
 
@@ -64,6 +64,18 @@ def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -75,6 +87,9 @@ QUERIES = {
     "op8_warc_zip": op8_warc_zip,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_nearest": op10_nearest,
+    "op11_whitening": op11_whitening,
+    "op12_token_counts": op12_token_counts,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -132,3 +147,45 @@ LEFT JOIN (SELECT src AS vec_id, count(*) AS n FROM link GROUP BY src) c USING (
 GROUP BY v.vec_id
 """
 
+
+def _vector_codes_sql(rounds: int = 2) -> str:
+    """The rounds spelled out: nearest entries by all distances, then means rounded down."""
+    steps = [f"""
+start AS (
+    SELECT m, r - 1 AS e, c FROM part WHERE r <= 64
+), book0 AS (
+    SELECT * FROM start
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS (
+    SELECT r, m, min({{'d': list_sum(list_transform(list_zip(p.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}}) AS best
+    FROM part p JOIN book{i} b USING (m) GROUP BY r, m
+)""")
+        if i < rounds:
+            steps.append(f"""
+sum{i} AS (
+    SELECT m, best.e AS e, k, floor(sum(c[k]) / count(*))::BIGINT AS v
+    FROM near{i} JOIN part USING (r, m), unnest(generate_series(1, len(c))) AS u(k) GROUP BY 1, 2, 3
+), mean{i} AS (
+    SELECT m, e, list(v ORDER BY k) AS v FROM sum{i} GROUP BY 1, 2
+), book{i + 1} AS (
+    SELECT m, e, coalesce(v, c) AS c FROM book{i} LEFT JOIN mean{i} USING (m, e)
+)""")
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x, row_number() OVER (ORDER BY vec_id) AS r
+    FROM embeddings WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), part AS (
+    SELECT r, m, x[m * len(x) // 16 + 1:(m + 1) * len(x) // 16] AS c FROM kept, unnest(generate_series(0, 15)) AS u(m)
+), {",".join(steps)}, coded AS (
+    SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY m) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY r
+), digest AS (
+    SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY m, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
+
+
+ORACLE_SQL["op13_vector_codes"] = _vector_codes_sql()
