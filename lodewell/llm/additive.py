@@ -80,14 +80,21 @@ def train(sample: np.ndarray, *, books: int = 32, words: int = 256, rounds: int
 def fit(vectors: DataFrame, *, vector: str = "embedding", sample_rows: int = 8192, **settings) -> Codebooks | None:
     """Codebooks from at most `sample_rows` distinct vectors, by hash; None if no vector is usable.
 
-    The dimension is the commonest in the sample. Only the sample reaches the driver.
+    Copies are merged before the sample is cut, so that no number of them displaces another vector. The dimension is the
+    commonest in the sample; a codebook for each 128 vectors of it, 8 at least and 32 at most. Only the sample reaches
+    the driver.
     """
-    picked = vectors.where(usable(vector)).select(F.col(vector).alias("x"), F.xxhash64(vector).alias("h")).orderBy("h").limit(sample_rows).toPandas()
+    return _fit_distinct(vectors.where(usable(vector)).select(F.col(vector).alias("x")).distinct(), sample_rows, **settings)
+
+
+def _fit_distinct(distinct: DataFrame, sample_rows: int = 8192, **settings) -> Codebooks | None:
+    """`fit` for usable vectors `x` of which none occurs twice."""
+    picked = distinct.select("x", F.xxhash64("x").alias("h")).orderBy("h").limit(sample_rows).toPandas()
     if not len(picked):
         return None
-    lengths = picked["x"].map(len)
-    dimension = int(lengths.mode().min())
-    return train(np.unique(np.stack(picked["x"][lengths == dimension].to_numpy()).astype(np.float64), axis=0), **settings)
+    sizes = picked["x"].map(len)
+    sample = np.stack(picked["x"][sizes == int(sizes.mode().min())].to_numpy()).astype(np.float64)
+    return train(sample, **{"books": min(32, max(8, len(sample) // 128))} | settings)
 
 
 def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
@@ -175,22 +182,23 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector
     joined with the original vectors and scored exactly. With fewer candidates than `pool` the answer is exact.
     """
     spark = vectors.sparkSession
-    books = books or fit(vectors, vector=vector)
+    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("x")).where(usable("x") & F.col("k").isNotNull())
+    distinct = materialize(rows.groupBy("x").agg(F.min("k").alias("rep")), "distinct")
+    books = books or _fit_distinct(distinct)
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("x")).where(usable("x") & (F.size("x") == books.dimension) & F.col("k").isNotNull())
-    distinct = materialize(rows.groupBy("x").agg(F.min("k").alias("rep")), "distinct")
-    # Both sides are plain exchanges, so that a hot vector can be split.
-    asked = materialize(rows.where(is_query).select("k", "x").join(distinct, "x").select(F.col("k").alias("query_id"), F.col("rep").alias("query")).distinct(), "asked")
+    distinct = distinct.where(F.size("x") == books.dimension)
+    # Both sides are plain exchanges, so that a hot vector can be split; from here on rows go by the name of their vector.
+    named = materialize(rows.select("k", "x", is_query.alias("asks")).join(distinct, "x").select("k", "rep", "asks"), "named")
+    asked = materialize(named.where("asks").select(F.col("k").alias("query_id"), F.col("rep").alias("query")).distinct(), "asked")
     queries = distinct.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("query"), "x")
     found = candidates(materialize(index(distinct, books), "index"), queries, books, pool=max(pool, k) + 1, **settings)  # one may be the query itself
     # Component by component in order, so that equal vectors get equal scores.
     product = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
     scored = found.join(queries.withColumnRenamed("x", "y"), "query").join(distinct, "rep").select("query", "rep", product.alias("score"))
     best = _first(scored, k + 1, "query", F.desc("score"), "rep").drop("rank")
-    order = Window.partitionBy("x").orderBy("k")
-    copies = rows.select("x", "k", F.first("k").over(order).alias("rep"), F.row_number().over(order).alias("copy")).where(F.col("copy") <= k + 1)
-    best = _first(best.join(copies.select("rep", "k"), "rep"), k + 1, "query", F.desc("score"), "k").select("query", F.col("k").alias("vec_id"), "score")
+    copies = _first(named.select("rep", "k"), k + 1, "rep", "k").drop("rank")
+    best = _first(best.join(copies, "rep"), k + 1, "query", F.desc("score"), "k").select("query", F.col("k").alias("vec_id"), "score")
     answers = asked.join(materialize(best, "best"), "query").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
