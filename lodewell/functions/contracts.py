@@ -31,6 +31,21 @@ def decision(answer: Column, actions: list[str]) -> Column:
     return F.struct(r["thought"].alias("thought"), r["action"].alias("action"), F.coalesce(r["action_input"], F.create_map().cast("map<string,string>")).alias("action_input"), error.alias("error"))
 
 
+def search_decision(answer: Column, tools: list[str]) -> Column:
+    """The next step of a search in an answer, repaired where it broke off: readable, thought, action and its input.
+
+    An answer is readable if it holds a thought and an action, and an input to any action but conclude; an action that
+    is no tool concludes.
+    """
+    r = parsed(json_in_text(answer), DECISION)
+    readable = r["thought"].isNotNull() & r["action"].isNotNull() & ((r["action"] == "conclude") | r["action_input"].isNotNull())
+    known = F.when(r["action"].isin(tools), r["action"]).otherwise("conclude")
+    return F.struct(
+        F.coalesce(readable, F.lit(False)).alias("readable"), F.coalesce(r["thought"], F.lit("")).alias("thought"),
+        known.alias("action"), F.when(known != "conclude", r["action_input"]).alias("action_input"),
+    )
+
+
 def entities(answer: Column) -> Column:
     """The entities in an answer, repaired where it broke off: those with a name, of type CONCEPT where none is given;
     none where the answer can't be read."""
@@ -106,7 +121,9 @@ def research_thought(answer: Column) -> Column:
 
 def fact_check(answer: Column) -> Column:
     """Whether facts hold, why, and what is wrong. Whatever can't be read has failed, but for a plain phrase of passing."""
-    inner = F.nullif(F.regexp_extract(answer, r'(?s)(\{[^{}]*"passed"[^{}]*\})', 1), F.lit(""))
+    # Of the innermost objects, which hold no other, the first that says whether it passed.
+    innermost = F.transform(F.split(answer, r"\{"), lambda t: F.concat(F.lit("{"), F.substring_index(t, "}", 1), F.lit("}")))
+    inner = F.try_element_at(F.filter(innermost, lambda t: F.get_json_object(t, "$.passed").isNotNull()), F.lit(1))
     outer, r = _object(answer, FACT_CHECK)
     within, s = _object(inner, FACT_CHECK)
     passed = F.when(outer, F.coalesce(r["passed"], F.lit(False))).when(within, F.coalesce(s["passed"], F.lit(False))).otherwise(_mentions(answer, PASSED_WORDS))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -12,13 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Tags whose text does not show, tags without an end, and the containers of the main text, the most
-# telling first, as (tag, class or None).
+# telling first, as (tag, class or None), and what parts two lines of text besides a line break.
 SKIPPED = {"script", "style", "nav", "header", "footer", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CONTAINERS = [("article", None), ("main", None), ("div", "content"), ("div", "article"), ("body", None)]
-
-# Where a line of text ends: at any line break, or at a gap of two spaces or more.
-_BREAK = re.compile("[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]| {2,}")
+GAP = "  "
 
 
 class _Texts(HTMLParser):
@@ -71,7 +68,8 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     pieces = next((parser.found[i] for i in range(len(CONTAINERS)) if i in parser.found), parser.all)
-    return "\n".join(filter(None, map(str.strip, _BREAK.split("\n".join(pieces)))))
+    lines = "\n".join(pieces).replace(GAP, "\n").splitlines()
+    return "\n".join(filter(None, map(str.strip, lines)))
 
 
 @F.pandas_udf(StringType())

@@ -74,16 +74,21 @@ def fallback_query(q: Column, most: int = 7) -> Column:
     return F.array_join(F.slice(F.filter(words, lambda w: ~w.rlike(r"^\d{4}(-\d{4})?$") & (w != "")), 1, most), " ")
 
 
-def format_issues(title: Column, summary: Column) -> Column:
-    """What a summary's format lacks: a two-letter tag before the title, three paragraphs, bullets in the second,
-    the label before the third."""
+# What the title of a summary and its third paragraph begin with.
+TITLE_TAG = r"^\[[\u4e00-\u9fa5a-zA-Z]+\]\s+.+"
+THIRD_LABEL = "主编洞察："
+
+
+def format_issues(title: Column, summary: Column, label: str = THIRD_LABEL) -> Column:
+    """What a summary's format lacks: a tag before the title, three paragraphs, bullets in the second, the label before
+    the third."""
     parts = F.filter(F.split(strip(F.coalesce(summary, F.lit(""))), r"\n\s*\n"), lambda p: strip(p) != "")
     few = F.size(parts) < 3
     issues = F.array(
-        F.when(~F.coalesce(title.rlike(r"^\[..\]\s+.+"), F.lit(False)), F.lit("title")),
+        F.when(~F.coalesce(title.rlike(TITLE_TAG), F.lit(False)), F.lit("title")),
         F.when(few, F.lit("paragraphs")),
         F.when(~few & ~F.coalesce(F.try_element_at(parts, F.lit(2)).rlike(r"(?m)^·\s+"), F.lit(False)), F.lit("bullets")),
-        F.when(~few & ~F.coalesce(F.startswith(F.try_element_at(parts, F.lit(3)), F.lit("影响")), F.lit(False)), F.lit("label")),
+        F.when(~few & ~F.coalesce(F.startswith(F.try_element_at(parts, F.lit(3)), F.lit(label)), F.lit(False)), F.lit("label")),
     )
     return F.array_compact(issues)
 

@@ -62,6 +62,20 @@ def opened(stored: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     return stored.unionByName(new)
 
 
-def route(state: Column, failures: Column, steps: Column, *, most_failures: int = 3, most_steps: int = 5) -> Column:
-    """The next node of a chat: research, check or answer; too many failed checks or steps end in an answer."""
-    return F.when((failures >= most_failures) | (steps >= most_steps), "answer").when(state == "researched", "check").when(state == "checked", "answer").otherwise("research")
+def route(passed: Column, response: Column, completeness: Column, researched: Column, *, most_research: int = 5, enough: float = 0.7) -> Column:
+    """Where a chat goes on if no model says so: researcher, explainer, fact_checker or end.
+
+    `passed` is null before a response was checked. A failed check goes back to the explainer if the information is
+    complete `enough`, else to the researcher; a new response is checked, a passed one ends the turn. Without a
+    response, complete information is explained, and research goes on until its rounds are used up.
+    """
+    answered = F.coalesce(response, F.lit("")) != ""
+    complete = F.coalesce(completeness, F.lit(0.0)) >= enough
+    return (
+        F.when(~passed, F.when(complete, "explainer").otherwise("researcher"))
+        .when(passed, "end")
+        .when(answered, "fact_checker")
+        .when(complete, "explainer")
+        .when(researched < most_research, "researcher")
+        .otherwise("explainer")
+    )

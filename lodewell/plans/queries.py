@@ -12,12 +12,12 @@ from lodewell.functions.html import extract_content
 from lodewell.functions.json_repair import parsed
 from lodewell.functions.vectors import cosine
 from lodewell.operators import conversation, graph, ingest, listing, merge, retrieval
-from lodewell.plans import answers, knowledge, lookups
+from lodewell.plans import answers, knowledge, lookups, loops
 from lodewell.plans.fixtures import ARTICLES, MENTIONS, articles, edges, edges_sql, mentions
 from lodewell.plans.registry import ORACLE_SQL, QUERIES, query
 from lodewell.sources.tables import table
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "answers", "knowledge", "lookups"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "answers", "knowledge", "lookups", "loops"]
 
 FLAGSHIP = "v06_hybrid_search"
 
@@ -571,7 +571,7 @@ def c10(spark, d):
     title = F.concat(F.when(k % 2 == 0, "[AI] ").otherwise(""), F.col("source"))
     third = F.when(k % 5 == 0, "").otherwise(F.concat(brk, F.when(k % 7 == 0, "影响").otherwise(""), F.lit("three")))
     summary = F.concat(F.lit("one"), brk, F.when(k % 3 == 0, "· ").otherwise(""), F.lit("two"), third)
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.format_issues(title, summary), ",").alias("issues"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.format_issues(title, summary, "影响"), ",").alias("issues"))
 
 
 @query("c13_citations", """

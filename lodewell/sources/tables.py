@@ -39,12 +39,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation."""
+def materialize(df: DataFrame, label: str = "step", by: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation.
+
+    Rows lie in a folder for each value of `by`, so that who asks for one value reads no other's files.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, partitionBy=by)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     _written[out] = path
     return out
 

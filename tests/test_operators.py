@@ -97,8 +97,13 @@ def test_pages(spark):
 
 
 def test_route(spark):
-    state = lambda s, f, n: spark.range(1).select(conversation.route(F.lit(s), F.lit(f), F.lit(n))).first()[0]
-    assert [state("new", 0, 0), state("researched", 0, 1), state("checked", 0, 2), state("researched", 3, 1)] == ["research", "check", "answer", "answer"]
+    cases = [
+        ((False, "r", 0.7, 0), "explainer"), ((False, "r", 0.6, 9), "researcher"), ((None, "r", 0.9, 0), "fact_checker"), ((True, "r", 0.1, 0), "end"),
+        ((None, "", 0.7, 0), "explainer"), ((None, None, 0.0, 4), "researcher"), ((None, None, 0.0, 5), "explainer"), ((None, None, None, 0), "researcher"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, passed boolean, response string, completeness double, research int")
+    got = df.orderBy("i").select(conversation.route(F.col("passed"), F.col("response"), F.col("completeness"), F.col("research"))).collect()
+    assert [r[0] for r in got] == [expected for _, expected in cases]
 
 
 def test_providers_isolate_failures(spark):
