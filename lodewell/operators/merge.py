@@ -79,9 +79,13 @@ def merge_relationships(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def merge_memories(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Memories by (conversation, type): a batch row with content replaces the stored one and counts its version up."""
+    """Memories by (conversation, type): a batch row with content replaces the stored one and counts its version up.
+
+    Where both sides hold `updated_at`, the batch's is kept with its content. The batch holds a memory once.
+    """
     keys = ["conv_id", "memory_type"]
-    new = batch.where(F.coalesce(F.nullif("content", F.lit("")), F.lit(None)).isNotNull())
+    when = ["updated_at"] if "updated_at" in stored.columns and "updated_at" in batch.columns else []
+    new = batch.where(F.coalesce("content", F.lit("")) != "")
     new = new.join(stored.select(*keys, F.col("version").alias("old")), keys, "left")
-    new = new.select(*keys, "content", (F.coalesce("old", F.lit(0)) + 1).alias("version"))
-    return upsert(stored.select(*keys, "content", "version"), new, keys)
+    new = new.select(*keys, "content", (F.coalesce("old", F.lit(0)) + 1).alias("version"), *when)
+    return upsert(stored.select(*keys, "content", "version", *when), new, keys)

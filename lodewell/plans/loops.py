@@ -1,12 +1,12 @@
-"""Queries of the loops of model calls, with providers that SQL can follow."""
+"""Queries of the loops of model calls and of memories, with providers that SQL can follow."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodewell.operators import loops
+from lodewell.operators import loops, memory
 from lodewell.plans.registry import query
-from lodewell.plans.scripted import Editor, Searcher, Talker
+from lodewell.plans.scripted import Editor, Rememberer, Searcher, Talker
 from lodewell.sources.tables import table
 
 
@@ -110,3 +110,47 @@ def c11(spark, d):
     title = F.when(k % 19 == 0, "").otherwise(F.concat(F.when(k % 2 == 0, "[AI] ").otherwise(""), name, F.lit(" r0")))
     articles = table(spark, d, "documents").select("doc_id", name.alias("original_title"), F.col("text").alias("content"), title.alias("title"), F.lit("one\n\n· two\n\n主编洞察：three").alias("summary"))
     return loops.reflect(articles, Editor, key="doc_id").select("doc_id", "title", "passed", "retries", "feedback")
+
+
+@query("h06_memory_extraction", """
+WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS ago FROM conversations),
+k AS (SELECT unnest(['the', 'ing', 'data', 'on']) AS word, unnest([1, 2, 3, 4]) AS i),
+w AS (SELECT conv_id, word, min(turn * 10 + i) AS o FROM m, k WHERE ago <= 5 AND role = 'user' AND contains(lower(text), word) GROUP BY 1, 2),
+i AS (SELECT conv_id, string_agg(word, ',' ORDER BY o) AS words FROM w GROUP BY 1),
+c AS (
+    SELECT conv_id, count(*) FILTER (ago <= 10 AND role IN ('user', 'assistant', 'system')) AS lines, arg_max(text, turn) FILTER (role = 'user') AS topic FROM m GROUP BY 1
+)
+SELECT conv_id, 'user_profile' AS memory_type, CASE WHEN conv_id % 4 >= 2 THEN 'level ' || lines ELSE coalesce(words, '') END AS content, CASE WHEN conv_id % 4 >= 2 THEN 'model' ELSE 'rule' END AS by
+FROM c LEFT JOIN i USING (conv_id)
+UNION ALL
+SELECT conv_id, 'conversation_state', CASE WHEN conv_id % 4 = 3 THEN 'topic ' || conv_id ELSE topic[1:200] END, CASE WHEN conv_id % 4 = 3 THEN 'model' ELSE 'rule' END
+FROM c WHERE conv_id % 4 <> 2
+""")
+def h06(spark, d):
+    """Memories by a model where it can be had, by rule elsewhere; of the contents what a reader looks for."""
+    found = memory.extracted(table(spark, d, "conversations"), Rememberer, keywords=["the", "ing", "data", "on"])
+    part = lambda name: F.get_json_object("content", f"$.{name}")
+    interests = F.array_join(F.from_json(part("interests"), "array<string>"), ",")
+    return found.select("conv_id", "memory_type", F.coalesce(part("expertise_level"), part("current_topic"), interests).alias("content"), "by")
+
+
+@query("s32_memory_generations", """
+WITH e AS (
+    SELECT conv_id, role AS memory_type, text AS content, turn, make_timestamp((1704067200 + turn * 300 + CASE WHEN turn >= 4 THEN conv_id % 3 * 3000 ELSE 0 END) * 1000000) AS time
+    FROM conversations WHERE coalesce(text, '') <> ''
+), g AS (
+    SELECT *, sum(CASE WHEN before IS NULL OR time > before + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, memory_type ORDER BY time, turn) AS g
+    FROM (SELECT *, lag(time) OVER (PARTITION BY conv_id, memory_type ORDER BY time, turn) AS before FROM e)
+)
+SELECT conv_id, memory_type, arg_max(content, turn) AS content, count(*) AS version, epoch(min(time))::BIGINT AS first_at, epoch(max(time))::BIGINT AS last_at,
+       CASE WHEN max(time) + INTERVAL 1 HOUR < (SELECT max(time) - INTERVAL 10 MINUTE FROM e) THEN 'expired' ELSE 'live' END AS status
+FROM g GROUP BY conv_id, memory_type, g
+""")
+def s32(spark, d):
+    """What each role said last, remembered for an hour; later turns of some conversations come long after the first."""
+    rows = table(spark, d, "conversations")
+    late = F.when(F.col("turn") >= 4, F.col("conv_id") % 3 * 3000).otherwise(0)
+    events = rows.select("conv_id", F.col("role").alias("memory_type"), F.col("text").alias("content"), "turn", F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 300 + late).alias("at"))
+    last = events.where("content <> ''").agg(F.max("at")).first()[0]
+    kept = memory.generations(events, "1 hour", F.lit(last) - F.expr("INTERVAL 10 MINUTES"))
+    return kept.withColumns({c: F.unix_timestamp(c) for c in ("first_at", "last_at")})

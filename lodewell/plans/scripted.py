@@ -72,3 +72,15 @@ class Editor:
             raise OSError("no translation")
         title = f"doc {doc} r{_number(prompt, 'Attempt')}"
         return json.dumps({"chinese_title": title if doc % 3 == 0 else f"[AI] {title}", "chinese_summary": "one\n\n· two\n\n主编洞察：three"}, ensure_ascii=False)
+
+
+class Rememberer:
+    """Extracts memories by a conversation's number: fails, says nothing to be read, or gives one or both kinds."""
+
+    def complete(self, prompt: str) -> str:
+        conv = _number(prompt, "Conversation")
+        if conv % 4 == 0:
+            raise OSError("down")
+        lines = len(re.findall(r"^\[(?:user|assistant|system)\]: ", prompt, re.MULTILINE))
+        given = {"user_profile": {"expertise_level": f"level {lines}"}, "conversation_state": {"current_topic": f"topic {conv}"} if conv % 4 == 3 else {}}
+        return "nothing {to read}" if conv % 4 == 1 else "So: " + json.dumps(given) + " as asked"
