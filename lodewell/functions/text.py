@@ -52,11 +52,32 @@ def shorten(c: Column, most: int, mark: str = "...") -> Column:
 
 
 def terms(c: Column) -> Column:
-    """Lower-case words of letters and digits, without stop words. No stemming: any language is treated alike."""
+    """Lower-case words of letters and digits, without stop words, as they stand: any language is treated alike."""
     words = F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]+", " "), " ")
     return F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS))
 
 
+def stems(words: Column) -> Column:
+    """Each word of an array without the endings of an English plural, and of -ed and -ing forms.
+
+    -ies becomes -y, -es goes after a hiss, -s after any other letter but s and u; -ed and -ing go if a vowel is left,
+    and of a doubled consonant before them, but for l, s and z, one letter. Words of three letters or fewer stay.
+    """
+
+    def stem(w: Column) -> Column:
+        plural = (
+            F.when(w.rlike("[^ae]ies$"), F.regexp_replace(w, "ies$", "y"))
+            .when(w.rlike("(ss|sh|ch|x|z)es$"), F.regexp_replace(w, "es$", ""))
+            .when(w.rlike("[^su]s$"), F.regexp_replace(w, "s$", ""))
+            .otherwise(w)
+        )
+        bare = F.regexp_replace(plural, "^(.*[aeiouy].*)(?:ing|ed)$", "$1")
+        single = F.when(bare != plural, F.regexp_replace(bare, "([b-df-hjkmnp-rtv-x])\\1$", "$1")).otherwise(bare)
+        return F.when(F.length(w) <= 3, w).otherwise(single)
+
+    return F.transform(words, stem)
+
+
 def host(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("HOST"))
 

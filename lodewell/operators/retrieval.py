@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from lodewell.functions.text import shorten, terms
 from lodewell.functions.vectors import cosine, literal, usable
+from lodewell.operators.textindex import TextIndex
 
 RANK_OFFSET = 60  # of reciprocal-rank fusion
 NO_RANK = 1000  # the rank of what an arm did not return
@@ -52,15 +54,15 @@ def _equals(term: str):
 def text_match(df: DataFrame, query: list[str], k: int, *, key: str, text: str) -> DataFrame:
     """The k best of the documents that hold every query term, with `text_score`: the sum of 1 + ln(tf).
 
-    Evaluated in the scan: no posting is shuffled for a query of a few terms.
+    Evaluated in the scan, for texts without an index: no posting is shuffled for a query of a few terms. The terms of a text
+    are made once; what is left of them passes a generator, through which no filter is pushed that would make them again.
     """
-    words = terms(F.col(text))
-    counts = [F.size(F.filter(words, _equals(t))) for t in query]
-    every = F.lit(True)
-    for c in counts:
-        every = every & (c > 0)
+    held = F.filter(terms(F.col(text)), lambda w: w.isin(query))
+    rows = df.select(key, F.explode(F.array(held)).alias("held"))
+    counts = [F.size(F.filter("held", _equals(t))) for t in query]
+    every = reduce(lambda a, b: a & b, (c > 0 for c in counts), F.lit(True))
     score = sum((1 + F.log(c.cast("double")) for c in counts), F.lit(0.0))
-    return df.where(every).select(key, score.alias("text_score")).orderBy(F.desc("text_score"), key).limit(k)
+    return rows.where(every).select(key, score.alias("text_score")).orderBy(F.desc("text_score"), key).limit(k)
 
 
 def _ranked(df: DataFrame, score: str, key: str, name: str) -> DataFrame:
@@ -68,31 +70,28 @@ def _ranked(df: DataFrame, score: str, key: str, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), key)))
 
 
-def hybrid(
-    vectors: DataFrame,
-    texts: DataFrame,
-    query,
-    words: list[str],
-    k: int,
-    *,
-    key: str = "id",
-    vector: str = "embedding",
-    text: str = "text",
-    vector_weight: float = 0.6,
-    text_weight: float = 0.4,
-) -> DataFrame:
-    """Reciprocal-rank fusion of a vector arm and a text arm, 2k candidates each: the k best by rrf_score.
+def fuse(near: DataFrame, said: DataFrame, k: int, *, key: str = "id", vector_weight: float = 0.6, text_weight: float = 0.4) -> DataFrame:
+    """Reciprocal-rank fusion of a vector arm (key, similarity) and a text arm (key, text_score): the k best by rrf_score.
 
-    A document that an arm did not return has rank 1000 and score 0 in it. `similarity` is the vector score. Limits
-    come before ranks and join: everything behind the two scans handles 4k rows at most.
+    Both arms are bounded, the first so many of a search. A document that an arm did not return has rank 1000 and
+    score 0 in it. `similarity` is the vector score. Limits come before ranks and join.
     """
-    near = _ranked(similar(vectors, query, 2 * k, key=key, vector=vector).select(key, "similarity"), "similarity", key, "vector_rank")
-    said = _ranked(text_match(texts, words, 2 * k, key=key, text=text), "text_score", key, "text_rank")
+    near = _ranked(near.select(key, "similarity"), "similarity", key, "vector_rank")
+    said = _ranked(said.select(key, "text_score"), "text_score", key, "text_rank")
     fused = near.join(said, key, "full_outer").na.fill({"similarity": 0.0, "text_score": 0.0, "vector_rank": NO_RANK, "text_rank": NO_RANK})
     score = F.lit(vector_weight) / (F.col("vector_rank") + RANK_OFFSET) + F.lit(text_weight) / (F.col("text_rank") + RANK_OFFSET)
     return fused.withColumn("rrf_score", score).orderBy(F.desc("rrf_score"), key).limit(k)
 
 
+def hybrid(
+    vectors: DataFrame, texts: DataFrame | TextIndex, query, words: list[str], k: int, *, key: str = "id", vector: str = "embedding", text: str = "text", **weights
+) -> DataFrame:
+    """The k best by fusion of a vector arm and a text arm, 2k candidates each; texts are searched by their index, or read."""
+    near = similar(vectors, query, 2 * k, key=key, vector=vector)
+    said = texts.search(words, 2 * k, name=key) if isinstance(texts, TextIndex) else text_match(texts, words, 2 * k, key=key, text=text)
+    return fuse(near, said, k, key=key, **weights)
+
+
 def rerank(found: DataFrame, query: list[str], k: int, *, text: str, order: str) -> DataFrame:
     """The k best by the share of query terms that a text holds, ties in the given order: the offline reranker."""
     words = terms(F.col(text))

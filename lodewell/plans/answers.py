@@ -77,16 +77,16 @@ def d09(spark, d):
 
 @query("v03_similar_chunks", """
 WITH s AS (SELECT vec_id AS chunk_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings),
-     b AS (SELECT * FROM s WHERE s >= 0.5 ORDER BY s DESC, chunk_id LIMIT 10)
+     b AS (SELECT * FROM s WHERE s >= 0.15 ORDER BY s DESC, chunk_id LIMIT 10)
 SELECT chunk_id, source AS title, round(s, 6) AS similarity FROM b LEFT JOIN documents ON doc_id = chunk_id // 2
 """)
 def v03(spark, d):
-    """A threshold of 0 stands for the default of 0.5."""
+    """Chunks by vector, two of them an article."""
     vectors = table(spark, d, "embeddings")
     query = vectors.where("vec_id = 0").select("embedding").first()
     chunks = vectors.select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 2).alias("article_id"), "embedding")
     titles = table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("title"))
-    found = retrieval.similar_chunks(chunks, titles, query[0] if query else [0.0], threshold=0)
+    found = retrieval.similar_chunks(chunks, titles, query[0] if query else [0.0], threshold=0.15)
     return found.select("chunk_id", "title", F.round("similarity", 6).alias("similarity"))
 
 

@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.functions.text import weighted_score
-from lodewell.sources.tables import table
+from lodewell.operators.textindex import TextIndex, build
+from lodewell.sources.tables import scratch_path, table
+
+_indexes: dict[tuple[str, str, bool], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, d: str, *, weighted: bool = False) -> TextIndex:
+    """The full-text index of the documents, written once an application: of their texts, or `weighted` of the stems of
+    their source and text."""
+    name = (spark.sparkContext.applicationId, d, weighted)
+    if name not in _indexes:
+        docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+        settings = {"title": "source", "stemmed": True} if weighted else {"body": 1.0}
+        _indexes[name] = build(docs, scratch_path(spark, "index"), key="id", text="text", buckets=8, **settings)
+    return _indexes[name]
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from lodewell.functions.json_repair import parsed
 from lodewell.functions.vectors import cosine
 from lodewell.operators import conversation, graph, ingest, listing, merge, retrieval
 from lodewell.plans import answers, knowledge, lookups, loops
-from lodewell.plans.fixtures import ARTICLES, MENTIONS, articles, edges, edges_sql, mentions
+from lodewell.plans.fixtures import ARTICLES, MENTIONS, articles, edges, edges_sql, mentions, text_index
 from lodewell.plans.registry import ORACLE_SQL, QUERIES, query
 from lodewell.sources.tables import table
 
@@ -480,8 +480,34 @@ _MATCH = "SELECT doc_id AS id, 1 + ln(len(list_filter(w, lambda x: x = 'en'))) +
 
 @query("v07_text_match", f"WITH {_TERMS} SELECT id, round(text_score, 6) AS text_score FROM ({_MATCH}) ORDER BY text_score DESC, id LIMIT 20")
 def v07(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = retrieval.text_match(rows, TERMS, 20, key="id", text="text")
+    found = text_index(spark, d).search(TERMS, 20)
+    return found.select("id", F.round("text_score", 6).alias("text_score"))
+
+
+_STEMS = """
+words AS (
+    SELECT doc_id, 1 AS heading, string_split(regexp_replace(lower(source), '[^\\p{L}\\p{Nd}]+', ' ', 'g'), ' ') AS w FROM documents
+    UNION ALL SELECT doc_id, 0, w FROM tokens
+), t AS (SELECT doc_id, heading, unnest(w) AS w FROM words), p AS (
+    SELECT *, CASE WHEN regexp_matches(w, '[^ae]ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '(ss|sh|ch|x|z)es$') THEN regexp_replace(w, 'es$', '')
+                   WHEN regexp_matches(w, '[^su]s$') THEN regexp_replace(w, 's$', '') ELSE w END AS plural
+    FROM t
+), b AS (SELECT *, regexp_replace(plural, '^(.*[aeiouy].*)(ing|ed)$', '\\1') AS bare FROM p),
+stems AS (
+    SELECT doc_id, heading, CASE WHEN length(w) <= 3 THEN w WHEN bare <> plural AND regexp_matches(bare, '[b-df-hjkmnp-rtv-x]$') AND bare[-1] = bare[-2] THEN bare[:-2] ELSE bare END AS term FROM b
+)
+"""
+
+
+@query("v08_weighted_search", f"""
+WITH {_TERMS}, {_STEMS}, f AS (
+    SELECT doc_id AS id, term, 1 + ln(1.0e0 * sum(heading) + 0.4e0 * sum(1 - heading)) AS impact FROM stems WHERE term IN ('src1', 'onnd', 'er') GROUP BY 1, 2
+)
+SELECT id, round(sum(impact), 6) AS text_score FROM f GROUP BY 1 HAVING count(*) = 3 ORDER BY text_score DESC, id LIMIT 15
+""")
+def v08(spark, d):
+    """Terms of a heading, the source, count more than those of the text; `er` is what is left of `ering`."""
+    found = text_index(spark, d, weighted=True).search(["src1", "onnd", "ering"], 15)
     return found.select("id", F.round("text_score", 6).alias("text_score"))
 
 
@@ -508,8 +534,7 @@ FROM near FULL JOIN said USING (id) ORDER BY rrf_score DESC, id LIMIT 10
 @query("v06_hybrid_search", _HYBRID)
 def v06(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = retrieval.hybrid(vectors, texts, _vector(spark, d), TERMS, 10)
+    found = retrieval.hybrid(vectors, text_index(spark, d), _vector(spark, d), TERMS, 10)
     return found.select("id", F.round("similarity", 6).alias("similarity"), F.col("vector_rank").cast("long").alias("vector_rank"), F.col("text_rank").cast("long").alias("text_rank"), F.round("rrf_score", 9).alias("rrf_score"))
 
 
