@@ -13,7 +13,6 @@ from lodewell.functions.text import strip
 from lodewell.functions.vectors import cosine, literal
 from lodewell.operators.components import connected_components
 from lodewell.operators.retrieval import best_matches
-from lodewell.sources.tables import materialize
 
 
 def group_entities(mentions: DataFrame, *, name: str = "name", article: str = "article_id", ordinal: str = "ordinal") -> DataFrame:
@@ -120,25 +119,6 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, *, rounds: int = 10) -> DataFrame:
-    """(id, community) by weighted label propagation: nodes take the label with most weight around them, ties to the
-    smaller label; in odd rounds only nodes of an odd hash move, in even rounds the others, so that labels settle.
-    """
-    around = materialize(both_ways(edges).where("node <> other").groupBy("node", "other").agg(F.sum("weight").alias("weight")), "around")
-    labels = materialize(nodes.select("id", F.col("id").alias("community")).distinct(), "labels")
-    for i in range(rounds):
-        votes = around.join(labels.withColumnRenamed("id", "other"), "other").groupBy("node", "community").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy(F.col("node").alias("id")).agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("best"))
-        moves = F.col("best").isNotNull() & (F.pmod(F.hash("id"), F.lit(2)) == i % 2)
-        after = labels.join(best, "id", "left").select("id", F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community"), (moves & (F.col("best") != F.col("community"))).alias("moved"))
-        after = materialize(after, "labels")
-        changed = not after.where("moved").isEmpty()
-        labels = after.drop("moved")
-        if not changed and i % 2:
-            break
-    return labels
-
-
 def hubs(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(community, hub, degree): the member with most edges, the smallest id of equals."""
     known = members.join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))

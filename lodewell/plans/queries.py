@@ -11,11 +11,11 @@ from lodewell.functions.chunking import chunk_array
 from lodewell.functions.html import extract_content
 from lodewell.functions.json_repair import parsed
 from lodewell.functions.vectors import cosine
-from lodewell.operators import conversation, graph, ingest, listing, merge, retrieval
+from lodewell.operators import conversation, graph, ingest, listing, merge, modularity, retrieval
 from lodewell.plans import answers, knowledge, lookups, loops
 from lodewell.plans.fixtures import ARTICLES, MENTIONS, articles, edges, edges_sql, mentions, text_index
 from lodewell.plans.registry import ORACLE_SQL, QUERIES, query
-from lodewell.sources.tables import table
+from lodewell.sources.tables import materialize, table
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "answers", "knowledge", "lookups", "loops"]
 
@@ -683,7 +683,27 @@ def g05(spark, d):
 def g06(spark, d):
     rows = edges(spark, d)
     ids = rows.select(F.col("source").alias("id")).union(rows.select("target")).distinct()
-    return graph.communities(rows, ids)
+    return modularity.communities(rows, ids)
+
+
+@query("g06_stars", """
+WITH c AS (SELECT c_custkey AS id, c_nationkey + 1000000 AS hub FROM customer),
+e AS (SELECT id AS a, hub AS b, 5e0 AS w FROM c UNION ALL SELECT n_nationkey + 1000000, (n_nationkey + 1) % 25 + 1000000, 0.1e0 FROM nation),
+n AS (SELECT id, min(id) OVER (PARTITION BY hub) AS community FROM c UNION ALL SELECT n_nationkey + 1000000, coalesce(min(id), n_nationkey + 1000000) FROM nation LEFT JOIN c ON hub = n_nationkey + 1000000 GROUP BY n_nationkey),
+k AS (SELECT community, sum(w) AS t FROM (SELECT a AS id, w FROM e UNION ALL SELECT b, w FROM e) JOIN n USING (id) GROUP BY 1),
+m AS (SELECT sum(t) AS m2, sum(t * t) AS tt FROM k),
+i AS (SELECT 2 * sum(w) AS inside FROM e JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE x.community = y.community)
+SELECT id, community, round(inside / m2 - tt / (m2 * m2), 9) AS modularity FROM n, m, i
+""")
+def g06_stars(spark, d):
+    """Customers around their nations, which hang together by a thread: each nation is a community."""
+    hub = lambda c: (c + 1_000_000).cast("long")
+    stars = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("source"), hub(F.col("c_nationkey")).alias("target"), F.lit(5.0).alias("weight"))
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("n"))
+    rows = materialize(stars.union(nations.select(hub(F.col("n")), hub((F.col("n") + 1) % 25), F.lit(0.1))), "stars")
+    ids = rows.select(F.col("source").alias("id")).union(rows.select("target")).distinct()
+    found = modularity.communities(rows, ids)
+    return found.withColumn("modularity", F.round(F.lit(modularity.modularity(rows, found)), 9))
 
 
 # SQL that reaches every pair of a giant component is too slow; tests hold it against brute force.

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodewell.operators import conversation, graph, ingest, listing, merge, retrieval
+from lodewell.operators import conversation, graph, ingest, listing, merge, modularity, retrieval
 from lodewell.operators.components import connected_components
 from lodewell.operators.providers import Offline, Tools, complete
 from lodewell.sources import rss
@@ -76,7 +76,7 @@ def test_best_matches_over_blocks(spark):
 def test_communities_cover_all_nodes(spark):
     edges = spark.createDataFrame([(1, 2, 3.0), (2, 3, 3.0), (1, 3, 3.0), (3, 4, 1.0), (4, 5, 3.0), (5, 6, 3.0), (4, 6, 3.0)], "source long, target long, weight double")
     nodes = spark.range(1, 8).toDF("id")
-    got = {r["id"]: r["community"] for r in graph.communities(edges, nodes).collect()}
+    got = {r["id"]: r["community"] for r in modularity.communities(edges, nodes).collect()}
     assert set(got) == set(range(1, 8)) and got[1] == got[2] == got[3] and got[4] == got[5] == got[6] and got[7] == 7
     assert {r["id"]: r["community"] for r in graph.components(edges, nodes).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7}
 
