@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from lodewell.functions.text import shorten, terms
 from lodewell.functions.vectors import cosine, literal, usable
 from lodewell.operators.textindex import TextIndex
+from lodewell.operators.vectorindex import VectorIndex
 
 RANK_OFFSET = 60  # of reciprocal-rank fusion
 NO_RANK = 1000  # the rank of what an arm did not return
@@ -84,10 +85,10 @@ def fuse(near: DataFrame, said: DataFrame, k: int, *, key: str = "id", vector_we
 
 
 def hybrid(
-    vectors: DataFrame, texts: DataFrame | TextIndex, query, words: list[str], k: int, *, key: str = "id", vector: str = "embedding", text: str = "text", **weights
+    vectors: DataFrame | VectorIndex, texts: DataFrame | TextIndex, query, words: list[str], k: int, *, key: str = "id", vector: str = "embedding", text: str = "text", **weights
 ) -> DataFrame:
-    """The k best by fusion of a vector arm and a text arm, 2k candidates each; texts are searched by their index, or read."""
-    near = similar(vectors, query, 2 * k, key=key, vector=vector)
+    """The k best by fusion of a vector arm and a text arm, 2k candidates each; either is searched by its index, or read."""
+    near = vectors.search(query, 2 * k, name=key) if isinstance(vectors, VectorIndex) else similar(vectors, query, 2 * k, key=key, vector=vector)
     said = texts.search(words, 2 * k, name=key) if isinstance(texts, TextIndex) else text_match(texts, words, 2 * k, key=key, text=text)
     return fuse(near, said, k, key=key, **weights)
 

@@ -6,20 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.functions.text import weighted_score
-from lodewell.operators.textindex import TextIndex, build
+from lodewell.operators import textindex, vectorindex
 from lodewell.sources.tables import scratch_path, table
 
-_indexes: dict[tuple[str, str, bool], TextIndex] = {}
+_indexes: dict[tuple[str, str, str], textindex.TextIndex | vectorindex.VectorIndex] = {}
 
 
-def text_index(spark: SparkSession, d: str, *, weighted: bool = False) -> TextIndex:
+def vector_index(spark: SparkSession, d: str) -> vectorindex.VectorIndex:
+    """The index of the embeddings, written once an application."""
+    name = (spark.sparkContext.applicationId, d, "vectors")
+    if name not in _indexes:
+        _indexes[name] = vectorindex.build(table(spark, d, "embeddings"), scratch_path(spark, "index"), key="vec_id", vector="embedding")
+    return _indexes[name]
+
+
+def text_index(spark: SparkSession, d: str, *, weighted: bool = False) -> textindex.TextIndex:
     """The full-text index of the documents, written once an application: of their texts, or `weighted` of the stems of
     their source and text."""
-    name = (spark.sparkContext.applicationId, d, weighted)
+    name = (spark.sparkContext.applicationId, d, "weighted" if weighted else "texts")
     if name not in _indexes:
         docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
         settings = {"title": "source", "stemmed": True} if weighted else {"body": 1.0}
-        _indexes[name] = build(docs, scratch_path(spark, "index"), key="id", text="text", buckets=8, **settings)
+        _indexes[name] = textindex.build(docs, scratch_path(spark, "index"), key="id", text="text", buckets=8, **settings)
     return _indexes[name]
 
 

@@ -13,7 +13,7 @@ from lodewell.functions.json_repair import parsed
 from lodewell.functions.vectors import cosine
 from lodewell.operators import conversation, graph, ingest, listing, merge, modularity, retrieval
 from lodewell.plans import answers, knowledge, lookups, loops
-from lodewell.plans.fixtures import ARTICLES, MENTIONS, articles, edges, edges_sql, mentions, text_index
+from lodewell.plans.fixtures import ARTICLES, MENTIONS, articles, edges, edges_sql, mentions, text_index, vector_index
 from lodewell.plans.registry import ORACLE_SQL, QUERIES, query
 from lodewell.sources.tables import materialize, table
 
@@ -467,7 +467,16 @@ def v02(spark, d):
 
 @query("v04_similar_entities", f"WITH s AS ({_NEAR}) SELECT vec_id, label, round(s, 6) AS similarity FROM s WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 20")
 def v04(spark, d):
-    return retrieval.similar(table(spark, d, "embeddings"), _vector(spark, d), 20, threshold=0.1).select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+    found = vector_index(spark, d).search(_vector(spark, d), 20, threshold=0.1, name="vec_id")
+    labels = table(spark, d, "embeddings").select("vec_id", "label")
+    return labels.join(F.broadcast(found), "vec_id").select("vec_id", "label", F.round("similarity", 6).alias("similarity"))  # twenty rows
+
+
+@query("v05_indexed_matches")
+def v05_indexed(spark, d):
+    """The ten nearest of each vector whose id is divisible by 50, among the lists that the index probes."""
+    found = vector_index(spark, d).search_all(table(spark, d, "embeddings").where("vec_id % 50 = 0"), 10, key="vec_id", vector="embedding")
+    return found.select("query", "rank", "match", F.round("similarity", 6).alias("similarity"))
 
 
 _TERMS = """
@@ -533,8 +542,7 @@ FROM near FULL JOIN said USING (id) ORDER BY rrf_score DESC, id LIMIT 10
 
 @query("v06_hybrid_search", _HYBRID)
 def v06(spark, d):
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    found = retrieval.hybrid(vectors, text_index(spark, d), _vector(spark, d), TERMS, 10)
+    found = retrieval.hybrid(vector_index(spark, d), text_index(spark, d), _vector(spark, d), TERMS, 10)
     return found.select("id", F.round("similarity", 6).alias("similarity"), F.col("vector_rank").cast("long").alias("vector_rank"), F.col("text_rank").cast("long").alias("text_rank"), F.round("rrf_score", 9).alias("rrf_score"))
 
 
