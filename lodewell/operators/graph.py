@@ -13,6 +13,7 @@ from lodewell.functions.text import strip
 from lodewell.functions.vectors import cosine, literal
 from lodewell.operators.components import connected_components
 from lodewell.operators.retrieval import best_matches
+from lodewell.sources.tables import materialize
 
 
 def group_entities(mentions: DataFrame, *, name: str = "name", article: str = "article_id", ordinal: str = "ordinal") -> DataFrame:
@@ -44,9 +45,33 @@ def resolve_entities(found: DataFrame, stored: DataFrame, *, threshold: float =
     return found.join(known, "id", "left").withColumn("canonical_name", F.coalesce("canonical_name", "name"))
 
 
-def resolve_names(edges: DataFrame, entities: DataFrame, *, names: tuple[str, str] = ("source_name", "target_name")) -> DataFrame:
-    """Edges with both names replaced by entity ids, exactly or else regardless of case (the smallest id of equals);
-    edges with a name that is not found are dropped."""
+def resolution_map(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name, id): every lower-cased name and alias, with the smallest id of all entities it stands for.
+
+    `entities` holds id and name, `aliases` id and alias, a row for each spelling, of stored and new entities alike.
+    Entities that share a spelling are one, and so are those that a chain of shared spellings connects: the connected
+    components of entities and spellings. No entity's spellings are gathered into a row.
+    """
+    spelled = entities.select("id", F.lower(strip(F.col("name"))).alias("name")).union(aliases.select("id", F.lower(strip(F.col("alias")))))
+    spelled = materialize(spelled.where("id IS NOT NULL AND name <> ''").distinct(), "spellings")
+    node = F.concat(F.lit("entity "), F.col("id").cast("string"))
+    of = connected_components(spelled.select(node.alias("src"), F.concat(F.lit("name "), "name").alias("dst"))).where("node LIKE 'name %'")
+    named = spelled.join(of.select(F.expr("substring(node, 6)").alias("name"), "component"), "name")
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    return named.join(least, "component").select("name", F.col("least").alias("id")).distinct()
+
+
+def resolve_names(edges: DataFrame, entities: DataFrame, *, names: tuple[str, str] = ("source_name", "target_name"), aliases: DataFrame | None = None) -> DataFrame:
+    """Edges with both names replaced by entity ids; edges with a name that is not found are dropped.
+
+    Strict, names are those of `entities` (id, name), exactly or else regardless of case (the smallest id of equals). With
+    `aliases` (id, alias), any spelling counts, and an edge ends at the entity that `resolution_map` gives for it.
+    """
+    if aliases is not None:
+        known = materialize(resolution_map(entities, aliases), "resolution")
+        for column, to in zip(names, ("source", "target"), strict=True):
+            edges = edges.withColumn("_name", F.lower(strip(F.col(column)))).join(known.select(F.col("name").alias("_name"), F.col("id").alias(to)), "_name").drop("_name")
+        return edges.drop(*names)
     exact = entities.groupBy("name").agg(F.min("id").alias("exact"))
     loose = entities.groupBy(F.lower("name").alias("lower_name")).agg(F.min("id").alias("loose"))
     for column, to in zip(names, ("source", "target"), strict=True):

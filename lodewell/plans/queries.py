@@ -182,6 +182,32 @@ def j08(spark, d):
     return graph.resolve_names(rows, part).select("k", "n", "source", "target")
 
 
+@query("j08_alias_names", """
+SELECT l_orderkey AS k, l_linenumber AS n, s.id AS source, t.id AS target, mode
+FROM lineitem, (VALUES ('strict'), ('alias aware')) m(mode), LATERAL (
+    SELECT CASE WHEN l_linenumber = 1 THEN 'alias of ' || l_partkey ELSE 'part ' || l_partkey END AS a, 'part ' || l_suppkey AS b
+) x JOIN (
+    SELECT 'part ' || p_partkey AS name, p_partkey AS id, 'strict' AS of FROM part
+    UNION ALL SELECT 'part ' || p_partkey, p_partkey - CASE WHEN p_partkey % 4 = 2 THEN 1 ELSE 0 END, 'alias aware' FROM part
+    UNION ALL SELECT 'alias of ' || p_partkey, p_partkey, 'alias aware' FROM part WHERE p_partkey % 4 = 1
+) s ON s.name = a AND s.of = mode JOIN (
+    SELECT 'part ' || p_partkey AS name, p_partkey AS id, 'strict' AS of FROM part
+    UNION ALL SELECT 'part ' || p_partkey, p_partkey - CASE WHEN p_partkey % 4 = 2 THEN 1 ELSE 0 END, 'alias aware' FROM part
+) t ON t.name = b AND t.of = mode
+""")
+def j08_alias(spark, d):
+    """Two parts of every four share an alias: strictly, edges that name it are dropped; alias-aware, they end at the first."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    entities = part.select("id", F.concat(F.lit("Part "), "id").alias("name"))
+    shared = F.col("id") - F.when(F.col("id") % 4 == 2, 1).otherwise(0)
+    aliases = part.where("id % 4 IN (1, 2)").select("id", F.concat(F.lit("Alias of "), shared).alias("alias"))
+    line = table(spark, d, "lineitem")
+    said = F.when(F.col("l_linenumber") == 1, "ALIAS OF ").otherwise("part ")
+    named = line.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.concat(said, "l_partkey").alias("source_name"), F.concat(F.lit("Part "), "l_suppkey").alias("target_name"))
+    mode = lambda found, name: found.select("k", "n", "source", "target", F.lit(name).alias("mode"))
+    return mode(graph.resolve_names(named, entities), "strict").union(mode(graph.resolve_names(named, entities, aliases=aliases), "alias aware"))
+
+
 @query("j10_mean_incident_weight", f"""
 WITH {edges_sql()}, b AS (SELECT source AS node, target AS other, weight FROM edges UNION ALL SELECT target, source, weight FROM edges)
 SELECT node AS id, round(avg(weight), 6) AS avg_weight FROM b WHERE other IN (1, 2, 3) AND node NOT IN (1, 2, 3) GROUP BY 1

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodewell.functions import contracts
-from lodewell.operators import knowledge, merge
+from lodewell.operators import graph, knowledge, merge
 
 ANSWERS = "article_id long, entities string, relations string"
 
@@ -56,3 +56,14 @@ def test_updates_name_what_they_change(spark):
     stored = spark.createDataFrame([(1, "running", 5), (2, "running", 6)], "run int, status string, n int")
     batch = spark.createDataFrame([(1, "done", None), (9, "done", 1)], "run int, status string, n int")
     assert sorted(tuple(r) for r in merge.update(stored, batch, ["run"]).collect()) == [(1, "done", 5), (2, "running", 6)]
+
+
+def test_spellings_are_closed_over_chains(spark):
+    entities = spark.createDataFrame([(1, "Acme"), (2, "ACME Corp"), (3, "Apex"), (4, " "), (5, "acme")], "id long, name string")
+    aliases = spark.createDataFrame([(1, "A.C."), (2, "a.c. "), (2, "Apex Ltd"), (3, "apex ltd"), (9, None)], "id long, alias string")
+    found = {r["name"]: r["id"] for r in graph.resolution_map(entities, aliases).collect()}
+    assert found == {"acme": 1, "acme corp": 1, "a.c.": 1, "apex ltd": 1, "apex": 1}
+    edges = spark.createDataFrame([("Acme", "Apex"), ("A.C.", "apex"), ("nobody", "Apex")], "source_name string, target_name string")
+    pairs = lambda df: sorted((r["source"], r["target"]) for r in df.collect())
+    assert pairs(graph.resolve_names(edges, entities)) == [(1, 3)]
+    assert pairs(graph.resolve_names(edges, entities, aliases=aliases)) == [(1, 1), (1, 1)]
