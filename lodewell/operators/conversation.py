@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql import Window, WindowSpec
 
 from lodewell.functions.text import estimate_tokens
 
@@ -62,6 +62,41 @@ def opened(stored: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     return stored.unionByName(new)
 
 
+def turns(group: str = "conv_id", order: str = "turn") -> WindowSpec:
+    """The messages of each conversation in order."""
+    return Window.partitionBy(group).orderBy(order)
+
+
+def archived(stored: DataFrame, asked: DataFrame, *, key: str = "conv_id", user: str = "user_id", status: str = "status") -> DataFrame:
+    """`stored` with the conversations that `asked` (key, user) names archived, where they are that user's; none is removed."""
+    hit = asked.select(key, user).distinct().withColumn("_hit", F.lit(True))
+    out = stored.join(hit, [key, user], "left")
+    return out.withColumn(status, F.when(F.col("_hit"), "archived").otherwise(F.col(status))).select(*stored.columns)
+
+
+def listed(stored: DataFrame, *, user: str | None = None, status: str = "active", article: str | None = None) -> DataFrame:
+    """Conversations of a status, and of a user or about an article where one is given."""
+    out = stored.where(F.col("status") == status)
+    out = out.where(F.col("user_id") == user) if user is not None else out
+    return out.where(F.col("article_id") == article) if article is not None else out
+
+
+def last_messages(rows: DataFrame, n: int = 10, *, group: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(group, messages): the last n messages of each conversation, the oldest first; the ranking is cut off map-side."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))
+    some = rows.withColumn("_ago", rank).where(F.col("_ago") <= n)
+    return some.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, "role", "text"))).alias("messages"))
+
+
+def context(cached: DataFrame, sessions: DataFrame, messages: DataFrame, *, group: str = "conv_id") -> DataFrame:
+    """(group, source, context) of every conversation that any of the three has a non-null `context` of: the cached one, else
+    that of the stored session, else that of its messages."""
+    ranked = [df.where("context IS NOT NULL").select(group, F.lit(i).alias("o"), F.lit(name).alias("source"), "context") for i, (name, df) in enumerate((("cache", cached), ("session", sessions), ("messages", messages)))]
+    every = ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
+    best = every.groupBy(group).agg(F.min_by(F.struct("source", "context"), "o").alias("b"))
+    return best.select(group, "b.source", "b.context")
+
+
 def route(passed: Column, response: Column, completeness: Column, researched: Column, *, most_research: int = 5, enough: float = 0.7) -> Column:
     """Where a chat goes on if no model says so: researcher, explainer, fact_checker or end.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from lodewell.functions.text import strip
 from lodewell.functions.vectors import cosine, literal
 from lodewell.operators.components import connected_components
-from lodewell.operators.retrieval import best_matches
+from lodewell.operators.matching import best_matches
 from lodewell.sources.tables import materialize
 
 
@@ -151,6 +151,11 @@ def hubs(members: DataFrame, edges: DataFrame) -> DataFrame:
     return best.select("community", F.col("b.id").alias("hub"), F.col("b.degree").alias("degree"))
 
 
+def hub_labels(found: DataFrame, shown: DataFrame) -> DataFrame:
+    """The rows of `hubs` with hub_label, the label of the hub if it is among the nodes that are `shown` (id, label)."""
+    return found.join(shown.select(F.col("id").alias("hub"), F.col("label").alias("hub_label")), "hub", "left")
+
+
 def profiles(members: DataFrame, entities: DataFrame) -> DataFrame:
     """Of each community: n members, its types with counts, the commonest first, and its three most mentioned names."""
     known = members.join(entities, "id")

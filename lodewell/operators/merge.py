@@ -27,6 +27,11 @@ def append(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return stored.unionByName(batch, allowMissingColumns=True)
 
 
+def record(stored: DataFrame, batch: DataFrame, *, user: str) -> DataFrame:
+    """Records appended to those there are; what no user is known of is not recorded."""
+    return append(stored, batch.where(F.col(user).isNotNull()))
+
+
 def update(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows with the batch's values where these are not null; keys that nothing is stored under change nothing.
 

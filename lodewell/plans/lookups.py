@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from lodewell.functions import contracts
 from lodewell.functions import text as T
 from lodewell.functions.chunking import chunk_array
-from lodewell.operators import graph, listing, merge, retrieval
+from lodewell.operators import graph, listing, matching, merge, retrieval
 from lodewell.operators.providers import Offline, complete
 from lodewell.plans.fixtures import MENTIONS, edges, edges_sql, mentions
 from lodewell.plans.registry import query
@@ -123,7 +123,7 @@ SELECT id FROM v WHERE NOT EXISTS (SELECT 1 FROM v o WHERE o.id < v.id AND v.id
 def d05(spark, d):
     """New (odd) rows go where a stored (even) one is at least 0.85 similar."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    known = retrieval.best_matches(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"), threshold=0.85)
+    known = matching.best_matches(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"), threshold=0.85)
     return rows.join(known, "id", "left_anti").select("id")
 
 
@@ -243,11 +243,6 @@ def h11(spark, d):
     return listing.latest(table(spark, d, "conversations"), 10, "conv_id", "turn").select("conv_id", "turn", T.shorten(F.col("text"), 500).alias("content"))
 
 
-@query("h13_archive", "SELECT conv_id, CASE WHEN conv_id = 4 THEN 'archived' ELSE 'active' END AS status FROM conversations GROUP BY 1")
-def h13(spark, d):
-    return table(spark, d, "conversations").select("conv_id").distinct().withColumn("status", F.when(F.col("conv_id") == 4, "archived").otherwise("active"))
-
-
 @query("s12_replace_embeddings", """
 SELECT vec_id, 'summary' AS embedding_type, CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END AS version FROM embeddings UNION ALL SELECT vec_id, 'chunk', 1 FROM embeddings
 """)

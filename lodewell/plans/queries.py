@@ -11,13 +11,13 @@ from lodewell.functions.chunking import chunk_array
 from lodewell.functions.html import extract_content
 from lodewell.functions.json_repair import parsed
 from lodewell.functions.vectors import cosine
-from lodewell.operators import conversation, graph, ingest, listing, merge, modularity, retrieval
-from lodewell.plans import answers, knowledge, lookups, loops
+from lodewell.operators import conversation, graph, ingest, listing, matching, merge, modularity, retrieval
+from lodewell.plans import answers, knowledge, lookups, loops, stored
 from lodewell.plans.fixtures import ARTICLES, MENTIONS, articles, edges, edges_sql, mentions, text_index, vector_index
 from lodewell.plans.registry import ORACLE_SQL, QUERIES, query
 from lodewell.sources.tables import materialize, table
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "answers", "knowledge", "lookups", "loops"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "answers", "knowledge", "lookups", "loops", "stored"]
 
 FLAGSHIP = "v06_hybrid_search"
 
@@ -233,7 +233,7 @@ SELECT id, match, round(s, 6) AS similarity FROM r WHERE n = 1
 """)
 def j14(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    found = retrieval.best_matches(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"), threshold=0.3)
+    found = matching.best_matches(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"), threshold=0.3)
     return found.select("id", "match", F.round("similarity", 6).alias("similarity"))
 
 

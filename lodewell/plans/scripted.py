@@ -84,3 +84,12 @@ class Rememberer:
         lines = len(re.findall(r"^\[(?:user|assistant|system)\]: ", prompt, re.MULTILINE))
         given = {"user_profile": {"expertise_level": f"level {lines}"}, "conversation_state": {"current_topic": f"topic {conv}"} if conv % 4 == 3 else {}}
         return "nothing {to read}" if conv % 4 == 1 else "So: " + json.dumps(given) + " as asked"
+
+
+class Ranker:
+    """Scores texts by their length, in no order of replies; some queries can't be asked."""
+
+    def rerank(self, query: str, texts: list[str]) -> list[tuple[int, float]]:
+        if len(texts) > 10 or int(query.split()[1]) % 7 == 3:
+            raise OSError("no ranking")
+        return [(i, float(len(t) % 97)) for i, t in reversed(list(enumerate(texts)))]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodewell.functions.chunking import chunk_array_summary_first, chunks, summary_first
-from lodewell.operators import report, retrieval
+from lodewell.operators import matching, report
 from lodewell.operators.components import connected_components
 from lodewell.plans import queries
 from lodewell.plans.fixtures import edges
@@ -21,9 +21,9 @@ def test_unusable_vectors_match_nothing_and_spoil_nothing(spark):
     kind = "id long, embedding array<double>"
     stored = spark.createDataFrame([(10, [1.0, 0.0]), (11, [inf, 1.0]), (12, [nan, 1.0]), (13, [0.0, 0.0]), (14, None), (15, []), (16, [1.0, None]), (17, [1.0, 0.0, 0.0]), (18, [2e200, 1e190]), (9, [2.0, 0.0])], kind)
     new = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 0.0, 0.1]), (3, [0.0, 1.0]), (4, [inf, inf]), (5, None), (6, [1e-200, 0.0])], kind)
-    got = {r["id"]: r["match"] for r in retrieval.best_matches(new, stored).collect()}
+    got = {r["id"]: r["match"] for r in matching.best_matches(new, stored).collect()}
     assert got == {1: 18, 2: 17, 6: 9}
-    assert retrieval.best_matches(new.limit(0), stored).count() == 0 and retrieval.best_matches(new, stored.limit(0)).count() == 0
+    assert matching.best_matches(new.limit(0), stored).count() == 0 and matching.best_matches(new, stored.limit(0)).count() == 0
 
 
 def test_summaries_lead_chunks(spark):

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodewell.operators import conversation, graph, ingest, listing, merge, modularity, retrieval
+from lodewell.operators import conversation, graph, ingest, listing, matching, merge, modularity, retrieval
 from lodewell.operators.components import connected_components
 from lodewell.operators.providers import Offline, Tools, complete
 from lodewell.sources import rss
@@ -70,7 +70,7 @@ def test_best_matches_over_blocks(spark):
     a = spark.createDataFrame([(i, vec()) for i in range(40)] + [(99, None)], "id long, embedding array<double>")
     b = spark.createDataFrame([(i, vec()) for i in range(30)], "id long, embedding array<double>")
     key = lambda df: sorted((r["id"], r["match"], round(r["similarity"], 9)) for r in df.collect())
-    assert key(retrieval.best_matches(a, b, threshold=0.5, block_rows=7)) == key(retrieval.best_matches(a, b, threshold=0.5))
+    assert key(matching.best_matches(a, b, threshold=0.5, block_rows=7)) == key(matching.best_matches(a, b, threshold=0.5))
 
 
 def test_communities_cover_all_nodes(spark):
@@ -185,3 +185,21 @@ def test_small_batches_leave_the_session_alone(spark):
     assert out.columns == df.columns and sorted(out.collect()) == sorted(df.collect())
     assert spark.conf.get(name) == before and spark.catalog.listTables("global_temp") == []
     assert small_batches(df.where("false")).count() == 0
+
+
+def test_matches_of_clusters_visit_few_lists_and_lose_none(spark):
+    rng = random.Random(7)
+    centres = [[5 * rng.gauss(0, 1) for _ in range(8)] for _ in range(10)]
+    near = lambda c: [v + rng.gauss(0, 0.3) for v in centres[c]]
+    stored = [(i, near(i % 10)) for i in range(300)] + [(300 + i, centres[0]) for i in range(200)] + [(900, [1.0, 2.0]), (901, None)]
+    new = [(i, near(i % 10)) for i in range(100)] + [(100, [2.0, 4.0]), (101, [float("nan")] * 8), (102, [1.0] * 5)]
+    a, b = (spark.createDataFrame(rows, "id long, embedding array<double>") for rows in (new, stored))
+    got = {r["id"]: (r["match"], r["similarity"]) for r in matching.best_matches(a, b, threshold=0.9, block_rows=40).collect()}
+
+    def cosine(x, y):
+        return sum(p * q for p, q in zip(x, y, strict=True)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+
+    for i, x in new[:100]:
+        best = max((cosine(x, y), -j) for j, y in stored[:500])
+        assert (i in got) == (best[0] >= 0.9) and (i not in got or (got[i][0], got[i][1]) == (-best[1], pytest.approx(best[0])))
+    assert got[100] == (900, pytest.approx(1.0)) and not {101, 102} & set(got)
