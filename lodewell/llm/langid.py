@@ -51,6 +51,19 @@ class LanguageModel:
         return Scorer(self)
 
 
+def _reaching(content: bytes, level: int) -> zstandard.ZstdCompressionParameters:
+    """The settings of a level, with tables large enough that every part of a dictionary is indexed.
+
+    Those of the level index a bounded part at its end, and would leave the rest of a larger dictionary without use.
+    """
+    own = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(content))
+    log = max(10, len(content).bit_length())
+    return zstandard.ZstdCompressionParameters(
+        compression_level=level, window_log=max(own.window_log, log), hash_log=max(own.hash_log, log), chain_log=max(own.chain_log, log),
+        search_log=own.search_log, min_match=own.min_match, strategy=own.strategy,
+    )
+
+
 class Scorer:
     """The compressors of one task."""
 
@@ -60,7 +73,7 @@ class Scorer:
         self.compressors, self.leads = [], []
         for _, content in model.dictionaries:
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            dictionary.precompute_compress(level=model.level)
+            dictionary.precompute_compress(compression_params=_reaching(content, model.level))
             self.compressors.append(
                 zstandard.ZstdCompressor(
                     level=model.level,
@@ -107,13 +120,15 @@ def fit(
     lang: str = "lang",
     key: str = "doc_id",
     docs_per_language: int = 64,
+    bytes_per_language: int = 1 << 20,
     **settings,
 ) -> LanguageModel:
     """Dictionaries from the whole texts of at most `docs_per_language` rows of each language, short ones included.
 
-    That parameter bounds the sample, and so what reaches the driver: a dictionary per language. Of each language and
-    hash bucket the row whose key has the least hash is taken, an aggregation that combines map-side, so that no
-    language is ever in one task; of rows that share that key the one with the smallest text. Rows with null text,
+    Of each language and hash bucket the row whose key has the least hash is taken, an aggregation that combines
+    map-side, so that no language is ever in one task; of rows that share that key the one with the smallest text. In
+    the order of that hash, texts go into the dictionary that fit whole within what is left of `bytes_per_language`; if
+    none does, the shortest is the dictionary. The two parameters bound the sample, and so what reaches the driver. Rows with null text,
     language or key are not used; no usable rows, as of an empty table, give a model that answers `und` only. Other
     columns may have any name.
     """
@@ -127,7 +142,16 @@ def fit(
     for r in chosen:
         sizes[r["l"]] += r["n"]
     wanted = F.broadcast(spark.createDataFrame([(r["l"], r["h"]) for r in chosen], "l string, h long"))  # a row a bucket
-    rows = usable.join(wanted, ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
+    picked = usable.join(wanted, ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
+    taken, left, shortest = [], {}, {}
+    for r in sorted(picked.select("l", "h", F.octet_length("t").alias("n")).collect(), key=lambda r: (r["l"], r["h"])):  # lengths alone
+        left.setdefault(r["l"], bytes_per_language)
+        shortest[r["l"]] = min(shortest.get(r["l"], (r["n"], r["h"])), (r["n"], r["h"]))
+        if r["n"] <= left[r["l"]]:
+            left[r["l"]] -= r["n"]
+            taken.append((r["l"], r["h"]))
+    taken += [(name, shortest[name][1]) for name in sorted(shortest) if left[name] == bytes_per_language and (name, shortest[name][1]) not in taken]
+    rows = picked.join(F.broadcast(spark.createDataFrame(taken, "l string, h long")), ["l", "h"]).collect() if taken else []
     parts: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["l"], r["h"])):
         parts.setdefault(r["l"], []).append(normalize(r["t"]))

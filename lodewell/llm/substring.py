@@ -20,7 +20,6 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from pyspark.sql.types import StructField, StructType
 
 from lodewell.sources.tables import discard, materialize
@@ -148,15 +147,17 @@ def _automaton(phrases: np.ndarray) -> ahocorasick.Automaton:
     return automaton
 
 
-def _occurrences(docs: Passages, automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray]:
-    """(place, number) of every phrase in documents long enough for a window."""
-    ends, numbers = [], []
+def _marked(docs: Passages, automaton: ahocorasick.Automaton, values: np.ndarray) -> np.ndarray:
+    """For each place the value of the phrase that the automaton finds there, and the greatest number where it finds none.
+
+    A hit takes up eight bytes while its document is streamed, and none afterwards.
+    """
+    marks = np.full(len(docs.phrases), np.iinfo(np.uint64).max)
     for a, b in zip(docs.starts[:-1].tolist(), docs.starts[1:].tolist(), strict=True):
         if b - a >= docs.window:
-            for end, number in automaton.iter(tuple(docs.ids[a:b].tolist())):
-                ends.append(a + end)
-                numbers.append(number)
-    return np.array(ends, np.int64) - docs.phrase + 1, np.array(numbers, np.int64)
+            hits = np.fromiter((end << 32 | number for end, number in automaton.iter(tuple(docs.ids[a:b].tolist()))), np.int64)
+            marks[a + (hits >> 32) - docs.phrase + 1] = values[hits & 0xFFFFFFFF]
+    return marks
 
 
 def covered_words(docs: Passages, rows: np.ndarray, kind: np.ndarray, value: np.ndarray, row: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -181,16 +182,10 @@ def covered_words(docs: Passages, rows: np.ndarray, kind: np.ndarray, value: np.
     values, places = values[places >= 0], places[places >= 0]
     if not len(places):
         return covered[:-1] > 0
-    hits, numbers = _occurrences(docs, _automaton(docs.ids[places[:, None] + np.arange(docs.phrase)]))
-    width = docs.window - docs.phrase + 1
-    at = (hits[:, None] - np.arange(width)[None, :]).ravel()
-    of = np.repeat(values[numbers], width)
-    inside = (at >= 0) & (at < len(docs.least))
-    at, of = at[inside], of[inside]
-    good = docs.valid[at] & (docs.least[at] == of)
-    found = np.zeros(len(docs.least), bool)
-    found[at[good]] = True
-    at = np.flatnonzero(found)
+    # A window counts if the automaton finds its least phrase in it: the least of the phrases found there is then that one.
+    marks = _marked(docs, _automaton(docs.ids[places[:, None] + np.arange(docs.phrase)]), values)
+    found = _extreme(marks, docs.window - docs.phrase + 1, np.minimum)[: len(docs.least)]
+    at = np.flatnonzero(docs.valid & (found == docs.least))
     sure = _member(docs.least[at], np.unique(value[kind == ENTRY_WHOLE])) >= 0
     one, two = docs.windows(at)
     windows = np.flatnonzero(~named)
@@ -309,8 +304,10 @@ def _stripped(
         return pa.table(rows, schema=_WINDOWS)
 
     mixed = recurring.where(~F.col("whole")).select("_shard", "value")
-    counted = plain.groupBy("_shard").cogroup(mixed.groupBy("_shard")).applyInArrow(count_windows, _WINDOWS_DDL)
-    confirmed = counted.withColumn("all", F.sum("times").over(Window.partitionBy("first", "second"))).where("all > 1")
+    counted = materialize(plain.groupBy("_shard").cogroup(mixed.groupBy("_shard")).applyInArrow(count_windows, _WINDOWS_DDL), "windows")
+    # Summed map-side and joined back, so that a window in every shard is in no task whole.
+    again = counted.groupBy("first", "second").agg(F.sum("times").alias("all")).where("all > 1")
+    confirmed = counted.join(again, ["first", "second"])
     none = F.lit(0).cast("long")
     kind = F.when(F.col("whole"), ENTRY_WHOLE).otherwise(ENTRY_PHRASE)
     found = recurring.select("_shard", kind.alias("kind"), "value", "row", none.alias("first"), none.alias("second"))

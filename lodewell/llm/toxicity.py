@@ -46,6 +46,7 @@ _DISGUISED = re.compile(
     rf"|(?<![^\W_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*",  # a letter three times or more
     re.IGNORECASE,
 )
+_REPEATED = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE)  # the last of these
 # Classes of characters for a quick look: a letter, a look-alike or digit, a separator, both of these, or anything
 # else. UTF-8 continuation bytes are left out, so that one character is one byte; the euro sign is looked up as $.
 _CLASSES = bytes(
@@ -80,18 +81,15 @@ def count_trigrams(texts: list[bytes]) -> np.ndarray:
 
 
 def may_be_disguised(text: str) -> bool:
-    """False only if no disguised span is in the text (repeated letters of over two bytes aside)."""
+    """False only if no disguised span is in the text."""
     data = text.encode("utf-8", "replace")
     classes = data.replace(b"\xe2\x82\xac", b"$").translate(_CLASSES, _CONTINUATION)
     if _QUICK.search(classes):
         return True
+    if not data.isascii():
+        return _REPEATED.search(text) is not None
     x = np.frombuffer(data.lower(), np.uint8)
-    if len(x) > 2 and ((x[:-2] == x[1:-1]) & (x[1:-1] == x[2:]) & (x[2:] >= 97) & (x[2:] <= 122)).any():
-        return True
-    if data.isascii() or len(x) < 6:
-        return False
-    again = x[:-2] == x[2:]
-    return bool((again[:-3] & again[1:-2] & again[2:-1] & again[3:] & (x[:-5] >= 0xC0)).any())
+    return len(x) > 2 and bool(((x[:-2] == x[1:-1]) & (x[1:-1] == x[2:]) & (x[2:] >= 97) & (x[2:] <= 122)).any())
 
 
 @dataclass

@@ -45,6 +45,14 @@ def test_the_quick_look_misses_no_span():
             assert toxicity.may_be_disguised(text), text
 
 
+def test_the_quick_look_misses_no_letter_of_any_length():
+    pick = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(pick.choice("哈哈жЖ\U00010437ſsİiẞßéÉςσ 1.") for _ in range(pick.randrange(1, 9)))
+        assert not toxicity._DISGUISED.search(text) or toxicity.may_be_disguised(text), text
+    assert toxicity.may_be_disguised("哈哈哈") and toxicity.may_be_disguised("\U00010437" * 3) and not toxicity.may_be_disguised("哈哈 é")
+
+
 def readings(span, model):
     """Every reading of a span with its log-probability, by going through all of them."""
     for choice in itertools.product(*toxicity.lattice(span)):
