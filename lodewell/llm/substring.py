@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql.types import StructField, StructType
 
 from lodewell.sources.tables import discard, materialize
@@ -304,10 +305,9 @@ def _stripped(
         return pa.table(rows, schema=_WINDOWS)
 
     mixed = recurring.where(~F.col("whole")).select("_shard", "value")
-    counted = materialize(plain.groupBy("_shard").cogroup(mixed.groupBy("_shard")).applyInArrow(count_windows, _WINDOWS_DDL), "windows")
-    # Summed map-side and joined back, so that a window in every shard is in no task whole.
-    again = counted.groupBy("first", "second").agg(F.sum("times").alias("all")).where("all > 1")
-    confirmed = counted.join(again, ["first", "second"])
+    counted = plain.groupBy("_shard").cogroup(mixed.groupBy("_shard")).applyInArrow(count_windows, _WINDOWS_DDL)
+    # One row for each shard that a window is in, which spill; writing them first for a join back would cost their size again.
+    confirmed = counted.withColumn("all", F.sum("times").over(Window.partitionBy("first", "second"))).where("all > 1")
     none = F.lit(0).cast("long")
     kind = F.when(F.col("whole"), ENTRY_WHOLE).otherwise(ENTRY_PHRASE)
     found = recurring.select("_shard", kind.alias("kind"), "value", "row", none.alias("first"), none.alias("second"))
