@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,10 +168,36 @@ def confidence(answer: Column, high: list[str], low: list[str]) -> Column:
     return F.when(has(low), "low").when(has(high), "high").otherwise("medium")
 
 
+class Prompts:
+    """Templates by name, each with the names that it needs."""
+
+    def __init__(self, templates: dict[str, str] | None = None):
+        self._templates: dict[str, str] = {}
+        for name, template in (templates or {}).items():
+            self.register(name, template)
+
+    def register(self, name: str, template: str) -> None:
+        if name in self._templates:
+            raise ValueError(f"there is a prompt {name!r} already")
+        self._templates[name] = template
+
+    def names(self) -> list[str]:
+        return sorted(self._templates)
+
+    def needs(self, name: str) -> list[str]:
+        if name not in self._templates:
+            raise KeyError(f"no prompt {name!r}; there are {', '.join(self.names())}")
+        return sorted({field for _, field, _, _ in string.Formatter().parse(self._templates[name]) if field is not None})
+
+    def prompt(self, name: str, **columns: Column) -> Column:
+        """The prompt as a column. All that it needs is given, else ValueError; what it doesn't need is left out."""
+        if missing := [n for n in self.needs(name) if n not in columns]:
+            raise ValueError(f"prompt {name!r} needs {', '.join(missing)}")
+        return prompt(self._templates[name], **columns)
+
+
 def prompt(template: str, **columns: Column) -> Column:
     """A template with {name} replaced; a name without a column is an error."""
-    import string
-
     parts = []
     for text, name, _, _ in string.Formatter().parse(template):
         if text:

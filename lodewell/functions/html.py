@@ -80,3 +80,10 @@ def _extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def extract_content(html: Column | str) -> Column:
     return _extract(html)
+
+
+def extracted(html: Column) -> Column:
+    """struct<content, error> of a page, one of them null: a page that is missing, or has no text, is an error."""
+    text = F.nullif(extract_content(html), F.lit(""))
+    error = F.when(F.coalesce(html, F.lit("")) == "", "no page").when(text.isNull(), "no text")
+    return F.struct(text.alias("content"), error.alias("error"))

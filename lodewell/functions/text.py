@@ -25,6 +25,11 @@ def first_text(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
 
 
+def content_text(full: Column, summary: Column, description: Column) -> Column:
+    """What there is of an article: its text, else its summary, else its description; empty without any."""
+    return F.coalesce(first_text(full, summary, description), F.lit(""))
+
+
 def content_hash(title: Column, description: Column) -> Column:
     """sha256 of the stripped, lower-cased title and description; null counts as empty."""
     joined = F.concat(F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import BinaryType, DateType, DecimalType, StructField, TimestampNTZType, TimestampType
 
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
@@ -44,3 +45,30 @@ def overlapping(df: DataFrame, ids: str, wanted: DataFrame, key: str) -> DataFra
 def _hits(df: DataFrame, ids: str, wanted: DataFrame, key: str) -> DataFrame:
     member = wanted.columns[0]
     return df.select(key, F.explode(ids).alias(member)).join(wanted, member, "left_semi").select(key).distinct()
+
+
+def json_rows(df: DataFrame) -> Column:
+    """Each row as a JSON object, nulls included: times in ISO 8601, decimals as numbers of double precision, any other
+    value that JSON has no type for as text."""
+
+    def plain(field: StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (TimestampType, TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        elif isinstance(field.dataType, DateType):
+            c = F.date_format(c, "yyyy-MM-dd")
+        elif isinstance(field.dataType, DecimalType):
+            c = c.cast("double")
+        elif isinstance(field.dataType, BinaryType):
+            c = F.base64(c)
+        return c.alias(field.name)
+
+    return F.to_json(F.struct(*map(plain, df.schema.fields)), {"ignoreNullFields": "false"})
+
+
+def appended(stored: DataFrame, batch: DataFrame, key: str, items: str) -> DataFrame:
+    """(key, items) with the batch's items behind those stored, repeats kept; a key on either side is in the result."""
+    new = batch.select(F.col(key), F.col(items).alias("_new"))
+    both = stored.select(key, items).join(new, key, "full_outer")
+    none = F.array().cast(stored.schema[items].dataType)
+    return both.select(key, F.concat(F.coalesce(items, none), F.coalesce("_new", none)).alias(items))

@@ -54,20 +54,45 @@ def _last_text(column: str, ordinal: str = "ordinal"):
     return F.max_by(some, F.when(some.isNotNull(), F.col(ordinal)))
 
 
-def merge_entities(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Entities by canonical_name: ids and aliases united, mention counts summed, the description the batch's last
-    non-empty one or else the stored one, name and type those first seen.
+def _numbered(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Both sides, stored rows before all of the batch's."""
+    return stored.withColumn("ordinal", F.lit(-1).cast("long")).unionByName(batch.withColumn("ordinal", F.col("ordinal").cast("long")), allowMissingColumns=True)
+
+
+def merge_entity_rows(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Entities by canonical_name: mention counts summed, the description the batch's last non-empty one or else the stored
+    one, name and type those first seen.
 
-    Both sides hold canonical_name, name, type, description, article_ids, aliases (arrays), mention_count, and the batch
-    an ordinal. Sets are united element by element, so that no row holds more than the result does.
+    Both sides hold canonical_name, name, type, description and mention_count, and the batch an ordinal. What belongs
+    to an entity in any number, its articles and spellings, is kept by `merge_links`; no row grows with them.
     """
-    rows = stored.withColumn("ordinal", F.lit(-1).cast("long")).unionByName(batch.withColumn("ordinal", F.col("ordinal").cast("long")))
-    base = rows.groupBy("canonical_name").agg(
+    return _numbered(stored, batch).groupBy("canonical_name").agg(
         F.min_by("name", "ordinal").alias("name"),
         F.min_by("type", "ordinal").alias("type"),
         _last_text("description").alias("description"),
         F.sum("mention_count").alias("mention_count"),
     )
+
+
+def merge_relationship_rows(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Edges by (source, target, relation_type): weights summed, the last non-empty description; articles are links."""
+    return _numbered(stored, batch).groupBy("source", "target", "relation_type").agg(F.sum("weight").alias("weight"), _last_text("description").alias("description"))
+
+
+def merge_links(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows such as (canonical_name, article) or (canonical_name, alias) of either side, each once; null ends are left out."""
+    some = batch.select(*stored.columns)
+    for c in stored.columns:
+        some = some.where(F.col(c).isNotNull())
+    return stored.union(some).distinct()
+
+
+def merge_entities(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """As `merge_entity_rows`, with article_ids and aliases united as arrays: for entities of a bounded number of either.
+
+    Sets are united element by element, so that no row holds more than the result does; that row holds all of them.
+    """
+    base, rows = merge_entity_rows(stored, batch), _numbered(stored, batch)
     for column in ("article_ids", "aliases"):
         single = rows.select("canonical_name", F.explode(column).alias("one")).distinct()
         base = base.join(single.groupBy("canonical_name").agg(F.array_sort(F.collect_list("one")).alias(column)), "canonical_name", "left")
@@ -75,10 +100,9 @@ def merge_entities(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def merge_relationships(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Edges by (source, target, relation_type): weights summed, article ids united, the last non-empty description."""
+    """As `merge_relationship_rows`, with article ids united as arrays: for edges of a bounded number of them."""
     keys = ["source", "target", "relation_type"]
-    rows = stored.withColumn("ordinal", F.lit(-1).cast("long")).unionByName(batch.withColumn("ordinal", F.col("ordinal").cast("long")))
-    base = rows.groupBy(*keys).agg(F.sum("weight").alias("weight"), _last_text("description").alias("description"))
+    base, rows = merge_relationship_rows(stored, batch), _numbered(stored, batch)
     single = rows.select(*keys, F.explode("article_ids").alias("one")).distinct()
     return base.join(single.groupBy(*keys).agg(F.array_sort(F.collect_list("one")).alias("article_ids")), keys, "left")
 

@@ -21,11 +21,16 @@ RANK_OFFSET = 60  # of reciprocal-rank fusion
 NO_RANK = 1000  # the rank of what an arm did not return
 
 
-def similar(df: DataFrame, query, k: int, *, threshold: float | None = None, exclude=(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def similar(
+    df: DataFrame, query, k: int, *, threshold: float | None = None, default: float | None = None, exclude=(), key: str = "vec_id", vector: str = "embedding"
+) -> DataFrame:
     """The k rows nearest to a query vector by cosine, with `similarity`; ties to the smaller key.
 
+    With a `default`, a threshold of 0 counts as unset, as none does.
+
     The query is a literal, so the plan is one scan with a bounded top-k (TakeOrderedAndProject).
     """
+    threshold = (threshold or default) if default is not None else threshold
     scored = df.where(F.col(vector).isNotNull())
     if len(exclude):
         scored = scored.where(~F.col(key).isin(list(exclude)))
@@ -105,6 +110,15 @@ def shown(found: DataFrame, *, text: Column, score: Column, most: int = 500) ->
     return found.withColumn("content", shorten(text, most)).withColumn("relevance", F.round(score, 3))
 
 
+def summary_context(found: DataFrame, *, by: str, text: str, score: str = "similarity", key: str = "id", k: int = 5) -> DataFrame:
+    """(by, context): the texts of the k best rows of each group, the best first, ties to the smaller key, parted by blank
+    lines; the ranking is cut off map-side."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), key))
+    best = found.withColumn("_rank", rank).where(F.col("_rank") <= k)
+    texts = F.array_sort(F.collect_list(F.struct("_rank", F.coalesce(text, F.lit("")).alias("t"))))
+    return best.groupBy(by).agg(F.array_join(F.transform(texts, lambda x: x["t"]), "\n\n").alias("context"))
+
+
 def related(found: DataFrame, articles: DataFrame, *, key: str, most: int = 200) -> DataFrame:
     """title, summary (its first `most` characters), source, url and score of the articles among the rows of `found`."""
     cut = F.substring(F.coalesce("summary", F.lit("")), 1, most)

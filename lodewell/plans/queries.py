@@ -12,12 +12,12 @@ from lodewell.functions.html import extract_content
 from lodewell.functions.json_repair import parsed
 from lodewell.functions.vectors import cosine
 from lodewell.operators import conversation, graph, ingest, listing, matching, merge, modularity, retrieval
-from lodewell.plans import answers, knowledge, lookups, loops, stored
+from lodewell.plans import answers, knowledge, lookups, loops, rules, stored
 from lodewell.plans.fixtures import ARTICLES, MENTIONS, articles, edges, edges_sql, mentions, text_index, vector_index
 from lodewell.plans.registry import ORACLE_SQL, QUERIES, query
 from lodewell.sources.tables import materialize, table
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "answers", "knowledge", "lookups", "loops", "stored"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "answers", "knowledge", "lookups", "loops", "rules", "stored"]
 
 FLAGSHIP = "v06_hybrid_search"
 

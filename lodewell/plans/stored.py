@@ -67,6 +67,23 @@ def s15(spark, d):
     return stored.read().select("canonical_name", "mention_count", F.size("article_ids").alias("articles"), F.size("aliases").alias("spellings"))
 
 
+@query("s16_stored_links", f"""
+WITH {MENTIONS} SELECT name AS canonical_name, type, count(*) AS mention_count, count(DISTINCT article_id) AS articles FROM (SELECT lower(name) AS name, article_id, arg_min(type, ordinal) OVER (PARTITION BY lower(name)) AS type FROM mentions) GROUP BY 1, 2
+""")
+def s16(spark, d):
+    """Entities and the articles they stand in, as two stored tables: no row grows with the articles."""
+    each = mentions(spark, d).select(F.lower("name").alias("canonical_name"), "name", "type", F.lit(None).cast("string").alias("description"), F.lit(1).cast("long").alias("mention_count"), "ordinal", "article_id")
+    entities = StoredTable.create(spark, scratch_path(spark, "entities"), "canonical_name string, name string, type string, description string, mention_count long", ["canonical_name"], buckets=8)
+    links = StoredTable.create(spark, scratch_path(spark, "links"), "canonical_name string, article_id long", ["canonical_name", "article_id"], buckets=8)
+    for odd in (0, 1, 1):
+        batch = each.where(F.col("article_id") % 2 == odd)
+        entities.apply(batch.drop("article_id"), merge.merge_entity_rows, f"batch {odd}")
+        links.apply(batch, merge.merge_links, f"batch {odd}")
+    articles = links.read().groupBy("canonical_name").agg(F.count("*").alias("articles"))
+    first = each.groupBy("canonical_name").agg(F.min_by("type", "ordinal").alias("type"))
+    return entities.read().drop("type").join(first, "canonical_name").join(articles, "canonical_name").select("canonical_name", "type", "mention_count", "articles")
+
+
 @query("s20_report_write_back", """
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'report on ' || doc_id WHEN doc_id % 3 = 1 THEN 'old' END AS report, doc_id % 3 = 0 AS analysed FROM documents
 """)

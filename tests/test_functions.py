@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodewell.functions import contracts
 from lodewell.functions import text as T
 from lodewell.functions.chunking import chunks, pieces, summary_first
 from lodewell.functions.html import main_text
@@ -94,3 +95,14 @@ def test_parts_of_a_date_are_kept(spark):
 
     rows = spark.createDataFrame([(1, datetime(2024, 1, 2)), (2, datetime(2023, 1, 1)), (3, None)], "id int, published_at timestamp")
     assert {r["id"] for r in recent(rows, F.lit(datetime(2024, 1, 2, 12)), 24).collect()} == {1, 3}
+
+
+def test_prompts_say_what_they_need(spark):
+    prompts = contracts.Prompts({"a": "{x} and {y}"})
+    assert prompts.needs("a") == ["x", "y"] and one(spark, prompts.prompt("a", x=F.lit(1), y=F.lit(None), z=F.lit(3))) == "1 and "
+    with pytest.raises(ValueError, match="needs y"):
+        prompts.prompt("a", x=F.lit(1))
+    with pytest.raises(KeyError, match="no prompt"):
+        prompts.needs("b")
+    with pytest.raises(ValueError, match="already"):
+        prompts.register("a", "")
