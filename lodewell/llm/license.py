@@ -108,6 +108,44 @@ TEMPLATES = {
     "copyright": ["copyright [[c]] <<6>> all rights reserved"],
 }
 
+# Titles, identifiers and first provisions of licenses that the notices above are about, and of others.
+MORE_TEMPLATES = {
+    "apache-2.0": [
+        "apache 2.0",
+        "spdx license identifier apache 2.0",
+        "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
+        "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive"
+        " no charge royalty free irrevocable [[copyright license to reproduce prepare derivative works of publicly display publicly perform"
+        " sublicense and distribute the work and such derivative works in source or object form]]",
+    ],
+    "mit": ["spdx license identifier mit"],
+    "bsd": [
+        "spdx license identifier bsd <<1>> clause",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " [[[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the"
+        " following disclaimer in the documentation and or other materials provided with the distribution]]",
+    ],
+    "isc": ["isc license", "spdx license identifier isc"],
+    "unlicense": ["in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain"],
+    "mpl-2.0": [
+        "spdx license identifier mpl 2.0",
+        "contributor means each individual or legal entity that creates contributes to the creation of or owns covered software",
+    ],
+    "epl": ["eclipse public license [[v]] [[version]] [[1.0]] [[2.0]]", "spdx license identifier epl <<2>>"],
+    "gpl-2.0": ["gnu general public license [[v]] [[version]] 2 [[june 1991]]", "spdx license identifier gpl 2.0 [[only]] [[or later]]"],
+    "gpl-3.0": [
+        "gnu general public license [[v]] [[version]] 3 [[0]] [[29 june 2007]]",
+        "spdx license identifier gpl 3.0 [[only]] [[or later]]",
+        "the gnu general public license is a free copyleft license for software and other kinds of works",
+    ],
+    "lgpl": ["gnu lesser general public license [[v]] [[version]] [[2.1]] [[3]] [[0]]", "spdx license identifier lgpl <<4>>"],
+    "agpl": ["gnu affero general public license [[v]] [[version]] [[3]] [[0]] [[19 november 2007]]", "spdx license identifier agpl <<4>>"],
+    "cc0": ["cc0 1.0 [[universal]]", "spdx license identifier cc0 1.0"],
+    "cc-by-nc": ["cc by nc [[nd]] [[sa]] [[2.0]] [[3.0]] [[4.0]]"],
+    "cc-by-sa": ["cc by sa [[2.0]] [[3.0]] [[4.0]]"],
+}
+TEMPLATES = {label: TEMPLATES.get(label, []) + MORE_TEMPLATES.get(label, []) for label in [*TEMPLATES, *MORE_TEMPLATES]}
+
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _REGION = re.compile(r"\[\[|\]\]|<<\d+>>|[^\s\[\]<>]+")
 

@@ -40,6 +40,33 @@ NOTICES = [
     ("cc-by-sa", 0, "licensed under CC BY-SA 4.0"),
     ("cc-by-sa", 1, "Creative Commons Attribution-ShareAlike 3.0"),
     ("copyright", 0, "Copyright (c) 2020 Jane Doe. All rights reserved."),
+    ("apache-2.0", 3, "Apache-2.0"),
+    ("apache-2.0", 4, "SPDX-License-Identifier: Apache-2.0"),
+    ("apache-2.0", 5, '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.'),
+    ("apache-2.0", 6, "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license"),
+    ("mit", 3, "SPDX-License-Identifier: MIT"),
+    ("bsd", 2, "SPDX-License-Identifier: BSD-3-Clause"),
+    ("bsd", 3, "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("isc", 1, "ISC License"),
+    ("isc", 2, "SPDX-License-Identifier: ISC"),
+    ("unlicense", 1, "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain."),
+    ("mpl-2.0", 2, "SPDX-License-Identifier: MPL-2.0"),
+    ("mpl-2.0", 3, '"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'),
+    ("epl", 0, "Eclipse Public License - v 2.0"),
+    ("epl", 1, "SPDX-License-Identifier: EPL-2.0"),
+    ("gpl-2.0", 0, "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("gpl-2.0", 1, "SPDX-License-Identifier: GPL-2.0-only"),
+    ("gpl-3.0", 0, "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("gpl-3.0", 1, "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("gpl-3.0", 2, "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("lgpl", 0, "GNU Lesser General Public License v3.0"),
+    ("lgpl", 1, "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("agpl", 0, "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("agpl", 1, "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("cc0", 1, "CC0 1.0 Universal"),
+    ("cc0", 2, "SPDX-License-Identifier: CC0-1.0"),
+    ("cc-by-nc", 2, "under CC BY-NC-SA 4.0"),
+    ("cc-by-sa", 2, "under CC BY-SA 3.0"),
 ]
 
 
