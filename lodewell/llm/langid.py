@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewell.llm.worker import give_back
+
 UNDETERMINED = "und"
 
 # Everything in ASCII that is not a letter becomes a space.
@@ -173,6 +175,8 @@ def language(model: LanguageModel, text: Column | str) -> Column:
             yield pd.DataFrame(
                 [scorer.decide(t) for t in texts], columns=["lang", "score", "margin", "rejected"]
             )
+        del scorer
+        give_back()
 
     return decide.asNondeterministic()(text)  # else the optimizer may run it twice
 

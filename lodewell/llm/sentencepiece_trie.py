@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lodewell.functions.names import fresh
+from lodewell.llm.worker import give_back
 
 MARK = "▁"
 TOKENIZERS = "/opt/tokenizers"
@@ -201,6 +202,7 @@ def coded(docs: DataFrame, *, text: str = "text", data: bytes | None = None, wit
                     columns.append(pa.array([decode(encoder.model, x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
                 at += len(block)
+        give_back()
 
     schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]).add("ids", ArrayType(IntegerType()))
     schema = schema.add("decoded", "string") if with_text else schema

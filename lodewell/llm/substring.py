@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import StructField, StructType
 
+from lodewell.llm.worker import give_back
 from lodewell.sources.tables import discard, materialize
 
 WINDOW = 35
@@ -270,6 +271,7 @@ def _stripped(
                     [_signed(value), _signed(segment), pa.array(owners[a:b][doc]), pa.array(numbers[a:b][doc]), pa.array(often)],
                     names=["value", "segment", "_shard", "row", "often"],
                 )
+        give_back()
 
     runs = (
         docs_.select(words.cast("binary").alias("t"), shard, "_n")
@@ -302,6 +304,8 @@ def _stripped(
                 "second": _signed(two[first]),
                 "times": pa.array(np.diff(np.append(first, len(at)))),
             }
+            del there
+            give_back()
         return pa.table(rows, schema=_WINDOWS)
 
     mixed = recurring.where(~F.col("whole")).select("_shard", "value")
@@ -333,6 +337,8 @@ def _stripped(
             kept.append(b" ".join(w for w, g in zip(words, mask.tolist(), strict=True) if not g) if removed else b" ".join(words))
         columns = [pc.struct_field(docs.column("_row"), [i]) for i in range(len(carried))]
         columns += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())]
+        del there, texts, kept
+        give_back()
         return pa.table(columns, names=[f.name for f in schema])
 
     schema = StructType([StructField(f"c{i}", docs.schema[name].dataType) for i, name in enumerate(carried)])
