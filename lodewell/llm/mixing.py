@@ -152,6 +152,20 @@ def tempered_weights(docs: DataFrame, *, source: str = "source", power: float =
     return {r[0]: float(r[1]) ** power for r in counts}
 
 
+def _spread(rows: DataFrame, most: int) -> DataFrame:
+    """`rows`, where a `hash` that stands in more than `most` of them differs from row to row.
+
+    The counts combine map-side; there are fewer such hashes than rows / most, and Spark broadcasts them or not by their
+    size. Their rows alone are written, with the number that tells them apart, so that a lost task finds the same one.
+    """
+    crowded = materialize(rows.groupBy("hash").count().where(F.col("count") > most).select("hash"), "crowded")
+    if crowded.isEmpty():
+        return rows
+    numbered = materialize(rows.join(crowded, "hash", "left_semi").withColumn("number", F.monotonically_increasing_id()), "repeated")
+    numbered = numbered.withColumn("hash", F.xxhash64("hash", "number")).drop("number")
+    return rows.join(crowded, "hash", "left_anti").unionByName(numbered).select(*rows.columns)
+
+
 def interleave(
     docs: DataFrame,
     weights: Mapping[str | None, float],
@@ -173,7 +187,8 @@ def interleave(
     empty table, mix nothing.
 
     The hash is of all columns of simple types, so that rows under one key, null included, spread; rows equal in all of
-    them are ranked in arbitrary order. Texts of any length travel once. A source is numbered through hash buckets of
+    them are ranked in arbitrary order, and where more than `bucket_rows` are, those are written once with a number that
+    goes into their hash, so that they spread over all buckets. Texts of any length travel once. A source is numbered through hash buckets of
     about `bucket_rows` rows, so that no source is ever sorted in one task. One row per source reaches the driver; the
     blocks are scheduled by tasks and joined to the buckets.
     """
@@ -185,7 +200,7 @@ def interleave(
     hashed = F.xxhash64(*(F.col(f.name) for f in docs.schema if isinstance(f.dataType, AtomicType) or f.name == key))
     named = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     # The row travels as one struct, so that none of its columns can clash with those made here.
-    rows = docs.select(F.struct("*").alias("row"), named.alias("source"), F.col(key).alias("key"), hashed.alias("hash"))
+    rows = _spread(docs.select(F.struct("*").alias("row"), named.alias("source"), F.col(key).alias("key"), hashed.alias("hash")), bucket_rows)
     rows = rows.withColumn("bucket", F.floor(F.shiftrightunsigned("hash", 1) / F.lit(2.0**63) * buckets).cast("int")).join(numbers, "source", "left").drop("source")
     counts = rows.groupBy("i", "bucket").agg(F.count("*").alias("n"))
     running = F.sum("n").over(Window.partitionBy("i").orderBy("bucket")) - F.col("n")

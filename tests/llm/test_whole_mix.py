@@ -126,3 +126,17 @@ def test_one_key_for_all_rows_spreads(spark):
     docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.col("id").alias("i"))
     out = mixing.interleave(docs, {"a": 1}, bucket_rows=100)
     assert out.columns == ["doc_id", "source", "i", "mix"] and len({r[0] for r in out.select("mix.position").collect()}) == 3000
+
+
+def test_equal_rows_spread(spark):
+    """A third and more of all rows are one row repeated: each has its place, and its copies do not share a hash."""
+    rows = [(7, "a")] * 2000 + [(i, "b" if i % 2 else "a") for i in range(1000, 2500)] + [(None, None)] * 40
+    docs, out = mixed(spark, rows, bucket_rows=100, block_rows=8)
+    got = out.select("doc_id", "source", "mix.position").collect()
+    assert sorted(((r[0], r[1]) for r in got), key=str) == sorted(rows, key=str)
+    assert len({r["position"] for r in got}) == len(rows)
+    hashed = docs.withColumn("hash", F.xxhash64("doc_id", "source"))
+    spread = mixing._spread(hashed, 100)
+    assert spread.count() == len(rows) and spread.where("doc_id = 7").select("hash").distinct().count() == 2000
+    assert spread.where("doc_id IS NULL").select("hash").distinct().count() == 1  # few copies stay side by side
+    assert spread.where("doc_id > 7").exceptAll(hashed).isEmpty()
