@@ -207,3 +207,29 @@ def prompt(template: str, **columns: Column) -> Column:
                 raise ValueError(f"the template needs {name}")
             parts.append(F.coalesce(columns[name].cast("string"), F.lit("")))
     return F.concat(*parts) if parts else F.lit("")
+
+
+def expanded_queries(query: Column, expanded: Column, most: int) -> Column:
+    """At most `most` queries: those that the query was expanded to, behind the query itself if it is not among them."""
+    own = F.when(F.array_contains(expanded, query), expanded).otherwise(F.concat(F.array(query), expanded))
+    return F.slice(F.coalesce(own, F.array(query)), 1, most)
+
+
+def info_citations(collected: Column, *, web: str = "web_search", results: int = 3, snippet: int = 100, most: int = 10) -> Column:
+    """Citations (source_type, source_name, url, snippet) of the array of (source, content) that a chat collected.
+
+    What a web search found is a JSON list: of its first results those with a URL are cited, under their title or else
+    their source; anything but a list cites nothing. All else is cited by its source and the first characters.
+    """
+    none = F.lit(None).cast("string")
+    cite = lambda kind, name, url, text: F.struct(
+        kind.alias("source_type"), F.coalesce(name, F.lit("")).alias("source_name"), url.alias("url"), F.substring(F.coalesce(text, F.lit("")), 1, snippet).alias("snippet")
+    )
+
+    def of(info: Column) -> Column:
+        listed = F.when(F.startswith(strip(info["content"]), F.lit("[")), F.from_json(info["content"], "array<struct<title:string,source:string,url:string,snippet:string>>"))
+        first = F.filter(F.slice(F.coalesce(listed, F.array().cast("array<struct<title:string,source:string,url:string,snippet:string>>")), 1, results), lambda r: r["url"].isNotNull())
+        found = F.transform(first, lambda r: cite(F.lit("web"), F.coalesce(r["title"], r["source"]), r["url"], r["snippet"]))
+        return F.when(info["source"] == web, found).otherwise(F.array(cite(F.coalesce(info["source"], F.lit("")), info["source"], none, info["content"])))
+
+    return F.slice(F.flatten(F.transform(collected, of)), 1, most)

@@ -136,3 +136,8 @@ def weighted_score(impact: Column, milestone: Column, attention: Column, weights
         raise ValueError(f"weights add up to {sum(weights)}, not 1")
     total = sum((c * F.lit(w) for c, w in zip((impact, milestone, attention), weights, strict=True)), F.lit(0.0))
     return F.when(impact.between(0, 10) & milestone.between(0, 10) & attention.between(0, 10), total)
+
+
+def mean_length(c: Column) -> Column:
+    """The mean length of the texts of a group, rounded down."""
+    return F.call_function("div", F.sum(F.length(c)), F.count("*"))

@@ -114,3 +114,9 @@ def route(passed: Column, response: Column, completeness: Column, researched: Co
         .when(researched < most_research, "researcher")
         .otherwise("explainer")
     )
+
+
+def latest_message(rows: DataFrame, role: str = "assistant", *, group: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(group, order, text): the last message of a role in each conversation that has one; a maximum, which combines map-side."""
+    last = F.max_by(F.struct(order, "text"), order).alias("last")
+    return rows.where(F.col("role") == role).groupBy(group).agg(last).select(group, "last.*")

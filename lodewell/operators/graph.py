@@ -178,3 +178,26 @@ def visual(edges: DataFrame, seeds: DataFrame, expanded: DataFrame) -> DataFrame
 
 def relevance_band(score: Column) -> Column:
     return F.when(score >= 8, "high").when(score >= 6, "medium").otherwise("low")
+
+
+def community_articles(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The distinct (community, article_id) of the members (community, id) of communities and the articles (id, article_id)
+    of entities; a table of pairs, so that a community of any size is no array."""
+    return members.join(links, "id").select("community", "article_id").distinct()
+
+
+def community_overlap(neighbours: DataFrame, members: DataFrame, seeds: DataFrame, *, node: str = "id") -> DataFrame:
+    """`neighbours` with `overlap`: 1.0 if one of the communities (community, node) that hold a seed holds the node too, else 0.0."""
+    touched = members.join(seeds.select(node), node, "left_semi").select("community").distinct()
+    near = members.join(touched, "community", "left_semi").select(F.col(node).alias("_near")).distinct()
+    found = neighbours.join(near, F.col(node) == F.col("_near"), "left")
+    return found.select(*neighbours.columns, F.when(F.col("_near").isNull(), 0.0).otherwise(1.0).alias("overlap"))
+
+
+def visual_statistics(nodes: DataFrame, edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """One row of how many entities (nodes: is_expanded), seeds, expanded ones, relationships and communities are shown."""
+    n, expanded = F.count("*"), F.coalesce(F.col("is_expanded"), F.lit(False))
+    parts = nodes.agg(n.alias("total_entities"), F.count_if(~expanded).alias("seed_entities"), F.count_if(expanded).alias("expanded_entities"))
+    for df, name in ((edges, "total_relationships"), (communities, "total_communities")):
+        parts = parts.unionByName(df.agg(n.alias(name)), allowMissingColumns=True)
+    return parts.agg(*(F.max(c).alias(c) for c in parts.columns))

@@ -82,3 +82,13 @@ def split_by(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
     name = fresh(df, "error")
     marked = df.withColumn(name, error)
     return marked.where(F.col(name).isNull()).drop(name), marked.where(F.col(name).isNotNull())
+
+
+def run_status(errors: Column) -> Column:
+    """The status of a run with so many errors."""
+    return F.when(F.coalesce(errors, F.lit(0)) == 0, "completed").otherwise("completed_with_errors")
+
+
+def backfill_status(text: Column) -> Column:
+    """What cutting a text into chunks afterwards comes to: there is none (error), it is too short (skipped), or success."""
+    return F.when(F.coalesce(text, F.lit("")) == "", "error").when(~long_enough(text, afterwards=True), "skipped").otherwise("success")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import BinaryType, DateType, DecimalType, StructField, TimestampNTZType, TimestampType
 
+from lodewell.functions.names import fresh
+from lodewell.sources.tables import materialize
+
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """Page `number` (from 1), with total and pages of the whole listing on every row."""
@@ -72,3 +75,29 @@ def appended(stored: DataFrame, batch: DataFrame, key: str, items: str) -> DataF
     both = stored.select(key, items).join(new, key, "full_outer")
     none = F.array().cast(stored.schema[items].dataType)
     return both.select(key, F.concat(F.coalesce(items, none), F.coalesce("_new", none)).alias(items))
+
+
+def newest(df: DataFrame, n: int, *, when: str, key: str, since: Column | None = None, **equal) -> DataFrame:
+    """The n newest rows, of those of one time the smallest keys first; only rows no older than `since`, and only those
+    whose columns equal the values given, where a value is not None. Undated rows come last, and go if there is a `since`."""
+    for name, value in equal.items():
+        df = df if value is None else df.where(F.col(name) == value)
+    df = df if since is None else df.where(F.col(when) >= since)
+    return df.orderBy(F.desc_nulls_last(when), key).limit(n)
+
+
+def numbered(df: DataFrame, group: str, *order: str, name: str = "item") -> DataFrame:
+    """`df` with the place of each row in its group, from 0, in the order of the columns `order`; null is a group.
+
+    Rows are dealt by ranges of (group, order) and written, so that a group of any size lies in several ranges and is
+    never in one task: a row's number is its place within its range and the rows of its group in the ranges before.
+    Rows equal in all of `order` are numbered in any order, each with a number of its own.
+    """
+    part, before, rank = (fresh(df, n) for n in ("_range", "_before", "_rank"))
+    rows = materialize(df.repartitionByRange(group, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy(group, part).agg(F.count("*").alias(before))
+    sizes = sizes.withColumn(before, F.sum(before).over(Window.partitionBy(group).orderBy(part)) - F.col(before))
+    sizes = sizes.select(F.col(group).alias("_group"), F.col(part).alias("_part"), before)
+    place = F.row_number().over(Window.partitionBy(part, group).orderBy(*order)) - 1
+    ranked = rows.withColumn(rank, place).join(sizes, F.col(group).eqNullSafe(F.col("_group")) & (F.col(part) == F.col("_part")))
+    return ranked.select(*df.columns, (F.col(rank) + F.col(before)).cast("long").alias(name))

@@ -93,3 +93,12 @@ def generations(events: DataFrame, ttl: str, now: Column, *, key: str = "conv_id
         F.max_by("content", F.struct("at", "turn")).alias("content"), F.count("*").alias("version"), F.min("at").alias("first_at"), F.max("at").alias("last_at")
     )
     return each.select(key, "memory_type", "content", "version", "first_at", "last_at", F.when(F.col("w")["end"] < now, "expired").otherwise("live").alias("status"))
+
+
+def loaded(stored: DataFrame, kind: str | None = None, *, key: str = "conv_id") -> DataFrame:
+    """(key, memories): what is stored (key, memory_type, content) of each conversation, by type; of one type only, if `kind` is given.
+
+    There is one row a conversation and type, so that a map has as many entries as there are types.
+    """
+    rows = stored.where(F.col("memory_type").isNotNull() if kind is None else F.col("memory_type") == kind)
+    return rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("memory_type", "content"))).alias("memories"))

@@ -101,3 +101,8 @@ def merged_sections(summary: Column, sections: Column) -> Column:
     add = lambda text, s: F.when((s == "") | F.contains(text, s), text).when(text == "", s).otherwise(F.concat(text, F.lit("\n\n"), s))
     stripped = F.transform(sections, lambda s: F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), r"^\s+|\s+$", "")))
     return F.aggregate(stripped, F.regexp_replace(F.coalesce(summary, F.lit("")), r"^\s+|\s+$", ""), add)
+
+
+def status(articles: DataFrame, *, key: str = "id", report: str = "deepsearch_report", when: str = "deepsearch_performed_at") -> DataFrame:
+    """(key, has_report, performed_at, preview) of each article: an empty report is one, but has no preview."""
+    return articles.select(key, F.col(report).isNotNull().alias("has_report"), F.col(when).alias("performed_at"), F.nullif(F.col(report).cast("string"), F.lit("")).alias("preview"))

@@ -140,3 +140,14 @@ def embed_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             norm = np.linalg.norm(x)
             out.append((x / norm if norm else x).tolist())
         yield pd.Series(out, dtype=object)
+
+
+def article_chunks(chunks: DataFrame, article, *, key: str = "article_id", order: str = "chunk_number") -> DataFrame:
+    """The chunks of one article in their order."""
+    return chunks.where(F.col(key) == article).orderBy(order)
+
+
+def distinct_sources(found: DataFrame, by: str, *, source: str = "source") -> DataFrame:
+    """(by, sources): the distinct sources of each set of results, in alphabetical order, nulls left out; duplicates go map-side."""
+    rows = found.select(by, source).distinct()
+    return rows.groupBy(by).agg(F.array_sort(F.collect_set(source)).alias("sources"))

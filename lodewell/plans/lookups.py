@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lodewell.functions import contracts
 from lodewell.functions import text as T
 from lodewell.functions.chunking import chunk_array
-from lodewell.operators import graph, listing, matching, merge, retrieval
+from lodewell.operators import feeds, graph, ingest, listing, matching, memory, merge, report, retrieval
 from lodewell.operators.providers import Offline, complete
 from lodewell.plans.fixtures import MENTIONS, edges, edges_sql, mentions
 from lodewell.plans.registry import query
@@ -30,7 +29,7 @@ def f18(spark, d):
 def f20(spark, d):
     events = table(spark, d, "events")
     since = F.lit(events.agg(F.max("ts")).first()[0]) - F.make_interval(hours=F.lit(48))
-    return events.where(F.col("ts") >= since).orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "event_type")
+    return listing.newest(events, 20, when="ts", key="event_id", since=since).select("event_id", "event_type")
 
 
 @query("f23_valid_entities", "SELECT p_partkey, coalesce(nullif(p_brand, 'Brand#11'), 'CONCEPT') AS type FROM part WHERE p_partkey % 5 <> 0")
@@ -42,7 +41,7 @@ def f23(spark, d):
 @query("f25_report_status", "SELECT doc_id, quality IS NOT NULL AS has_report FROM documents LEFT JOIN labels USING (doc_id)")
 def f25(spark, d):
     joined = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
-    return joined.select("doc_id", F.col("quality").isNotNull().alias("has_report"))
+    return report.status(joined, key="doc_id", report="quality", when="toxic").select("doc_id", "has_report")
 
 
 @query("j11_community_members", """
@@ -50,8 +49,9 @@ SELECT vec_id, label IN (SELECT label FROM embeddings WHERE vec_id < 3) AS same
 """)
 def j11(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "label")
-    touched = rows.where("vec_id < 3").select("label").distinct().withColumn("same", F.lit(True))
-    return rows.where("vec_id >= 3").join(touched, "label", "left").select("vec_id", F.coalesce("same", F.lit(False)).alias("same"))
+    members = rows.select(F.col("label").alias("community"), F.col("vec_id").alias("id"))
+    found = graph.community_overlap(members.where("id >= 3").select("id"), members, members.where("id < 3"))
+    return found.select(F.col("id").alias("vec_id"), (F.col("overlap") == 1).alias("same"))
 
 
 @query("a02_filtered_counts", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
@@ -63,8 +63,9 @@ def a02(spark, d):
 SELECT p_size AS community, count(DISTINCT l_orderkey) AS articles, min(l_orderkey) AS first FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
 """)
 def a09(spark, d):
-    joined = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy(F.col("p_size").alias("community")).agg(F.countDistinct("l_orderkey").alias("articles"), F.min("l_orderkey").alias("first"))
+    members = table(spark, d, "part").select(F.col("p_size").alias("community"), F.col("p_partkey").alias("id"))
+    pairs = graph.community_articles(members, table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("article_id")))
+    return pairs.groupBy("community").agg(F.count("*").alias("articles"), F.min("article_id").alias("first"))
 
 
 @query("a12_mean_weight", f"""
@@ -85,34 +86,32 @@ def a13(spark, d):
 
 @query("a17_distinct_sources", "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY 1")
 def a17(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    return retrieval.distinct_sources(table(spark, d, "documents"), "lang").select("lang", F.array_join("sources", ",").alias("sources"))
 
 
 @query("a18_mean_length", "SELECT source, (sum(length(text)) // count(*))::BIGINT AS mean_length FROM documents GROUP BY 1")
 def a18(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.floor(F.sum(F.length("text")) / F.count("*")).alias("mean_length"))
+    return table(spark, d, "documents").groupBy("source").agg(T.mean_length(F.col("text")).alias("mean_length"))
 
 
 @query("a19_backfill_tallies", """
 SELECT CASE WHEN text IS NULL OR text = '' THEN 'error' WHEN length(trim(text, ' \t\n\r')) < 100 THEN 'skipped' ELSE 'success' END AS status, count(*) AS n FROM documents GROUP BY 1
 """)
 def a19(spark, d):
-    text = F.col("text")
-    status = F.when(text.isNull() | (text == ""), "error").when(F.length(T.strip(text)) < 100, "skipped").otherwise("success")
-    return table(spark, d, "documents").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return table(spark, d, "documents").groupBy(ingest.backfill_status(F.col("text")).alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("w04_item_numbers", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS item FROM conversations WHERE role = 'user'")
 def w04(spark, d):
-    rows = table(spark, d, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long").alias("item"))
+    rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn")
+    return listing.numbered(rows, "conv_id", "turn")
 
 
 @query("t11_newest_by_level", "SELECT event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY ts DESC, event_id LIMIT 15")
 def t11(spark, d):
     events = table(spark, d, "events")
     kind = events.agg(F.min("event_type")).first()[0]
-    return events.where(F.col("event_type") == kind).orderBy(F.desc("ts"), "event_id").limit(15).select("event_id")
+    return listing.newest(events, 15, when="ts", key="event_id", event_type=kind).select("event_id")
 
 
 @query("d05_semantic_dedup", """
@@ -135,13 +134,13 @@ def d08(spark, d):
 
 @query("d10_query_union", "SELECT doc_id, source || '|' || lang AS queries FROM documents")
 def d10(spark, d):
-    union = F.slice(F.array_union(F.array("source"), F.array("source", "lang", F.lit("more"))), 1, 2)
+    union = contracts.expanded_queries(F.col("source"), F.array("source", "lang", F.lit("more")), 2)
     return table(spark, d, "documents").select("doc_id", F.array_join(union, "|").alias("queries"))
 
 
 @query("v14_chunks_in_order", "SELECT l_orderkey AS article, l_linenumber AS chunk, l_comment FROM (SELECT *, l_returnflag AS l_comment FROM lineitem) WHERE l_orderkey = 3 ORDER BY chunk")
 def v14(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey = 3").orderBy("l_linenumber")
+    rows = retrieval.article_chunks(table(spark, d, "lineitem"), 3, key="l_orderkey", order="l_linenumber")
     return rows.select(F.col("l_orderkey").alias("article"), F.col("l_linenumber").alias("chunk"), F.col("l_returnflag").alias("l_comment"))
 
 
@@ -255,16 +254,16 @@ def s12(spark, d):
 
 @query("s24_memory_load", "SELECT conv_id, count(DISTINCT role) AS types, arg_max(text, turn) FILTER (role = 'user') AS user_memory FROM conversations GROUP BY 1")
 def s24(spark, d):
-    last = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("content"))
-    memory = F.map_from_entries(F.collect_list(F.struct("role", "content")))
-    return last.groupBy("conv_id").agg(F.count("*").alias("types"), F.try_element_at(memory, F.lit("user")).alias("user_memory"))
+    last = table(spark, d, "conversations").groupBy("conv_id", F.col("role").alias("memory_type")).agg(F.max_by("text", "turn").alias("content"))
+    memories = memory.loaded(last)
+    return memories.select("conv_id", F.size("memories").cast("long").alias("types"), F.try_element_at("memories", F.lit("user")).alias("user_memory"))
 
 
 @query("s25_active_feeds", "SELECT source, count(*) AS entries FROM documents WHERE source <> 'src3' GROUP BY 1 ORDER BY 1")
 def s25(spark, d):
-    feeds = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("entries"))
-    active = feeds.withColumn("is_active", F.col("source") != "src3")
-    return active.where("is_active").drop("is_active").orderBy("source")
+    found = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("entries"))
+    stored = found.select("source", "entries", F.col("source").alias("name"), F.col("source").alias("url"), (F.col("source") != "src3").alias("is_active"))
+    return feeds.listed(stored).select("source", "entries")
 
 
 @query("s29_json_rows", "SELECT r_regionkey, to_json({r_regionkey: r_regionkey, r_name: r_name})::VARCHAR AS line FROM region")

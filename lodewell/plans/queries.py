@@ -367,7 +367,7 @@ SELECT source, CASE WHEN count(*) FILTER (length(text) < 50) = 0 THEN 'completed
 """)
 def a15(spark, d):
     errors = F.count_if(F.length("text") < 50)
-    return table(spark, d, "documents").groupBy("source").agg(F.when(errors == 0, "completed").otherwise("completed_with_errors").alias("status"), errors.alias("errors"))
+    return table(spark, d, "documents").groupBy("source").agg(ingest.run_status(errors).alias("status"), errors.alias("errors"))
 
 
 @query("a16_tokens_by_conversation", "SELECT conv_id, sum(length(text) // 4)::BIGINT AS tokens FROM conversations GROUP BY 1")
@@ -415,7 +415,7 @@ def t09(spark, d):
 
 @query("t10_latest_answer", "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1")
 def t10(spark, d):
-    return table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
+    return conversation.latest_message(table(spark, d, "conversations"))
 
 
 # Deduplication and sets

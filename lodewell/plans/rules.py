@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lodewell.functions import contracts
 from lodewell.functions import text as T
 from lodewell.functions.html import extracted
-from lodewell.operators import ingest, listing, retrieval
+from lodewell.operators import graph, ingest, listing, retrieval
+from lodewell.plans.fixtures import edges, edges_sql
 from lodewell.plans.registry import query
 from lodewell.sources.tables import table
 
@@ -104,3 +105,47 @@ def l15(spark, d):
     events = table(spark, d, "events")
     given = {"kind": F.col("event_type"), "user": F.col("user_id"), "other": F.col("props")}
     return events.select("event_id", PROMPTS.prompt("score", **given).alias("prompt"), PROMPTS.prompt("plain", **given).alias("plain"))
+
+
+@query("c14_collected_citations", """
+SELECT event_id, 0 AS place, 'web' AS source_type, event_type AS source_name, 'http://' || event_type || '/1' AS url, 'about ' || event_type AS snippet FROM events
+UNION ALL SELECT event_id, 1, 'web', 'news', 'http://' || event_type || '/2', '' FROM events
+UNION ALL SELECT event_id, 2, 'article', 'article', NULL, repeat(event_type || ' ', 100)[1:100] FROM events
+UNION ALL SELECT event_id, 3 + n, 'note', 'note', NULL, n::VARCHAR FROM events, (SELECT unnest(range(7)) AS n)
+""")
+def c14_collected(spark, d):
+    """A web search of four results, of which the third has no URL and the fourth is one too many; an answer that is no list; an
+    article; and more notes than citations are kept."""
+    kind = F.col("event_type")
+    results = [
+        F.concat(F.lit('{"title": "'), kind, F.lit('", "url": "http://'), kind, F.lit('/1", "snippet": "about '), kind, F.lit('"}')),
+        F.concat(F.lit('{"source": "news", "url": "http://'), kind, F.lit('/2"}')),
+        F.lit('{"title": "without"}'),
+        F.concat(F.lit('{"title": "late", "url": "http://'), kind, F.lit('/4"}')),
+    ]
+    info = lambda source, content: F.struct(F.lit(source).alias("source"), content.alias("content"))
+    web = F.concat(F.lit(" ["), F.concat_ws(", ", *results), F.lit("]"))
+    notes = [info("note", F.lit(str(n))) for n in range(9)]
+    collected = F.array(info("web_search", web), info("web_search", F.lit('{"url": "http://one"}')), info("web_search", F.lit("[nothing")), info("article", F.repeat(F.concat(kind, F.lit(" ")), F.lit(100))), *notes)
+    cited = table(spark, d, "events").select("event_id", F.posexplode(contracts.info_citations(collected)).alias("place", "c"))
+    return cited.select("event_id", "place", "c.*")
+
+
+@query("d10_expanded_queries", """
+SELECT doc_id, array_to_string((CASE WHEN doc_id % 2 = 0 THEN ['first', source, 'last', 'more'] ELSE [source, 'first', 'last', 'more'] END)[1:3], '|') AS queries FROM documents
+""")
+def d10_expanded(spark, d):
+    """The query stays where the expansion has it, and goes in front where it has not."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    expanded = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("first"), "source", F.lit("last"), F.lit("more"))).otherwise(F.array(F.lit("first"), F.lit("last"), F.lit("more")))
+    return docs.select("doc_id", F.array_join(contracts.expanded_queries(F.col("source"), expanded, 3), "|").alias("queries"))
+
+
+@query("a13_graph_statistics", f"""
+WITH {edges_sql()} SELECT count(*) AS total_entities, count(*) FILTER (p_partkey % 3 <> 0) AS seed_entities, count(*) FILTER (p_partkey % 3 = 0) AS expanded_entities,
+       (SELECT count(*) FROM edges) AS total_relationships, count(DISTINCT p_size) AS total_communities FROM part
+""")
+def a13_graph(spark, d):
+    part = table(spark, d, "part")
+    nodes = part.select((F.col("p_partkey") % 3 == 0).alias("is_expanded"))
+    return graph.visual_statistics(nodes, edges(spark, d), part.select("p_size").where("p_size IS NOT NULL").distinct())
