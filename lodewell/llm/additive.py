@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is approximated by a sum of full-dimensional codewords, one from each residual codebook, found by beam
-search. The index stores a vector's codes and its norm. A query's inner products with all codewords form a lookup
-table; the sum of a candidate's entries, corrected by its stored norm, ranks it, and the best are scored again
-on their original vectors.
+A vector's direction is approximated by a sum of full-dimensional codewords, one from each residual codebook, found by
+beam search. The index stores a vector's codes, its norm and how far the sum lies from the direction. A query's inner
+products with all codewords form a lookup table; the sum of a candidate's entries, times its norm, ranks it, and the best
+are scored again on their original vectors. The stored distance bounds the error of the sum, so that every other
+candidate that may still be among the nearest is known, and is scored as well.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodewell.llm.vectors import matrix, usable
+from lodewell.llm.vectors import matrix, units, usable
 from lodewell.sources.tables import materialize
 
 
@@ -51,7 +52,14 @@ class Codebooks:
         return codes[np.arange(n), winner].reshape(n, books)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
-        return sum(words[codes[:, m]] for m, words in enumerate(self.words))
+        """The sums of the codewords, in double precision."""
+        return sum(words[codes[:, m]].astype(np.float64) for m, words in enumerate(self.words))
+
+    @property
+    def rounding(self) -> float:
+        """What single precision may change at most in a sum of table entries, for a query of length 1."""
+        lengths = np.linalg.norm(self.words.astype(np.float64), axis=2).max(axis=1)
+        return float((len(self.words) + self.dimension) * np.finfo(np.float32).eps * lengths.sum())
 
     def table(self, queries: np.ndarray) -> np.ndarray:
         """(books, words, queries): inner products of queries and codewords."""
@@ -78,7 +86,7 @@ def train(sample: np.ndarray, *, books: int = 32, words: int = 256, rounds: int
 
 
 def fit(vectors: DataFrame, *, vector: str = "embedding", sample_rows: int = 8192, **settings) -> Codebooks | None:
-    """Codebooks from at most `sample_rows` distinct vectors, by hash; None if no vector is usable.
+    """Codebooks for the directions of at most `sample_rows` distinct vectors, by hash; None if no vector is usable.
 
     Copies are merged before the sample is cut, so that no number of them displaces another vector. The dimension is the
     commonest in the sample; a codebook for each 128 vectors of it, 8 at least and 32 at most. Only the sample reaches
@@ -94,13 +102,13 @@ def _fit_distinct(distinct: DataFrame, sample_rows: int = 8192, **settings) -> C
         return None
     sizes = picked["x"].map(len)
     sample = np.stack(picked["x"][sizes == int(sizes.mode().min())].to_numpy()).astype(np.float64)
-    return train(sample, **{"books": min(32, max(8, len(sample) // 128))} | settings)
+    return train(units(sample), **{"books": min(32, max(8, len(sample) // 128))} | settings)
 
 
 def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
-    """(rep, codes, scale) of every row of `vectors` (rep, x).
+    """(rep, x, codes, norm, off) of every row of `vectors` (rep, x).
 
-    scale is the stored norm over that of the decoded vector, and corrects its inner products.
+    off is the distance between the vector's direction and the decoded one.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,28 +116,35 @@ def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = matrix(part.column(1))
-                codes = books.encode(x)
-                decoded = np.linalg.norm(books.decode(codes), axis=1)
-                scale = np.linalg.norm(x, axis=1) / np.where(decoded > 0, decoded, 1.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], names=["rep", "codes", "scale"])
+                directions = units(x)
+                codes = books.encode(directions)
+                off = np.linalg.norm(directions - books.decode(codes), axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(_norms(x)), pa.array(off)], names=["rep", "x", "codes", "norm", "off"])
+
+    return vectors.select("rep", "x").mapInArrow(encode, f"rep long, x {vectors.schema['x'].dataType.simpleString()}, codes binary, norm double, off double")
+
 
-    return vectors.select("rep", "x").mapInArrow(encode, "rep long, codes binary, scale double")
+def _norms(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(axis=1, initial=0.0)
+    return most * np.linalg.norm(x / np.where(most > 0, most, 1.0)[:, None], axis=1)
 
 
 def candidates(
-    indexed: DataFrame, queries: DataFrame, books: Codebooks, *, pool: int = 128, candidate_rows: int = 65536, query_rows: int = 16384
+    indexed: DataFrame, queries: DataFrame, books: Codebooks, *, k: int, pool: int = 128, candidate_rows: int = 65536, query_rows: int = 16384
 ) -> DataFrame:
-    """(query, rep): for each of `queries` (query, x) the `pool` best of the index by lookup-table scores.
+    """(query, rep, score): for each of `queries` (query, x) the k nearest of the index.
 
-    Queries and index are dealt by a hash into units, and each pair of units is a group of its own. Only codes, scales
-    and the queries' vectors travel; a unit's best meet those of the others in a ranking that is cut off map-side.
+    Queries and index are dealt by a hash into units, and each pair of units is a group of its own. A group scores the
+    `pool` best sums of a query on their vectors, and then all whose sum and bound reach the k-th of these; its k
+    nearest meet those of the other groups in a ranking that is cut off map-side.
     """
     there, asked = (max(1, -(-df.count() // rows)) for df, rows in ((indexed, candidate_rows), (queries, query_rows)))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     unit = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
     none = lambda kind: F.lit(None).cast(kind)
-    left = indexed.select("rep", "codes", "scale", none("array<double>").alias("x"), unit("rep", there).alias("c"), numbers(asked).alias("q"))
-    right = queries.select(F.col("query").alias("rep"), none("binary").alias("codes"), none("double").alias("scale"), F.col("x").cast("array<double>").alias("x"), numbers(there).alias("c"), unit("query", asked).alias("q"))
+    x = F.col("x").cast("array<double>").alias("x")
+    left = indexed.select("rep", "codes", "norm", "off", x, unit("rep", there).alias("c"), numbers(asked).alias("q"))
+    right = queries.select(F.col("query").alias("rep"), none("binary").alias("codes"), none("double").alias("norm"), none("double").alias("off"), x, numbers(there).alias("c"), unit("query", asked).alias("q"))
 
     def score(group: pa.Table) -> pa.Table:
         asks = group.column("codes").combine_chunks().is_null().to_numpy(zero_copy_only=False)
@@ -137,31 +152,55 @@ def candidates(
         these, those = np.flatnonzero(asks), np.flatnonzero(~asks)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(these) and len(those):
-            x = matrix(group.column("x").take(pa.array(these)))
+            vectors = matrix(group.column("x"))
+            queries, x = vectors[these], vectors[those]
             codes = np.frombuffer(b"".join(group.column("codes").take(pa.array(those)).to_pylist()), np.uint8).reshape(len(those), -1)
-            scale = group.column("scale").to_numpy()[those]
+            norm, off = (group.column(c).to_numpy()[those] for c in ("norm", "off"))
             for at in range(0, len(these), 64):
-                near, rough = _roughly(books, x[at : at + 64], codes, scale, pool)
-                found.append((np.repeat(names[these[at : at + 64]], near.shape[1]), names[those[near]].ravel(), rough.ravel()))
+                found += _k_best(books, queries[at : at + 64], names[these[at : at + 64]], x, codes, norm, off, names[those], pool, k)
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "rep", "rough"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "rep", "score"])
 
-    found = left.unionByName(right).groupBy("c", "q").applyInArrow(score, "query long, rep long, rough double")
-    return _first(found, pool, "query", F.desc("rough"), "rep").select("query", "rep")
+    found = left.unionByName(right).groupBy("c", "q").applyInArrow(score, "query long, rep long, score double")
+    return _first(found, k, "query", F.desc("score"), "rep").drop("rank")
 
 
-def _roughly(books: Codebooks, queries: np.ndarray, codes: np.ndarray, scale: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each query the `pool` rows of the best scores, and those scores, from tables of inner products."""
+def _k_best(books: Codebooks, queries: np.ndarray, asking: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, off: np.ndarray, names: np.ndarray, pool: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each query its name, and the names and inner products of the k nearest rows, ties to the smaller name.
+
+    Until the end all products are those of the query's direction, divided by the largest norm, so that none overflows.
+    """
+    directions, most = units(queries), norm.max()
+    length, scaled = norm / most, x / most
+    rough = _roughly(books, directions, codes) * length
+    size, k = min(max(pool, k), len(x)), min(k, len(x))
+    near = np.argpartition(-rough, size - 1, axis=1)[:, :size]
+    first = np.stack([scaled[these] @ q for these, q in zip(near, directions, strict=True)])
+    least = np.partition(first, size - k, axis=1)[:, size - k]
+    slack = 1e-14 * x.shape[1]  # of products in double precision, whatever the order of their terms
+    open_ = rough + length * (off + books.rounding) >= (least - slack)[:, None]
+    rows = np.flatnonzero(open_.any(axis=0))
+    product = np.where(open_[:, rows], directions @ scaled[rows].T, -np.inf)
+    least = np.partition(product, len(rows) - k, axis=1)[:, len(rows) - k]
+    for name, q, ranked, bar in zip(asking, queries, product, least, strict=True):
+        chosen = rows[ranked >= bar - 2 * slack]
+        # Component by component in order, so that equal products get equal scores.
+        exact = np.zeros(len(chosen))
+        for component, value in zip(x[chosen].T, q, strict=True):
+            exact += component * value
+        order = np.lexsort((names[chosen], -exact))[:k]
+        yield np.full(len(order), name), names[chosen[order]], exact[order]
+
+
+def _roughly(books: Codebooks, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """(queries, rows): sums of the entries of the queries' tables of inner products."""
     table = books.table(queries)
     rough = np.zeros((len(codes), len(queries)), np.float32)
     for at in range(0, len(codes), 2048):  # small enough to stay in cache
         part = rough[at : at + 2048]
         for m in range(len(table)):
             part += table[m][codes[at : at + 2048, m]]
-    rough = np.ascontiguousarray((rough * scale[:, None].astype(np.float32)).T)
-    size = min(pool, len(codes))
-    near = np.argpartition(-rough, size - 1, axis=1)[:, :size]
-    return near, np.take_along_axis(rough, near, axis=1)
+    return np.ascontiguousarray(rough.T)
 
 
 def _first(rows: DataFrame, n: int, by: str, *order: Column | str) -> DataFrame:
@@ -178,8 +217,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector
     rows are a candidate each and one query, rows of one key and unlike vectors a query each. Other columns, whatever their names, are left out.
 
     The index holds each distinct vector once, named by its smallest key, so that no number of copies displaces another
-    vector; copies are put back behind the exact scores, the k + 1 smallest keys of each. Pooled survivors are
-    joined with the original vectors and scored exactly. With fewer candidates than `pool` the answer is exact.
+    vector; copies are put back behind the exact scores, the k + 1 smallest keys of each. Whatever the vectors, the
+    answer is exact: `pool` decides only how many are scored before the bounds are.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("x")).where(usable("x") & F.col("k").isNotNull())
@@ -192,11 +231,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector
     named = materialize(rows.select("k", "x", is_query.alias("asks")).join(distinct, "x").select("k", "rep", "asks"), "named")
     asked = materialize(named.where("asks").select(F.col("k").alias("query_id"), F.col("rep").alias("query")).distinct(), "asked")
     queries = distinct.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("query"), "x")
-    found = candidates(materialize(index(distinct, books), "index"), queries, books, pool=max(pool, k) + 1, **settings)  # one may be the query itself
-    # Component by component in order, so that equal vectors get equal scores.
-    product = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    scored = found.join(queries.withColumnRenamed("x", "y"), "query").join(distinct, "rep").select("query", "rep", product.alias("score"))
-    best = _first(scored, k + 1, "query", F.desc("score"), "rep").drop("rank")
+    best = candidates(materialize(index(distinct, books), "index"), queries, books, k=k + 1, pool=pool, **settings)  # one may be the query itself
     copies = _first(named.select("rep", "k"), k + 1, "rep", "k").drop("rank")
     best = _first(best.join(copies, "rep"), k + 1, "query", F.desc("score"), "k").select("query", F.col("k").alias("vec_id"), "score")
     answers = asked.join(materialize(best, "best"), "query").where("query_id <> vec_id")
