@@ -9,7 +9,7 @@ from lodewell.functions.chunking import chunk_array_summary_first
 from lodewell.operators import feeds, merge, report, retrieval
 from lodewell.plans.fixtures import edges, edges_sql
 from lodewell.plans.registry import query
-from lodewell.sources.tables import table
+from lodewell.sources.tables import small_batches, table
 
 
 @query("l10_entity_answers", """
@@ -93,7 +93,7 @@ def v03(spark, d):
 @query("c02_summary_first_chunks")
 def c02(spark, d):
     """Chunks of each document behind a summary, its source."""
-    return table(spark, d, "documents").select("doc_id", F.inline(chunk_array_summary_first("text", "source")))
+    return small_batches(table(spark, d, "documents").select("doc_id", "text", "source")).select("doc_id", F.inline(chunk_array_summary_first("text", "source")))
 
 
 @query("s14_delete_result", "SELECT count(*) FILTER (vec_id = 3) > 0 AS deleted FROM embeddings")

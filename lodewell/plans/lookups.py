@@ -11,7 +11,7 @@ from lodewell.operators import feeds, graph, ingest, listing, matching, memory,
 from lodewell.operators.providers import Offline, complete
 from lodewell.plans.fixtures import MENTIONS, edges, edges_sql, mentions
 from lodewell.plans.registry import query
-from lodewell.sources.tables import table
+from lodewell.sources.tables import small_batches, table
 
 
 @query("f10_point_lookup", "SELECT doc_id, source, n_chars FROM documents WHERE doc_id = 7")
@@ -146,7 +146,7 @@ def v14(spark, d):
 
 @query("v15_offline_embedding")
 def v15(spark, d):
-    return table(spark, d, "documents").select("doc_id", retrieval.embed_text("text").alias("embedding"))
+    return small_batches(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", retrieval.embed_text("text").alias("embedding"))
 
 
 @query("c12_token_estimate", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")
@@ -276,5 +276,5 @@ def s31(spark, d):
     """Chunks with hashes of all documents that have text and no embedding, as one set-based job."""
     docs = table(spark, d, "documents").where(F.length(T.strip(F.col("text"))) > 100)
     missing = docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
-    chunks = missing.select("doc_id", F.sha2("text", 256).alias("hash"), F.inline(chunk_array("text")))
+    chunks = small_batches(missing.select("doc_id", "text")).select("doc_id", F.sha2("text", 256).alias("hash"), F.inline(chunk_array("text")))
     return chunks.select("doc_id", "chunk_number", "chunk_start", "chunk_end", T.chunk_hash(F.col("hash"), F.col("chunk_number")).alias("content_hash"))
