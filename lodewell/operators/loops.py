@@ -17,7 +17,7 @@ from lodewell.functions import contracts
 from lodewell.functions.text import first_text, format_issues, shorten
 from lodewell.operators.conversation import route
 from lodewell.operators.providers import Provider, complete
-from lodewell.sources.tables import discard, materialize
+from lodewell.sources.tables import discard, materialize, small_batches
 
 Step = Callable[[DataFrame], DataFrame]
 Tool = Callable[[DataFrame], DataFrame]
@@ -244,7 +244,8 @@ def reflect(articles: DataFrame, provider: Callable[[], Provider], *, key: str =
     format don't count, as its own check has passed. A failed call uses up a round. Every article passes in the
     end, so that none is lost; one without content, title or summary passes at once. Keys are unique; other columns are left out.
     """
-    state = articles.select(
+    # Prompts hold the contents, so the session of what follows hands few at a time to Python.
+    state = small_batches(articles).select(
         F.col(key).alias("key"), "original_title", "content", "title", "summary", F.lit(0).alias("retries"),
         _none("string").alias("feedback"), F.array().cast("array<string>").alias("issues"),
     )
