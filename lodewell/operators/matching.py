@@ -16,6 +16,15 @@ from lodewell.operators.vectorindex import _SLACK, _angles, _centroids, _units
 from lodewell.sources.tables import materialize
 
 
+_ROWS = 256  # fixed value: of a batch worked on at once, and 16 times as many of one that is sent on
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def _by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """(length, positions, unit vectors) of the rows of a batch, length by length."""
     places = defaultdict(list)
@@ -48,7 +57,7 @@ def best_matches(new: DataFrame, stored: DataFrame, *, threshold: float = 0.85,
     sent = new.sparkSession.sparkContext.broadcast(cents)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             for d, at, x in _by_length(batch, 1):
                 angles = _angles(x, sent.value[d]) if d in sent.value else np.full((len(x), 1), np.pi)  # a length that the sample lacks
                 yield pa.RecordBatch.from_arrays([*batch.take(at).columns, pa.array(np.full(len(x), d), pa.int32()), pa.array(angles.argmin(axis=1), pa.int32()), pa.array(angles.min(axis=1))], names=["k", "x", "d", "list", "angle"])
@@ -63,14 +72,17 @@ def best_matches(new: DataFrame, stored: DataFrame, *, threshold: float = 0.85,
     reach = np.arccos(np.clip(threshold, -1.0, 1.0)) + _SLACK
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             for d, at, x in _by_length(batch, 1):
                 if d not in widest:
                     continue
                 angles = _angles(x, sent.value[d]) if d in sent.value else np.zeros((len(x), 1))
                 pairs = [(i, c, u) for c, wide in widest[d].items() for i in np.flatnonzero(angles[:, c] <= wide + reach).tolist() for u in range(units[d, c])]
-                rows = batch.take(at).take(pa.array([p[0] for p in pairs], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([d] * len(pairs), pa.int32()), *(pa.array([p[j] for p in pairs], pa.int32()) for j in (1, 2))], names=["k", "x", "d", "list", "unit"])
+                own = batch.take(at)
+                for begin in range(0, len(pairs), 16 * _ROWS):  # a vector may visit every list
+                    some = pairs[begin : begin + 16 * _ROWS]
+                    rows = own.take(pa.array([p[0] for p in some], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([d] * len(some), pa.int32()), *(pa.array([p[j] for p in some], pa.int32()) for j in (1, 2))], names=["k", "x", "d", "list", "unit"])
 
     part = F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int").alias("part")
     visitors = fresh.mapInArrow(visit, f"k {kind}, x array<double>, d int, list int, unit int").select("*", part)
