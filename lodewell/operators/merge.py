@@ -95,7 +95,8 @@ def merge_entities(stored: DataFrame, batch: DataFrame) -> DataFrame:
     base, rows = merge_entity_rows(stored, batch), _numbered(stored, batch)
     for column in ("article_ids", "aliases"):
         single = rows.select("canonical_name", F.explode(column).alias("one")).distinct()
-        base = base.join(single.groupBy("canonical_name").agg(F.array_sort(F.collect_list("one")).alias(column)), "canonical_name", "left")
+        sets = single.groupBy("canonical_name").agg(F.array_sort(F.collect_list("one")).alias(column))
+        base = base.join(sets.hint("shuffle_hash"), "canonical_name", "left")  # no set goes through the driver
     return base
 
 
