@@ -79,8 +79,8 @@ def s16(spark, d):
         batch = each.where(F.col("article_id") % 2 == odd)
         entities.apply(batch.drop("article_id"), merge.merge_entity_rows, f"batch {odd}")
         links.apply(batch, merge.merge_links, f"batch {odd}")
-    articles = links.read().groupBy("canonical_name").agg(F.count("*").alias("articles"))
-    first = each.groupBy("canonical_name").agg(F.min_by("type", "ordinal").alias("type"))
+    articles = links.read().groupBy("canonical_name").agg(F.count("*").alias("articles")).hint("shuffle_hash")
+    first = each.groupBy("canonical_name").agg(F.min_by("type", "ordinal").alias("type")).hint("shuffle_hash")
     return entities.read().drop("type").join(first, "canonical_name").join(articles, "canonical_name").select("canonical_name", "type", "mention_count", "articles")
 
 
