@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodewell.functions.json_repair import parsed
-from lodewell.functions.text import json_in_text, strip
+from lodewell.functions.text import bound, json_in_text, strip
 
 DECISION = "thought string, action string, action_input map<string,string>"
 REFLECTION = "passed boolean, issues array<string>, feedback string"
@@ -145,21 +145,25 @@ def content_text(answer: Column) -> Column:
 def translation(answer: Column) -> Column:
     """Title, summary and entities of an answer, and how they were read: as JSON, by labelled fields, or as plain
     text whose first line is the title."""
-    r = parsed(json_in_text(answer), TRANSLATION)
-    labelled = lambda name: F.nullif(F.regexp_extract(answer, rf'"?{name}"?\s*[:：]\s*"?((?s:.*?))"?\s*(?:,?\s*"?(?:chinese_title|chinese_summary|entities_preserved)"?\s*[:：]|\}}|$)', 1), F.lit(""))
-    plain = strip(answer)
-    first = F.split_part(plain, F.lit("\n"), F.lit(1))
-    rest = F.nullif(strip(F.substr(plain, F.length(first) + 1)), F.lit(""))
-    as_json = r["chinese_title"].isNotNull() & r["chinese_summary"].isNotNull()
-    as_fields = labelled("chinese_title").isNotNull() & labelled("chinese_summary").isNotNull()
-    mode = F.when(as_json, "json").when(as_fields, "fields").when(rest.isNotNull(), "text").otherwise("error")
-    pick = lambda a, b, c: F.when(mode == "json", a).when(mode == "fields", b).when(mode == "text", c)
-    return F.struct(
-        pick(r["chinese_title"], labelled("chinese_title"), first).alias("title"),
-        pick(r["chinese_summary"], labelled("chinese_summary"), rest).alias("summary"),
-        F.coalesce(r["entities_preserved"], F.array().cast("array<string>")).alias("entities"),
-        mode.alias("parser_mode"),
+    labelled = lambda a, name: F.regexp_extract(a, rf'"?{name}"?\s*[:：]\s*"?((?s:.*?))"?\s*(?:,?\s*"?(?:chinese_title|chinese_summary|entities_preserved)"?\s*[:：]|\}}|$)', 1)
+    made = lambda title, summary, entities, mode: F.struct(
+        title.cast("string").alias("title"), summary.cast("string").alias("summary"), F.coalesce(entities, F.array().cast("array<string>")).alias("entities"), F.lit(mode).alias("parser_mode")
     )
+    none = F.lit(None)
+
+    def as_text(first: Column, plain: Column, entities: Column) -> Column:
+        rest = strip(F.substr(plain, F.length(first) + 1))
+        return bound(rest, lambda t: F.when(t != "", made(first, t, entities, "text")).otherwise(made(none, none, entities, "error")))
+
+    def unread(x: Column) -> Column:
+        text = bound(strip(x["answer"]), lambda p: bound(F.split_part(p, F.lit("\n"), F.lit(1)), lambda first: as_text(first, p, x["r"]["entities_preserved"])))
+        fields = F.struct(labelled(x["answer"], "chinese_title").alias("title"), labelled(x["answer"], "chinese_summary").alias("summary"))
+        return bound(fields, lambda f: F.when((f["title"] != "") & (f["summary"] != ""), made(f["title"], f["summary"], x["r"]["entities_preserved"], "fields")).otherwise(text))
+
+    # Each step is worked out once, and only for the answers that the steps before it can't read.
+    read = F.struct(answer.alias("answer"), parsed(json_in_text(answer), TRANSLATION).alias("r"))
+    as_json = lambda x: x["r"]["chinese_title"].isNotNull() & x["r"]["chinese_summary"].isNotNull()
+    return bound(read, lambda x: F.when(as_json(x), made(x["r"]["chinese_title"], x["r"]["chinese_summary"], x["r"]["entities_preserved"], "json")).otherwise(unread(x)))
 
 
 def confidence(answer: Column, high: list[str], low: list[str]) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodewell.functions.text import bound
+
 
 def repair(text: str) -> str:
     """The text with an open string and all open brackets closed, and commas before a closing bracket removed."""
@@ -47,6 +49,6 @@ def repaired(c: Column | str) -> Column:
 
 def parsed(c: Column, schema: str) -> Column:
     """from_json of the text, or of its repair where the text is no JSON."""
-    valid = F.try_parse_json(c).isNotNull()
     # Python sees broken texts only: an expression of a UDF is evaluated for every row, whatever branch it is in.
-    return F.from_json(F.when(valid, c).otherwise(repaired(F.when(~valid, c))), schema)
+    mended = repaired(bound(F.col(c) if isinstance(c, str) else c, lambda t: F.when(F.try_parse_json(t).isNull(), t)))
+    return F.from_json(F.coalesce(mended, c), schema)
