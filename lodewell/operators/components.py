@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodewell.sources.tables import discard, materialize
+from lodewell.sources.tables import by_partition, discard, handed, materialize
 
 
 def _toward_minimum(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -22,9 +22,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Large-star and small-star rounds: each replaces a node's links by links to the least node of its
     neighbourhood, until nothing changes. Neighbourhoods are only ever reduced with `min`, which combines map-side, and
-    joined back on the node, which AQE splits when one node is a hub; none is gathered into a row. Each round is
-    written to the shared folder, and what the round before wrote is deleted. Null endpoints and self links are ignored;
-    no edges gives no rows.
+    joined back on the node, which AQE splits when one node is a hub; none is gathered into a row, and no table goes
+    through the driver. Each round is written to the shared folder, and what the round before wrote is deleted. Null
+    endpoints and self links are ignored; no edges gives no rows.
     """
     links = (
         edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
@@ -32,8 +32,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    links = materialize(links, "links")
+    links = materialize(by_partition(links), "links")
     before = _signature(links)
+    written, links = links, by_partition(links, rows=before[0])
     while True:
         both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(
             links.select(F.col("b").alias("node"), F.col("a").alias("other"))
@@ -42,7 +43,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large, large_minima = _toward_minimum(both)
         large = large.where("other > node").select(F.col("other").alias("a"), F.col("low").alias("b"))
         # Small star: a node and its smaller neighbours move to the least of them.
-        down = large.distinct().select(F.col("a").alias("node"), F.col("b").alias("other"))
+        down = materialize(large.distinct().select(F.col("a").alias("node"), F.col("b").alias("other")), "down")
         near, near_minima = _toward_minimum(down)
         small = (
             near.select(F.col("other").alias("a"), F.col("low").alias("b"))
@@ -51,10 +52,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .distinct()
         )
         after = materialize(small, "links")
-        discard(links, large_minima, near_minima)
-        links, settled = after, before
+        discard(written, large_minima, down, near_minima)
+        links, written, settled = after, after, before
         before = _signature(links)
         if before == settled:
+            links = handed(links, edges.sparkSession)
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )

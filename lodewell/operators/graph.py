@@ -13,7 +13,7 @@ from lodewell.functions.text import strip
 from lodewell.functions.vectors import cosine, literal
 from lodewell.operators.components import connected_components
 from lodewell.operators.matching import best_matches
-from lodewell.sources.tables import materialize
+from lodewell.sources.tables import by_partition, materialize
 
 
 def group_entities(mentions: DataFrame, *, name: str = "name", article: str = "article_id", ordinal: str = "ordinal") -> DataFrame:
@@ -141,7 +141,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, community): connected components, a node without edges being its own."""
     parts = connected_components(edges, "source", "target").select(F.col("node").alias("id"), F.col("component").alias("community"))
-    return nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    return by_partition(nodes.select("id")).join(parts, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
 def hubs(members: DataFrame, edges: DataFrame) -> DataFrame:
