@@ -50,15 +50,15 @@ def resolution_map(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 
     `entities` holds id and name, `aliases` id and alias, a row for each spelling, of stored and new entities alike.
     Entities that share a spelling are one, and so are those that a chain of shared spellings connects: the connected
-    components of entities and spellings. No entity's spellings are gathered into a row.
+    components of entities, each linked to the first that has one of its spellings. No entity's spellings are gathered into
+    a row, and spellings of one entity alone link nothing.
     """
     spelled = entities.select("id", F.lower(strip(F.col("name"))).alias("name")).union(aliases.select("id", F.lower(strip(F.col("alias")))))
-    spelled = materialize(spelled.where("id IS NOT NULL AND name <> ''").distinct(), "spellings")
-    node = F.concat(F.lit("entity "), F.col("id").cast("string"))
-    of = connected_components(spelled.select(node.alias("src"), F.concat(F.lit("name "), "name").alias("dst"))).where("node LIKE 'name %'")
-    named = spelled.join(of.select(F.expr("substring(node, 6)").alias("name"), "component"), "name")
-    least = named.groupBy("component").agg(F.min("id").alias("least"))
-    return named.join(least, "component").select("name", F.col("least").alias("id")).distinct()
+    spelled = materialize(by_partition(spelled.where("id IS NOT NULL AND name <> ''").distinct()), "spellings")
+    first = materialize(spelled.groupBy("name").agg(F.min("id").alias("first")), "first")
+    links = spelled.join(first, "name").where("id <> first")
+    of = connected_components(links, "id", "first").select(F.col("node").alias("first"), "component")
+    return first.join(of, "first", "left").select("name", F.coalesce("component", "first").alias("id"))
 
 
 def resolve_names(edges: DataFrame, entities: DataFrame, *, names: tuple[str, str] = ("source_name", "target_name"), aliases: DataFrame | None = None) -> DataFrame:
@@ -67,6 +67,7 @@ def resolve_names(edges: DataFrame, entities: DataFrame, *, names: tuple[str, st
     Strict, names are those of `entities` (id, name), exactly or else regardless of case (the smallest id of equals). With
     `aliases` (id, alias), any spelling counts, and an edge ends at the entity that `resolution_map` gives for it.
     """
+    edges = by_partition(edges)  # maps of names grow with the entities: they are not to go through the driver
     if aliases is not None:
         known = materialize(resolution_map(entities, aliases), "resolution")
         for column, to in zip(names, ("source", "target"), strict=True):

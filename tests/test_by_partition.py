@@ -2,10 +2,34 @@
 
 from pyspark.sql import functions as F
 
+from lodewell.operators import graph
 from lodewell.operators.components import connected_components
 from lodewell.sources.tables import by_partition
 
 
+def test_names_are_not_broadcast(spark):
+    entities = spark.range(1000).select("id", F.concat(F.lit("Name "), "id").alias("name"))
+    aliases = spark.range(0, 1000, 7).select("id", F.concat(F.lit("other "), (F.col("id") - F.col("id") % 2).cast("string")).alias("alias"))
+    named = spark.range(1000).select(F.concat(F.lit("name "), "id").alias("source_name"), F.concat(F.lit("Name "), F.col("id") % 5).alias("target_name"))
+    for found in (graph.resolve_names(named, entities), graph.resolve_names(named, entities, aliases=aliases)):
+        assert found.count() == 1000 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spellings_of_one_entity_link_nothing(spark, monkeypatch):
+    given = []
+
+    def counted(links, *ends):
+        given.append(links.count())
+        return connected_components(links, *ends)
+
+    monkeypatch.setattr(graph, "connected_components", counted)
+    entities = spark.createDataFrame([(i, f"E{i}") for i in range(1, 9)], "id long, name string")
+    aliases = spark.createDataFrame([(5, "x"), (4, "X "), (4, "y"), (2, "Y"), (7, "z"), (8, "E7"), (None, "e1"), (3, None)], "id long, alias string")
+    found = {r["name"]: r["id"] for r in graph.resolution_map(entities, aliases).collect()}
+    assert found == {"e1": 1, "e2": 2, "e3": 3, "e4": 2, "e5": 2, "e6": 6, "e7": 7, "e8": 7, "x": 2, "y": 2, "z": 7}
+    assert given == [3]  # x, y and e7 are shared, by two entities each
+
+
 def test_settings_stay_where_they_are(spark):
     before = dict(spark.conf.getAll)
     df = by_partition(spark.range(10), rows=1 << 22)
