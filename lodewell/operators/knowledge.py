@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodewell.functions import contracts
 from lodewell.functions.text import strip
 from lodewell.operators import graph, listing, report
-from lodewell.sources.tables import materialize
+from lodewell.sources.tables import by_partition, materialize
 
 # An answer holds fewer entities than this.
 ANSWER_ENTITIES = 1_000_000
@@ -46,8 +46,10 @@ def build(
     adds 1 to its edge; those with an end that no answer has as an entity are dropped. Entities without edges are
     communities of their own. Unreadable and null answers give nothing; no answers, an empty graph.
 
-    Answers are parsed once. Mentions and relationships are summed map-side before anything is joined on a name.
+    Answers are parsed once. Mentions and relationships are summed map-side before anything is joined on a name, and joins
+    are by partition: entities grow with the answers.
     """
+    answers = by_partition(answers)
     found = answers.select(F.col(article).alias("article_id"), F.posexplode(contracts.entities(F.col(entities))).alias("at", "e"))
     found = found.select("article_id", "e.name", "e.type", F.lower(strip(F.col("e.name"))).alias("key"), (F.col("article_id") * ANSWER_ENTITIES + F.col("at")).alias("ordinal"))
     found = materialize(found, "mentions")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodewell.operators import graph
+from lodewell.operators import graph, knowledge
 from lodewell.operators.components import connected_components
 from lodewell.sources.tables import by_partition
 
@@ -37,3 +37,15 @@ def test_settings_stay_where_they_are(spark):
     parts = connected_components(spark.range(1, 50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
     assert parts.sparkSession is spark and [r["component"] for r in parts.select("component").distinct().collect()] == [1]
     assert dict(spark.conf.getAll) == before
+
+
+def test_a_graph_is_built_without_broadcasts(spark):
+    answers = spark.range(300).select(
+        F.col("id").alias("article_id"),
+        F.format_string('{"entities": [{"name": "P%s"}, {"name": "Q%s"}]}', "id", F.col("id") % 7).alias("entities"),
+        F.format_string('{"relationships": [{"source": "p%s", "target": "q%s"}]}', "id", F.col("id") % 7).alias("relations"),
+    )
+    built = knowledge.build(answers)
+    shown = built.entities.join(built.members, "id").join(graph.degrees(built.edges), "id")
+    assert shown.count() == 307 and built.members.select("community").distinct().count() == 7
+    assert "Broadcast" not in shown._jdf.queryExecution().executedPlan().toString()
