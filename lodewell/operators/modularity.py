@@ -2,25 +2,33 @@
 
 A graph is held as `links` (node, other, weight), each edge both ways and a self link twice, so that the weights of a
 node sum up to its degree k. Moving a node from community a to c changes the modularity by
-(w_c - w_a) / m - k (t_c - t_a + k) / (2 m^2), with w the weight between the node and a community, t the
-sum of the degrees in it, and 2 m the sum of all degrees.
+2 (w_c - w_a) / m2 - 2 k (t_c - t_a + k) / m2^2, with w the weight between the node and a community, t the
+sum of the degrees in it, and m2 the sum of all degrees.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewell.operators.components import connected_components
 from lodewell.operators.graph import both_ways
-from lodewell.sources.tables import discard, materialize
+from lodewell.sources.tables import by_partition, discard, handed, materialize
 
 _LEAST = 1e-12  # of a gain that is not rounding
+_PART = 1 << 20  # links by which a task moves nodes, about
+_HUB = 1 << 19  # links of a node that no task gets whole
+_STEADY = 0.02  # of the modularity: what a round of few moves gains, or it is the last
+_WORTH = 0.01  # of the modularity: what moves of single nodes gain, or no pass follows
 
 
 def modularity(edges: DataFrame, members: DataFrame) -> float:
     """The modularity of `members` (id, community) in the weighted, undirected graph of `edges`; 0 without edges."""
-    links = both_ways(edges)
+    links = by_partition(both_ways(edges))
     of = lambda name: members.select(F.col("id").alias(name), F.col("community").alias(f"{name}_in"))
     inside = links.join(of("node"), "node").join(of("other"), "other").agg(
         F.sum(F.when(F.col("node_in") == F.col("other_in"), F.col("weight"))).alias("inside"), F.sum("weight").alias("all")
@@ -31,93 +39,168 @@ def modularity(edges: DataFrame, members: DataFrame) -> float:
     return (inside["inside"] or 0.0) / inside["all"] - tot.agg(F.sum((F.col("t") / inside["all"]) ** 2)).first()[0]
 
 
-def _proposals(links: DataFrame, state: DataFrame, m2: float, within: Column | None = None) -> DataFrame:
-    """(id, k, size, community, to, gain, own): the best move of each node that has a link to another community, and the
-    weight between it and its own. `state` holds (id, community, k, and whole, if moves must stay `within` it)."""
-    totals = state.groupBy("community").agg(F.sum("k").alias("t"), F.count("*").alias("size"))
-    extra = ["whole"] if within is not None else []
-    near = state.select(F.col("id").alias("other"), F.col("community").alias("to"), *(F.col(c).alias(f"to_{c}") for c in extra))
-    around = links.where("node <> other").join(near, "other")
-    if within is not None:
-        around = around.join(state.select(F.col("id").alias("node"), "whole"), "node").where(F.col("whole") == F.col("to_whole"))
-    weights = around.groupBy(F.col("node").alias("id"), "to").agg(F.sum("weight").alias("w"))
-    rows = weights.join(state.select("id", "community", "k"), "id").join(totals.select(F.col("community").alias("to"), F.col("t")), "to")
-    stays = F.col("to") == F.col("community")
-    # The score of a community: what the node would add to it.
-    score = 2 * F.col("w") / m2 - 2 * F.col("k") * F.when(stays, F.col("t") - F.col("k")).otherwise(F.col("t")) / (m2 * m2)
-    best = rows.groupBy("id").agg(
-        F.first("community").alias("community"), F.first("k").alias("k"), F.max(F.when(stays, score)).alias("here"), F.max(F.when(stays, F.col("w"))).alias("own"),
-        F.max(F.when(~stays, F.struct(score.alias("s"), F.col("to")))).alias("b"),
+def _walk(m2: float, parts: int, *, settle: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What a task makes of its nodes (id, community, k, t, size, free) and their links (node, other, weight, to, t_to, size_to).
+
+    Its nodes move one after the other, each to the best community by what has moved before; communities of the nodes of
+    other tasks are those they had. As nodes are dealt by hash, what moves here is taken to move in each of the `parts`, and of
+    two nodes alone only the larger one goes to the other. With one part nodes move until none gains. Without
+    `settle` a node moves once, and only while it is alone.
+    """
+
+    def walk(links: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        links, nodes = links.sort_values(["node", "other"]), nodes.sort_values("id")
+        n, place = len(nodes), pd.Index(nodes["id"])
+        codes, names = pd.factorize(pd.concat([links["to"], nodes["community"]], ignore_index=True), sort=True)
+        totals, sizes = np.zeros(len(names)), np.zeros(len(names), np.int64)
+        totals[codes], sizes[codes] = np.concatenate([links["t_to"], nodes["t"]]), np.concatenate([links["size_to"], nodes["size"]])
+        far, at = codes[: len(links)], codes[len(links) :]
+        end, near, weights = place.get_indexer(links["node"]), place.get_indexer(links["other"]), links["weight"].to_numpy()
+        inside = lambda to, at: np.bincount(end, weights * (to == at[end]), n)
+        own, before = inside(far, at), at
+        first, total, size, at, k, free = np.searchsorted(end, np.arange(n + 1)).tolist(), totals.tolist(), sizes.tolist(), at.tolist(), nodes["k"].tolist(), nodes["free"].tolist()
+        going = True
+        while going:
+            going = False
+            for i in range(n):
+                here, ki = at[i], k[i]
+                if not free[i] or not settle and size[here] > 1:
+                    continue
+                around: dict[int, float] = {}
+                those = slice(first[i], first[i + 1])
+                for j, c, w in zip(near[those].tolist(), far[those].tolist(), weights[those].tolist(), strict=True):
+                    c = at[j] if j >= 0 else c
+                    around[c] = around.get(c, 0.0) + w
+                best, most = here, around.get(here, 0.0) - ki * (total[here] - ki) / m2 + _LEAST * m2
+                for c, w in around.items():
+                    score = w - ki * total[c] / m2
+                    if score > most and c != here and not (parts > 1 and settle and c > here and size[c] == size[here] == 1):
+                        best, most = c, score
+                if best != here:
+                    at[i] = best
+                    total[here], total[best] = total[here] - parts * ki, total[best] + parts * ki
+                    size[here], size[best] = size[here] - 1, size[best] + 1
+                    going = settle and parts == 1
+        now = np.array(at, dtype=np.int64)
+        then = inside(np.where(near >= 0, now[near], far), now)
+        return pd.DataFrame({"id": nodes["id"].to_numpy(), "community": names.take(before), "to": names.take(now), "k": nodes["k"].to_numpy(), "own": own, "then": then})
+
+    return walk
+
+
+def _best_of_hubs(near: DataFrame, known: DataFrame, m2: float) -> DataFrame:
+    """As `_walk`, for nodes with too many links for a task: each goes to its best community, which is found by sums."""
+    weights = near.groupBy(F.col("node").alias("id"), "to").agg(F.sum("weight").alias("w"), F.first("t_to").alias("t_to"))
+    stays, k = F.col("to") == F.col("community"), F.col("k")
+    score = F.col("w") - k * (F.col("t_to") - F.when(stays, k).otherwise(0.0)) / m2
+    best = weights.join(known, "id").groupBy("id", "community", "k", "t", "free").agg(
+        F.max(F.when(stays, score)).alias("here"), F.max(F.when(stays, F.col("w"))).alias("own"), F.max(F.when(~stays, F.struct(score.alias("s"), "to"))).alias("b")
     )
-    own = totals.select("community", "t", "size")
-    here = F.coalesce("here", -2 * F.col("k") * (F.col("t") - F.col("k")) / (m2 * m2))  # without a link to its own community
-    out = best.join(own, "community").select("id", "k", "size", "community", F.col("b.to").alias("to"), (F.col("b.s") - here).alias("gain"), F.coalesce("own", F.lit(0.0)).alias("own"))
-    return materialize(out, "proposals")
+    goes = F.col("free") & (F.col("b.s") > F.coalesce("here", -k * (F.col("t") - k) / m2) + _LEAST * m2)
+    own = F.coalesce("own", F.lit(0.0))
+    return best.select("id", "community", F.when(goes, F.col("b.to")).otherwise(F.col("community")).alias("to"), "k", own.alias("own"), own.alias("then"))
 
 
-def _apart(moves: DataFrame) -> DataFrame:
-    """Those moves that are the best of both communities they touch: their gains add up exactly."""
-    rank = F.struct("gain", (-F.col("id")).alias("i"))
-    touched = moves.select(F.col("community").alias("c"), rank.alias("r")).union(moves.select(F.col("to"), rank))
-    best = touched.groupBy("c").agg(F.max("r").alias("best"))
-    for end in ("community", "to"):
-        moves = moves.join(best.withColumnRenamed("c", end), end).where(F.col("best.i") == -F.col("id")).drop("best")
-    return moves
+class _Level:
+    """A level's links, with what all its rounds use. Nodes with over `_HUB` links are kept apart."""
 
+    def __init__(self, links: DataFrame, m2: float):
+        each = links.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.when(F.col("node") == F.col("other"), F.col("weight"))).alias("loop"))
+        size = each.agg(F.sum("n"), F.max("n"), F.sum("loop")).first()
+        self.links, self.m2, self.loops = links, m2, size[2] or 0.0
+        self.parts = -(-size[0] // _PART)
+        self.hubs = materialize(each.where(F.col("n") > _HUB).select("node"), "hubs") if size[1] > _HUB else None
 
-def _moved(state: DataFrame, moves: DataFrame) -> DataFrame:
-    out = state.join(moves.select("id", "to"), "id", "left").withColumn("community", F.coalesce("to", "community")).drop("to")
-    return materialize(out.select(*state.columns), "state")
+    def walked(self, near: DataFrame, known: DataFrame, parts: int, part: Column, end: Column, *, settle: bool) -> DataFrame:
+        kind = dict(known.dtypes)["id"]
+        out = f"id {kind}, community {kind}, to {kind}, k double, own double, then double"
+        nodes = known.select("id", "community", "k", "t", "size", "free", part.alias("part")).groupBy("part")
+        links = near.select("node", "other", "weight", "to", "t_to", "size_to", end.alias("part")).groupBy("part")
+        return links.cogroup(nodes).applyInPandas(_walk(self.m2, parts, settle=settle), out)
 
+    def round(self, state: DataFrame, share: int, number: int) -> DataFrame:
+        """(id, community, to, k, own, then): where the nodes of one in `share` go, by a hash that changes from round to round,
+        and the weight between a node and its community before and, if there is one part, after."""
+        totals = state.groupBy("community").agg(F.sum("k").alias("t"), F.count("*").alias("size"))
+        free = F.pmod(F.xxhash64("id", F.lit(number), F.lit(1)), F.lit(share)) == 0
+        known = state.join(totals, "community").withColumn("free", free)
+        to = known.select(F.col("id").alias("other"), F.col("community").alias("to"), F.col("t").alias("t_to"), F.col("size").alias("size_to")).hint("shuffle_hash")
+        near = self.links.where("node <> other").join(to, "other")
+        part = lambda c: F.pmod(F.xxhash64(c, F.lit(number)), F.lit(self.parts))
+        walked = lambda near, known: self.walked(near, known, self.parts, part("id"), part("node"), settle=True)
+        if self.hubs is None:
+            return materialize(walked(near, known), "state")
+        hubs = self.hubs.select(F.col("node").alias("id"))
+        found = walked(near.join(self.hubs, "node", "left_anti"), known.join(hubs, "id", "left_anti"))
+        return materialize(found.union(_best_of_hubs(near.join(self.hubs, "node", "left_semi"), known, self.m2)), "state")
 
-def _settle(links: DataFrame, state: DataFrame, loops: float, m2: float, least: float) -> DataFrame:
-    """`state` after moves until a round gains less than `least`.
+    def value(self, moved: DataFrame, community: str, inside: str) -> float:
+        sums = moved.groupBy(community).agg(F.sum("k").alias("t"), F.sum(inside).alias("w"))
+        row = sums.agg(F.sum("w"), F.sum((F.col("t") / self.m2) ** 2)).first()
+        return (row[0] + self.loops) / self.m2 - row[1]
 
-    Half of the nodes move at once, by a hash that changes from round to round, as long as that raises the modularity; a
-    round that lowers it is taken back. From then on moves are set apart, so that every round raises it.
-    """
-    many, number, before, last = True, 0, None, None
-    while True:
-        proposals = _proposals(links, state, m2)
-        spread = state.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum((F.col("t") / m2) ** 2)).first()[0]
-        now = ((proposals.agg(F.sum("own")).first()[0] or 0.0) + loops) / m2 - spread
-        if before is not None and now < before + least:
-            if not many:
-                return state if now >= before else last
-            if now <= before:  # too many neighbours moved at once
-                discard(proposals, state)
-                state, proposals = last, _proposals(links, last, m2)
-                now = before
-            many = False
-        moves = proposals.where(F.col("gain") > _LEAST)
-        chosen = moves.where(F.pmod(F.xxhash64("id", F.lit(number)), F.lit(2)) == 0) if many else _apart(moves)
-        after = _moved(state, chosen)
-        discard(proposals)
-        if last is not None and last is not state:
-            discard(last)
-        before, last, state, number = now, state, after, number + 1
-
-
-def _refined(links: DataFrame, state: DataFrame, m2: float) -> DataFrame:
-    """(id, whole, community, k): communities within those of `state`, grown from single nodes.
-
-    Only nodes that are still single move, to a community they are linked to and whose members stay, so that every
-    community is connected. Of two single nodes that want to join, the one with the smaller hash goes.
-    """
-    fine = state.select("id", F.col("community").alias("whole"), F.col("id").alias("community"), "k")
-    number = 0
-    while True:
-        proposals = _proposals(links, fine, m2, within=F.col("whole"))
-        moves = proposals.where((F.col("size") == 1) & (F.col("gain") > _LEAST))
-        if moves.isEmpty():
-            discard(proposals)
-            return fine
-        sizes = proposals.groupBy("community").agg(F.first("size").alias("to_size")).withColumnRenamed("community", "to")
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(number)), F.col(c))
-        moves = materialize(moves.join(sizes, "to").where((F.col("to_size") > 1) | (order("id") < order("to"))).select("id", "to"), "moves")
-        after = _moved(fine, moves.join(moves.select(F.col("id").alias("to")), "to", "left_anti"))
-        discard(proposals, moves, *([fine] if number else []))
-        fine, number = after, number + 1
+    def settled(self, state: DataFrame, least: float, worth: float | None = None) -> tuple[DataFrame | None, float]:
+        """(id, community, k) after moves until a round gains less than `least`, and its modularity; None if the first gains
+        less than the share `worth`.
+
+        All nodes may move at once as long as that raises the modularity, and then one in four as long as that gains the share
+        `_STEADY`. A round that lowers it is taken back. `state` is deleted if it isn't returned.
+        """
+        after = lambda moved: moved.select("id", F.col("to").alias("community"), "k")
+        share, number, held, moved = 1, 1, state, self.round(state, 1, 0)
+        best = self.value(moved, "community", "own")
+        while True:
+            alone = self.parts == 1 and self.hubs is None
+            following = None if alone else self.round(after(moved), share, number)
+            now = self.value(moved, "to", "then") if alone else self.value(following, "community", "own")
+            number, gain = number + 1, now - best
+            if worth is not None and gain < worth * abs(best):
+                discard(held, moved, *([following] if following else []))
+                return None, best
+            worth = None
+            if gain > 0:
+                discard(held)
+                held, state, best, moved = moved, after(moved), now, following
+            else:
+                discard(moved, *([following] if following else []))
+                moved = None
+            if alone or 0 <= gain < least or share > 1 and gain < max(least, _STEADY * abs(best)):
+                discard(*([moved] if moved else []))
+                return state, best
+            if not moved:
+                share, moved, number = 4, self.round(state, 4, number), number + 1
+
+    def refined(self, state: DataFrame) -> DataFrame:
+        """(id, whole, community, k): communities within those of `state`, grown from single nodes.
+
+        Only nodes that are still alone move, to a community they are linked to and whose members stay, so that every
+        community is connected. A task has whole communities, or a part by hash of one with many inner links.
+        """
+        whole = lambda end: state.select(F.col("id").alias(end), F.col("community").alias(f"{end}_in")).hint("shuffle_hash")
+        inner = self.links.where("node <> other").join(whole("node"), "node").join(whole("other"), "other").where("node_in = other_in")
+        inner = inner.select("node", "other", "weight", F.col("node_in").alias("whole"))
+        known = state.select("id", F.col("community").alias("whole"), F.col("id").alias("community"), "k", F.col("k").alias("t"), F.lit(1).alias("size"), F.lit(True).alias("free"))
+        part, written = lambda c: F.lit(0), []
+        if self.parts > 1:
+            inner = materialize(inner, "inner")
+            ways = materialize(inner.groupBy("whole").agg(F.ceil(F.count("*") / _PART).alias("ways")), "ways")
+            written = [inner, ways]
+            unit = lambda c: F.pmod(F.xxhash64(c), F.coalesce("ways", F.lit(1)))
+            part = lambda c: F.pmod(F.xxhash64("whole", unit(c)), F.lit(self.parts))
+            inner, known = inner.join(ways, "whole").where(part("node") == part("other")), known.join(ways, "whole", "left")
+        near = inner.withColumns({"to": F.col("other"), "t_to": F.lit(0.0), "size_to": F.lit(1)})
+        grown = self.walked(near, known, 1, part("id"), part("node"), settle=False).select("id", F.col("to").alias("community"), "k")
+        out = materialize(grown.join(state.select("id", F.col("community").alias("whole")), "id").select("id", "whole", "community", "k"), "state")
+        discard(*written)
+        return out
+
+    def parted(self, state: DataFrame) -> DataFrame:
+        """As `refined`: the connected parts of the communities."""
+        of = lambda end: state.select(F.col("id").alias(end), F.col("community").alias(f"{end}_in"))
+        inner = self.links.where("node < other").join(of("node"), "node").join(of("other"), "other").where("node_in = other_in")
+        parts = connected_components(inner, "node", "other").select(F.col("node").alias("id"), "component")
+        fine = state.select("id", F.col("community").alias("whole"), "k").join(parts, "id", "left")
+        return materialize(fine.select("id", "whole", F.coalesce("component", "id").alias("community"), "k"), "state")
 
 
 def communities(edges: DataFrame, nodes: DataFrame, *, least: float = 1e-5) -> DataFrame:
@@ -125,40 +208,51 @@ def communities(edges: DataFrame, nodes: DataFrame, *, least: float = 1e-5) -> D
 
     `edges` are weighted and undirected, and a null or zero weight counts as 1. Each level moves nodes until a round of moves
     raises the modularity by less than `least`, refines the communities, and contracts the refined ones to the nodes of the
-    next level, which start in the community they came from; it ends when every node is a community. Communities
+    next level, which start in the community they came from; a pass ends when a level gains less than that, with the connected parts of its communities. Then single nodes
+    move between the communities found, and as long as that gains a hundredth, another pass starts from there. Communities
     are connected, a node without edges is one of its own, and the result does not depend on chance. Null ids and
     edges with an unknown end are left out. Nothing but sums reaches the driver.
     """
     ids = nodes.select("id").where("id IS NOT NULL").distinct()
     known = lambda df, end: df.join(ids.select(F.col("id").alias(end)), end, "left_semi")
-    links = known(known(both_ways(edges), "node"), "other").groupBy("node", "other").agg(F.sum("weight").alias("weight"))
+    links = known(known(by_partition(both_ways(edges)), "node"), "other").groupBy("node", "other").agg(F.sum("weight").alias("weight"))
     links = materialize(links.select("node", "other", "weight"), "around")
-    members = materialize(ids.select("id", F.col("id").alias("node")), "members")
-    m2 = links.agg(F.sum("weight")).first()[0]
-    if not m2:
-        return members.select("id", F.col("node").alias("community"))
-    degree = lambda links: links.groupBy(F.col("node").alias("id")).agg(F.sum("weight").alias("k"))
-    state = materialize(degree(links).select("id", F.col("id").alias("community"), "k"), "state")
-    while True:
-        loops = links.where("node = other").agg(F.sum("weight")).first()[0] or 0.0
-        settled = _settle(links, state, loops, m2, least)
-        n = settled.count()
-        if settled.select("community").distinct().count() == n:
+    size = links.agg(F.sum("weight"), F.count("*")).first()
+    m2, all_links = size[0], by_partition(links, rows=size[1])
+    members = materialize(by_partition(ids.select("id", F.col("id").alias("community")), rows=size[1]), "members")
+    value = None
+    while m2:
+        links, level = all_links, _Level(all_links, m2)
+        degree = links.groupBy(F.col("node").alias("id")).agg(F.sum("weight").alias("k"))
+        settled, now = level.settled(materialize(degree.join(members, "id").select("id", "community", "k"), "state"), least, None if value is None else _WORTH)
+        if settled is None:
             break
-        fine = _refined(links, settled, m2)
-        if fine.select("community").distinct().count() == n:  # nothing gained by pairs: the connected parts then
-            of = lambda end: settled.select(F.col("id").alias(end), F.col("community").alias(f"{end}_in"))
-            inner = links.where("node < other").join(of("node"), "node").join(of("other"), "other").where("node_in = other_in")
-            parts = connected_components(inner, "node", "other").select(F.col("node").alias("id"), "component")
-            fine = settled.select("id", F.col("community").alias("whole"), "k").join(parts, "id", "left")
-            fine = materialize(fine.select("id", "whole", F.coalesce("component", "id").alias("community"), "k"), "state")
-        to = lambda end: fine.select(F.col("id").alias(end), F.col("community").alias(f"{end}_to"))
-        joined = links.join(to("node"), "node").join(to("other"), "other").groupBy(F.col("node_to").alias("node"), F.col("other_to").alias("other")).agg(F.sum("weight").alias("weight"))
-        contracted = materialize(joined, "around")
-        moved = materialize(members.join(to("node"), "node", "left").select("id", F.coalesce("node_to", "node").alias("node")), "members")
-        start = fine.groupBy(F.col("community").alias("id")).agg(F.min("whole").alias("community"), F.sum("k").alias("k"))
-        started = materialize(start, "state")
-        discard(links, members)
-        links, members, state = contracted, moved, started
-    smallest = members.groupBy("node").agg(F.min("id").alias("community"))
-    return members.join(smallest, "node").select("id", "community")
+        inside = materialize(members.select("id", F.col("id").alias("node")), "members")
+        over = False
+        while True:
+            n, found = settled.agg(F.count("*"), F.count_distinct("community")).first()
+            if found == n:
+                break
+            fine = level.parted(settled) if over else level.refined(settled)
+            if not over and fine.select("community").distinct().count() >= (n if level.parts == 1 else 0.9 * n):  # little gained by pairs: the connected parts then
+                discard(fine)
+                fine = level.parted(settled)
+            to = lambda end: fine.select(F.col("id").alias(end), F.col("community").alias(f"{end}_to"))  # noqa: B023, E731
+            moved = materialize(inside.join(to("node"), "node", "left").select("id", F.coalesce("node_to", "node").alias("node")), "members")
+            discard(inside)
+            inside = moved
+            if over:
+                break
+            joined = links.join(to("node").hint("shuffle_hash"), "node").join(to("other").hint("shuffle_hash"), "other")
+            contracted = materialize(joined.groupBy(F.col("node_to").alias("node"), F.col("other_to").alias("other")).agg(F.sum("weight").alias("weight")), "around")
+            state = materialize(fine.groupBy(F.col("community").alias("id")).agg(F.min("whole").alias("community"), F.sum("k").alias("k")), "state")
+            discard(fine, *([links] if links is not all_links else []))
+            links, level, before = contracted, _Level(contracted, m2), now
+            settled, now = level.settled(state, least)
+            over = now < before + least
+        value = now
+        smallest = inside.groupBy("node").agg(F.min("id").alias("community"))
+        after = materialize(inside.join(smallest, "node").select("id", "community"), "members")
+        discard(members, inside, *([links] if links is not all_links else []))
+        members = after
+    return handed(members, edges.sparkSession)
