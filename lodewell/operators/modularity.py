@@ -21,6 +21,7 @@ from lodewell.sources.tables import by_partition, discard, handed, materialize
 
 _LEAST = 1e-12  # of a gain that is not rounding
 _PART = 1 << 20  # links by which a task moves nodes, about
+_NODES = 1 << 17  # nodes that a task moves, about
 _HUB = 1 << 19  # links of a node that no task gets whole
 _STEADY = 0.02  # of the modularity: what a round of few moves gains, or it is the last
 _WORTH = 0.01  # of the modularity: what moves of single nodes gain, or no pass follows
@@ -106,9 +107,9 @@ class _Level:
 
     def __init__(self, links: DataFrame, m2: float):
         each = links.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.when(F.col("node") == F.col("other"), F.col("weight"))).alias("loop"))
-        size = each.agg(F.sum("n"), F.max("n"), F.sum("loop")).first()
+        size = each.agg(F.sum("n"), F.max("n"), F.sum("loop"), F.count("*")).first()
         self.links, self.m2, self.loops = links, m2, size[2] or 0.0
-        self.parts = -(-size[0] // _PART)
+        self.parts = max(-(-size[0] // _PART), -(-size[3] // _NODES))
         self.hubs = materialize(each.where(F.col("n") > _HUB).select("node"), "hubs") if size[1] > _HUB else None
 
     def walked(self, near: DataFrame, known: DataFrame, parts: int, part: Column, end: Column, *, settle: bool) -> DataFrame:
