@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodewell.operators import graph, knowledge
+from lodewell.operators import graph, knowledge, vectorindex
 from lodewell.operators.components import connected_components
 from lodewell.sources.tables import by_partition
 
@@ -49,3 +49,18 @@ def test_a_graph_is_built_without_broadcasts(spark):
     shown = built.entities.join(built.members, "id").join(graph.degrees(built.edges), "id")
     assert shown.count() == 307 and built.members.select("community").distinct().count() == 7
     assert "Broadcast" not in shown._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_index_is_built_without_a_table_of_its_keys(spark, monkeypatch, tmp_path):
+    rows = spark.range(2000).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i)).alias("x"))
+    plans, kind = [], type(rows)
+
+    def read(df, f=kind.toPandas):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return f(df)
+
+    monkeypatch.setattr(kind, "toPandas", read)
+    index = vectorindex.build(rows, str(tmp_path / "i"), key="id", vector="x", lists=10)
+    assert len(plans) >= 2 and not any("Join" in plan for plan in plans)
+    found = index.search_all(rows.where("id % 100 = 0"), 3, key="id", vector="x")
+    assert found.columns == ["query", "rank", "match", "similarity"] and found.count() == 57  # the first is zero
