@@ -11,7 +11,7 @@ from lodewell.operators.stored import StoredTable
 from lodewell.plans.fixtures import MENTIONS, edges, edges_sql, mentions
 from lodewell.plans.registry import query
 from lodewell.plans.scripted import Ranker
-from lodewell.sources.tables import scratch_path, table
+from lodewell.sources.tables import dealt, scratch_path, table
 
 
 @query("v10_reranked_candidates", """
@@ -44,7 +44,7 @@ FROM c WHERE before < 300 GROUP BY 1
 """)
 def l16(spark, d):
     """For each community its entities, the dearest first, and then its relationships, within 300 tokens."""
-    part = table(spark, d, "part")
+    part = dealt(table(spark, d, "part"), "p_partkey")
     entity = report.entity_line(F.col("p_name"), F.col("p_brand"), F.lit(None).cast("string"), F.lit(False))
     one = part.select(F.col("p_size").cast("long").alias("community"), F.lit(1).alias("part"), F.col("p_retailprice").cast("double").alias("o"), F.col("p_partkey").cast("long").alias("i"), F.lit(0).cast("long").alias("j"), entity.alias("line"))
     relation = report.relation_line(F.col("source").cast("string"), F.lit("SUPPLIES"), F.col("target").cast("string"))

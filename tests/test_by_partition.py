@@ -64,3 +64,10 @@ def test_an_index_is_built_without_a_table_of_its_keys(spark, monkeypatch, tmp_p
     assert len(plans) >= 2 and not any("Join" in plan for plan in plans)
     found = index.search_all(rows.where("id % 100 = 0"), 3, key="id", vector="x")
     assert found.columns == ["query", "rank", "match", "similarity"] and found.count() == 57  # the first is zero
+
+
+def test_rows_of_a_small_file_are_dealt_before_they_are_ranked(spark):
+    from lodewell.plans import queries
+
+    plan = queries.QUERIES["t14_report_sections"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2  # parts, as edges
