@@ -40,3 +40,34 @@ def test_nodes_move_in_parts_and_hubs_by_sums(spark, monkeypatch):
     member = {r["id"]: r["community"] for r in modularity.communities(spark.createDataFrame(edges, EDGES), spark.range(n + 1).toDF("id")).collect()}
     assert set(member) == set(range(n + 1)) and connected(edges, member) and all(member[c] == c and c <= x for x, c in member.items())
     assert quality(edges, member) >= 0.97 * quality(edges, louvain(edges, range(n + 1)))
+
+
+def test_few_links_are_a_task_of_their_own(spark, monkeypatch):
+    """All levels and passes of a graph of few links are one step, and no worse than moves of single nodes alone."""
+    labels, plans = recorded(monkeypatch)
+    rng = random.Random(5)
+    edges = [(s, 1000 + p, 1.0) for p in range(900) for s in rng.sample(range(40), 8)]
+    df, ids = spark.createDataFrame(edges, EDGES), [*range(40), *range(1000, 1900)]
+    member = {r["id"]: r["community"] for r in modularity.communities(df, spark.createDataFrame([(i,) for i in ids], "id long")).collect()}
+    assert len(labels) <= 6 and not any("Broadcast" in plan for plan in plans)
+    assert set(member) == set(ids) and connected(edges, member) and quality(edges, member) >= 1.2 * quality(edges, louvain(edges, ids))
+
+
+def test_components_of_few_links_need_no_rounds(spark, monkeypatch):
+    """Components are dealt whole, small ones several to a task, and only a large one is moved in parts."""
+    labels, plans = recorded(monkeypatch)
+    monkeypatch.setattr(modularity, "_PART", 200)
+    edges, n = [], 0
+    for seed, (groups, size) in enumerate([(3, 6), (2, 5), (4, 6), (2, 4), (3, 5)]):
+        some, more = planted(groups, size, 0.9, 0.05, seed)
+        edges += [(a + n, b + n, w) for a, b, w in some]
+        n += more
+    df, nodes = spark.createDataFrame(edges, EDGES), spark.range(n + 1).toDF("id")
+    member = {r["id"]: r["community"] for r in modularity.communities(df, nodes).collect()}
+    assert "solved" in labels and "state" not in labels and not any("Broadcast" in plan for plan in plans)
+    assert set(member) == set(range(n + 1)) and connected(edges, member) and quality(edges, member) >= 0.99 * quality(edges, louvain(edges, range(n + 1)))
+    some, more = planted(6, 10, 0.9, 0.03, 9)
+    edges, df = edges + [(a + n, b + n, w) for a, b, w in some], spark.createDataFrame(edges + [(a + n, b + n, w) for a, b, w in some], EDGES)
+    member = {r["id"]: r["community"] for r in modularity.communities(df, spark.range(n + more + 1).toDF("id")).collect()}
+    assert "state" in labels and set(member) == set(range(n + more + 1)) and member[n + more] == n + more
+    assert connected(edges, member) and quality(edges, member) >= 0.97 * quality(edges, louvain(edges, range(n + more)))
