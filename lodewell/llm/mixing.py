@@ -146,9 +146,10 @@ def scheduled(spark, course: Course, task_slots: int = 1 << 18) -> DataFrame:
 def tempered_weights(docs: DataFrame, *, source: str = "source", power: float = 0.7) -> dict[str | None, float]:
     """Each source's row count to `power`: above 0 and below 1, small sources count for more than their size.
 
-    One count per source reaches the driver; null is a source of its own, with key None. An empty table has no weights.
+    One count per source reaches the driver; null is a source of its own, with key None. Sources of another type go by their
+    strings, as in `interleave`. An empty table has no weights.
     """
-    counts = docs.groupBy(source).count().collect()
+    counts = docs.groupBy(F.col(source).cast("string")).count().collect()
     return {r[0]: float(r[1]) ** power for r in counts}
 
 

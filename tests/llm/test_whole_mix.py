@@ -140,3 +140,10 @@ def test_equal_rows_spread(spark):
     assert spread.count() == len(rows) and spread.where("doc_id = 7").select("hash").distinct().count() == 2000
     assert spread.where("doc_id IS NULL").select("hash").distinct().count() == 1  # few copies stay side by side
     assert spread.where("doc_id > 7").exceptAll(hashed).isEmpty()
+
+
+def test_sources_of_any_type_are_mixed(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).alias("flag"), (F.col("id") % 4 * 1e9).alias("number"))
+    for source in ("flag", "number"):
+        out = mixing.interleave(docs, mixing.tempered_weights(docs, source=source), source=source, block_rows=4)
+        assert out.where("mix.in_mix").count() == 300
